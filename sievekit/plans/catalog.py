@@ -7,9 +7,9 @@ from functools import lru_cache
 
 @lru_cache(maxsize=1)
 def all_queries() -> dict:
-    from sievekit.plans import catalog_ops, catalog_regex
+    from sievekit.plans import catalog_ops, catalog_regex, catalog_scores
 
     out: dict = {}
-    for mod in (catalog_regex, catalog_ops):
+    for mod in (catalog_regex, catalog_ops, catalog_scores):
         out.update(mod.build())
     return out

@@ -143,3 +143,47 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form of the chat history: one validated message per row, ordered by (conv_id, turn)."""
     conv = table(spark, sf_dir, "conversations")
     return conv.select("conv_id", "turn", F.struct(F.col("role"), F.col("text").alias("content")).alias("message"), F.col("role").isin(ROLES).alias("valid_role"))
+
+
+# --- classifier params per document (M3, M6, M11-M13) -------------------------
+
+# Fixed parameter set (index = doc_id % len), including the reference tests' bad values.
+CLS_PARAM_VARIANTS = [
+    "{}",
+    '{"threshold": 0.3}',
+    '{"threshold": "high"}',
+    '{"threshold": true}',
+    '{"threshold": []}',
+    '{"threshold": null}',
+    '{"threshold": 0.25, "label_thresholds": {"toxic": 0.2, "threat": "x", "insult": true}}',
+    '{"label_thresholds": [1, 2]}',
+    '{"safe_labels": "toxic"}',
+    '{"safe_labels": 3}',
+    '{"safe_labels": [1, "insult", 3.14, true, ["x"]]}',
+    '{"safe_labels": {"a": 1}}',
+    '{"max_length": "abc"}',
+    '{"max_length": -1}',
+    '{"max_length": 0}',
+    '{"max_length": 3.5}',
+    '{"max_length": true}',
+    '{"max_length": false}',
+    '{"max_length": []}',
+    '{"max_length": {}}',
+    '{"max_length": 64, "threshold": 0.35}',
+    '{"max_length": 100000}',
+    '{"threshold": 0, "safe_labels": [], "max_length": 8}',
+    '{"threshold": 1.5}',
+]
+# Deployment defaults used by the registered queries (the reference reads them from the environment).
+CLS_DEFAULTS = {"default_threshold": 0.5, "default_label_thresholds": {"obscene": 0.45}, "default_safe_labels": [0], "default_max_length": 512, "model_max_length": 1024}
+TOKEN_DEFAULTS = {"default_threshold": 0.5, "default_label_thresholds": {}, "default_safe_labels": ["O"], "default_max_length": 512, "model_max_length": 1024}
+
+
+def cls_params_expr_spark(id_col: str = "doc_id"):
+    arr = F.array(*[F.lit(p) for p in CLS_PARAM_VARIANTS])
+    return F.element_at(arr, (F.col(id_col) % len(CLS_PARAM_VARIANTS) + 1).cast("int"))
+
+
+def cls_params_expr_sql(id_col: str = "doc_id") -> str:
+    items = ", ".join("'" + p.replace("'", "''") + "'" for p in CLS_PARAM_VARIANTS)
+    return f"([{items}])[CAST({id_col} % {len(CLS_PARAM_VARIANTS)} + 1 AS INT)]"
