@@ -7,9 +7,9 @@ from functools import lru_cache
 
 @lru_cache(maxsize=1)
 def all_queries() -> dict:
-    from sievekit.plans import catalog_filetype, catalog_ops, catalog_regex, catalog_scores
+    from sievekit.plans import catalog_custom, catalog_filetype, catalog_ops, catalog_regex, catalog_scores
 
     out: dict = {}
-    for mod in (catalog_regex, catalog_ops, catalog_scores, catalog_filetype):
+    for mod in (catalog_regex, catalog_ops, catalog_scores, catalog_filetype, catalog_custom):
         out.update(mod.build())
     return out
