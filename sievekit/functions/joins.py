@@ -1,0 +1,21 @@
+"""Join helpers that only broadcast a side whose size has been checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows we accept to ship to every executor for a small side (a few MB of keys + labels).
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_rows(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``small`` only if its row count is proven under ``max_rows``; otherwise a shuffle join (AQE may still convert)."""
+    if bounded_rows(small, max_rows):
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)

@@ -312,8 +312,20 @@ SELECT f.content_id, f.risk AS risk_name, 0 AS "start", CAST(n_chars AS INT) AS
 FROM f LEFT JOIN rs ON rs.content_id = f.content_id AND rs.risk = f.risk"""
 
 
+def batch_score_q(spark, sf_dir):
+    """M1: a Spark ML scorer trained on ``labels.toxic``, applied to every document, then M2 + M3."""
+    from sievekit.operators.scorer import SparkMLScorer
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = SparkMLScorer(["not_toxic", "toxic"]).fit(docs, table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    probs = S.softmax_long(scorer.score(docs, "doc_id"), ["content_id"])
+    out = S.sequence_classification(probs, 0.5, {}, S.safe_label_keys([0]))
+    return out.select("content_id", "label_idx", "detection", "detection_type", F.round("score", R6).alias("score"))
+
+
 def build() -> dict:
     return {
+        "batch_score": (batch_score_q, None),
         "softmax_scores": (softmax_scores_q, SOFTMAX_SCORES_SQL),
         "sequence_classification": (sequence_classification_q, sequence_classification_sql()),
         "token_best_label": (token_best_label_q, TOKEN_BEST_LABEL_SQL),
