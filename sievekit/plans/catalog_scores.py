@@ -137,13 +137,19 @@ FROM t WHERE prob >= thr AND NOT list_contains(safe, CAST(label_idx AS VARCHAR))
 TOKEN_PARAMS = S.Params(threshold=0.5, label_thresholds={}, safe_labels=("O",))
 
 
-def _token_probs(spark, sf_dir):
-    tok = SS.tokens(spark, sf_dir)
+def _token_probs(spark, sf_dir, docs=None):
+    # One hash partitioning on content_id, taken on token rows (before the 5x label
+    # fan-out), serves the softmax window, the best-label aggregate and the run merge.
+    tok = SS.tokens(spark, sf_dir, docs).repartition("content_id")
     return S.softmax_long(SS.token_logits(tok), ["content_id", "token_idx"])
 
 
+def _token_best(spark, sf_dir):
+    return S.token_best_label(_token_probs(spark, sf_dir), TOKEN_PARAMS.threshold, TOKEN_PARAMS.label_thresholds, S.safe_label_keys(TOKEN_PARAMS.safe_labels))
+
+
 def token_best_label_q(spark, sf_dir):
-    best = S.token_best_label(_token_probs(spark, sf_dir), TOKEN_PARAMS.threshold, TOKEN_PARAMS.label_thresholds, S.safe_label_keys(TOKEN_PARAMS.safe_labels))
+    best = _token_best(spark, sf_dir)
     return best.select("content_id", "token_idx", "label", F.round("prob", R6).alias("prob"), "char_start", "char_end")
 
 
@@ -170,7 +176,7 @@ SELECT content_id, token_idx, label, round(prob, {R6}) AS prob, char_start, char
 
 
 def token_span_merge_q(spark, sf_dir):
-    best = S.token_best_label(_token_probs(spark, sf_dir), TOKEN_PARAMS.threshold, TOKEN_PARAMS.label_thresholds, S.safe_label_keys(TOKEN_PARAMS.safe_labels))
+    best = _token_best(spark, sf_dir)
     spans = S.token_span_merge(best)
     return spans.select("content_id", "first_token", "start", "end", "text", "detection", "detection_type", F.round("score", R6).alias("score"))
 
@@ -192,11 +198,10 @@ WITH {_token_probs_sql()},
 
 def token_classification_q(spark, sf_dir):
     """M6: softmax + best label + run merge with per-document params (label thresholds, safe labels)."""
-    probs = _token_probs(spark, sf_dir)
-    params = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), _resolved_for("content_id", RQ.TOKEN_DEFAULTS).alias("p"))
-    # params are one row per content: a join on the same key the chain is partitioned by
-    j = probs.join(params, "content_id")
-    best = S.token_best_label(j, F.col("p.threshold"), F.col("p.label_thresholds"), F.col("p.safe_keys"))
+    # params are resolved per document before tokenising, so every token row carries them (no join)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text", _resolved_for("content_id", RQ.TOKEN_DEFAULTS).alias("p"))
+    probs = _token_probs(spark, sf_dir, docs)
+    best = S.token_best_label(probs, F.col("p.threshold"), F.col("p.label_thresholds"), F.col("p.safe_keys"))
     spans = S.token_span_merge(best)
     return spans.select("content_id", "first_token", "start", "end", "text", "detection", "detection_type", F.round("score", R6).alias("score"))
 
@@ -214,12 +219,14 @@ WITH rp AS ({rp}),
 
 def truncate_tokens_q(spark, sf_dir):
     """Per document, how many tokens the model would score under its resolved max_length."""
-    tok = SS.tokens(spark, sf_dir)
-    params = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), _resolved_for("content_id", RQ.CLS_DEFAULTS)["max_length"].alias("max_length"))
-    kept = S.truncate_tokens(tok.join(params, "content_id"), F.col("max_length"), RQ.CLS_DEFAULTS["model_max_length"])
-    total = tok.groupBy("content_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    scored = kept.groupBy("content_id", "max_length").agg(F.count(F.lit(1)).alias("n_scored"))
-    return total.join(scored, "content_id").select("content_id", "max_length", "n_tokens", "n_scored")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("content_id"), "text", _resolved_for("content_id", RQ.CLS_DEFAULTS)["max_length"].alias("max_length")
+    )
+    tok = SS.tokens(spark, sf_dir, docs)
+    scored = S.truncate_tokens(tok, F.col("max_length"), RQ.CLS_DEFAULTS["model_max_length"])
+    return tok.groupBy("content_id", "max_length").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("token_idx") < F.col("max_length")).alias("n_scored")
+    ).select("content_id", "max_length", "n_tokens", "n_scored") if scored is not None else None
 
 
 def truncate_tokens_sql() -> str:

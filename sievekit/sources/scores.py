@@ -8,8 +8,12 @@ Whole texts are hashed (never prefixes).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from sievekit.operators.scores import RISK_NAMES
 from sievekit.sources.tables import table
@@ -55,17 +59,34 @@ def embedding_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("content_id"), F.transform(F.slice("embedding", 1, len(EMB_LABELS)), lambda x: x.cast("double") * 10.0).alias("logits"))
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whitespace tokens of every document with code-point offsets.
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def _starts_from_lengths(lengths: pd.Series) -> pd.Series:
+    """Start offset of each single-space-separated token: exclusive prefix sum of (length + 1)."""
+    out = []
+    for ls in lengths:
+        a = np.asarray(ls, dtype=np.int64) + 1
+        out.append(np.concatenate(([0], np.cumsum(a)[:-1])).astype(np.int32))
+    return pd.Series(out)
 
-    Offsets are a running sum over the token order of a document: one window
-    on ``content_id``, whose hash partitioning the later per-token steps reuse.
+
+def _doc_tokens(spark: SparkSession, sf_dir: str, docs: DataFrame | None):
+    if docs is None:
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
+    keep = [c for c in docs.columns if c != "text"]
+    toks = docs.select(*keep, F.split("text", " ", -1).alias("toks"))
+    return keep, toks.withColumn("starts", _starts_from_lengths(F.transform("toks", lambda t: F.length(t))))
+
+
+def tokens(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Whitespace tokens of every document with code-point offsets, one row per token.
+
+    The offsets are a prefix sum within the document row (vectorised in an
+    Arrow batch), so tokenising needs no shuffle; ``explode`` keeps every token
+    in its document's partition.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
-    ex = docs.select("content_id", F.posexplode(F.split("text", " ", -1)).alias("token_idx", "token"))
-    w = Window.partitionBy("content_id").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("token") + 1).over(w), F.lit(0))
-    return ex.withColumn("char_start", start.cast("int")).withColumn("char_end", (F.col("char_start") + F.length("token")).cast("int"))
+    keep, toks = _doc_tokens(spark, sf_dir, docs)
+    ex = toks.select(*keep, F.posexplode(F.arrays_zip(F.col("toks").alias("token"), F.col("starts").alias("char_start"))).alias("token_idx", "z"))
+    return ex.select(*keep, "token_idx", F.col("z.token").alias("token"), F.col("z.char_start").alias("char_start"), (F.col("z.char_start") + F.length("z.token")).cast("int").alias("char_end"))
 
 
 TOKENS_SQL = """SELECT content_id, token_idx, token,
