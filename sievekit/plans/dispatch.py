@@ -136,8 +136,14 @@ def pattern_spans(texts: pd.Series, patterns: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _schema_names(df: DataFrame, plan_col: str, limit: int = 256) -> list[str]:
-    """Distinct with-schema names in the data; their number is checked before compiling."""
+def _schema_names(df: DataFrame, plan_col: str, limit: int = 256, params_col: str | None = None) -> list[str]:
+    """Distinct with-schema names in the data; their number is checked before compiling.
+
+    With ``params_col`` a native substring test first keeps only rows that can
+    carry an inline schema, so the Python planner runs on those rows alone.
+    """
+    if params_col is not None:
+        df = df.where(F.col(params_col).contains("-with-schema:"))
     names = (
         df.select(F.explode(plan_col).alias("e"))
         .where(F.col("e.metric_name").isin(list(SCHEMA_PREFIXES)) & F.col("e.code").isNull())
@@ -186,6 +192,7 @@ def detect_per_row(
 ) -> tuple[DataFrame, DataFrame]:
     """Returns (flat detections, errors). A row with any error contributes no detections."""
     registry = registry or C.example_registry()
+    schema_names = _schema_names(df.select(params_col, plan_column(F.col(params_col), registry).alias("plan")), "plan", params_col=params_col)
     planned = df.select(*key_cols, text_col, plan_column(F.col(params_col), registry).alias("plan"))
     planned = planned.withColumn("failed", F.exists("plan", lambda e: e["code"].isNotNull()))
     errors = planned.where("failed").select(*key_cols, F.explode("plan").alias("e")).where(F.col("e.code").isNotNull()).select(
@@ -195,7 +202,6 @@ def detect_per_row(
         F.col("e.code").alias("code"),
         F.col("e.message").alias("message"),
     )
-    schema_names = _schema_names(planned.where(~F.col("failed")), "plan")
     entries = planned.where(~F.col("failed")).select(*key_cols, text_col, F.explode("plan").alias("e")).select(*key_cols, text_col, "e.*")
     dets = entry_detections(F.col("detector_kind"), F.col("name"), F.col(text_col), registry, schema_names)
     flat = entries.select(*key_cols, "kind_ord", "detector_kind", "name_ord", "name", "metric_name", F.posexplode(dets).alias("ord", "d"))
@@ -206,10 +212,10 @@ def detect_per_row(
 def per_row_calls(df: DataFrame, key_cols: list[str], params_col: str = "detector_params", text_col: str = "text", registry: C.CustomRegistry | None = None) -> DataFrame:
     """One row per (content, detector call) with hit/error flags, for counters (A1, A4)."""
     registry = registry or C.example_registry()
+    schema_names = _schema_names(df.select(params_col, plan_column(F.col(params_col), registry).alias("plan")), "plan", params_col=params_col)
     planned = df.select(*key_cols, text_col, plan_column(F.col(params_col), registry).alias("plan"))
     entries = planned.select(*key_cols, text_col, F.explode("plan").alias("e")).select(*key_cols, text_col, "e.*")
     ok = entries.where(F.col("code").isNull())
-    schema_names = _schema_names(planned, "plan")
     dets = entry_detections(F.col("detector_kind"), F.col("name"), F.col(text_col), registry, schema_names)
     hits = ok.select(*key_cols, "detector_kind", "metric_name", (F.size(dets) > 0).alias("hit"), F.lit(None).cast("int").alias("code"))
     # internal (500) errors count as request + error; 400s are rejected before any counter moves
