@@ -37,22 +37,26 @@ def _root_element(schema: str) -> str | None:
     return None
 
 
+_SHIPPED: dict[str, str] = {}
+
+
 def ship_xsd(spark: SparkSession, schema: str) -> str:
-    """Write the XSD under the shared checkpoint folder, ``addFile`` it, return its file name."""
-    name = "xsd-" + hashlib.sha256(schema.encode()).hexdigest()[:16] + ".xsd"
-    folder = scratch_path(spark, "xsd")
-    path = f"{folder}/{name}"
-    if "://" not in path or path.startswith("file:"):
-        local = path.replace("file:", "")
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(local, "w", encoding="utf-8") as f:
-            f.write(schema)
-    else:  # shared file system: write through Spark's own writer
-        spark.createDataFrame([(schema,)], "value string").coalesce(1).write.mode("overwrite").text(path + ".d")
-        path = path + ".d"
-    if name not in {os.path.basename(p) for p in spark.sparkContext.listFiles}:
-        spark.sparkContext.addFile(path)
-    return name
+    """Write the XSD once under the shared checkpoint folder, ``addFile`` it, return its file name.
+
+    Spark's own text writer puts it on whatever storage the checkpoint folder
+    is on (local in tests, a shared file system on a cluster); executors then
+    fetch it through ``addFile`` and ``from_xml`` finds it by name.
+    """
+    digest = hashlib.sha256(schema.encode()).hexdigest()[:16]
+    key = f"{spark.sparkContext.applicationId}/{digest}"
+    if key in _SHIPPED:
+        return _SHIPPED[key]
+    folder = scratch_path(spark, f"xsd/{digest}")
+    spark.createDataFrame([(schema,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+    path = spark.read.text(folder).inputFiles()[0]
+    spark.sparkContext.addFile(path)
+    _SHIPPED[key] = os.path.basename(path)
+    return _SHIPPED[key]
 
 
 def xml_schema_detection(text: Column, schema: str) -> Column:
