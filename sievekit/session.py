@@ -48,7 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    # Unset: tests and local runs only.
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    # Unset on a local master: tests and local runs only.
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievekit-ckpt-"))
     return sc.getCheckpointDir()
 
