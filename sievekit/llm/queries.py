@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import ann, chat, mixing, sharding, url_filter
+from sievekit.llm import ann, chat, langid, mixing, sharding, url_filter
 from sievekit.llm.common import bound_batches, cut, table, word_count
 
 SHARDS = 8
@@ -18,6 +18,15 @@ def op1_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "lm_score")
 
 
+def op4_byte_convolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, by a network that never saw the held-out documents."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 7 of all documents under the law `bytes`; `slot` is the row's place in its shard."""
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +78,7 @@ def op9_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_url_language_models": (op1_url_language_models, None),
+    "op4_byte_convolutions": (op4_byte_convolutions, None),
     "op5_virtual_slots": (op5_virtual_slots, None),
     "op7_vantage_point_trees": (op7_vantage_point_trees, None),
     "op8_systematic_mix": (op8_systematic_mix, None),
