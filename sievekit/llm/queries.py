@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import ann, chat, langid, mixing, sharding, url_filter
+from sievekit.llm import ann, chat, fingerprint, langid, mixing, sharding, url_filter
 from sievekit.llm.common import bound_batches, cut, table, word_count
 
 SHARDS = 8
@@ -76,6 +76,13 @@ def op9_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(every))
 
 
+def op10_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form, and their likeness."""
+    bound_batches(spark)
+    buckets = fingerprint.BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"), buckets)
+
+
 QUERIES: dict = {
     "op1_url_language_models": (op1_url_language_models, None),
     "op4_byte_convolutions": (op4_byte_convolutions, None),
@@ -83,4 +90,5 @@ QUERIES: dict = {
     "op7_vantage_point_trees": (op7_vantage_point_trees, None),
     "op8_systematic_mix": (op8_systematic_mix, None),
     "op9_budgeted_windows": (op9_budgeted_windows, None),
+    "op10_consistent_parsing": (op10_consistent_parsing, None),
 }
