@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def sliced(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Splits a batch so that each part has about ``most_bytes`` of text; a longer row stays whole."""
     sizes = np.asarray(
-        pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64
+        pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64
     )
     start, total = 0, 0
     for row, size in enumerate(sizes.tolist()):
