@@ -7,6 +7,9 @@ characters in Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,7 +47,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bound_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> None:
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Marks a cut frame for broadcasting if its rows fit Spark's own threshold, which
+    Spark can't tell by itself of a checkpoint. Beyond it, joins shuffle both sides."""
+    jconf = df.sparkSession._jsparkSession.sessionState().conf()
+    return F.broadcast(df) if df.count() * row_bytes <= jconf.autoBroadcastJoinThreshold() else df
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark removes a query's shuffle files when the query ends. For operators that
+    cut many frames one after the other, whose files would otherwise pile up."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
     """Limits the bytes of an Arrow batch, which Spark bounds only in rows by default.
 
     Long texts would otherwise make batches of gigabytes. A limit that the user set stays.
@@ -69,7 +92,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def sliced(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
+def sliced(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Splits a batch so that each part has about ``most_bytes`` of text; a longer row stays whole."""
     sizes = np.asarray(
         pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64

@@ -36,7 +36,7 @@ from sievekit.llm.common import mix64
 
 SLOTS = 64
 SHORT = 64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BUCKETS_PER_PARTITION = 4
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LAST = -(1 << 63)  # stands for a null id, after all others in descending order

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 100_000
 SEED = 8
 
 
@@ -80,11 +80,15 @@ def systematic_copies(
     targets = source_targets(
         cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), most, weights
     ).withColumn("_key", _key(F.col("source"))).drop("source", "weight")
-    earlier = Window.partitionBy("_key").orderBy("_bin", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows before a cell: those of smaller bins of its source, and of earlier buckets of its bin.
+    smaller = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_key", "_bin").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bins = cells.groupBy("_key", "_bin").agg(F.sum("cell_rows").alias("bin_rows"))
+    bins = bins.withColumn("_smaller", F.coalesce(F.sum("bin_rows").over(smaller), F.lit(0))).join(targets, "_key")
     starts = (
-        cells.withColumn("_before", F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)))
-        .join(targets, "_key")
-        .select("_key", "_bin", "_bucket", "_before", "source_size", "target")
+        cells.withColumn("_earlier", F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)))
+        .join(bins, ["_key", "_bin"])
+        .select("_key", "_bin", "_bucket", (F.col("_smaller") + F.col("_earlier")).alias("_before"), "source_size", "target")
     )
     inside = Window.partitionBy("_key", "_bin", "_bucket").orderBy(size, row_id)
     # Five hex digits: a multiple of 2^-20, so that sums with whole numbers stay exact.

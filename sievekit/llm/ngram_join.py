@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import cut, mix64, sliced, text_buffer
+from sievekit.llm.common import cut, mix64, shuffles_dropped, sized, sliced, text_buffer
 from sievekit.llm.components import components
 
 WIDTH = 5
@@ -53,7 +53,8 @@ TINY = 5  # sets up to this size differ from a linked one in one shingle at most
 SUMMARY = 200_000  # entries of a task's summary of frequent shingles
 FREQUENT = 50_000  # shingles treated as frequent, at most: the bound of what is sent to all tasks
 FREQUENT_IN = 12  # documents that hold a frequent shingle, at least
-BINS = 64
+ID_BYTES = 16  # of a node and a doc_id
+LEAST_BINS, PER_BIN = 16, 2
 
 _u = np.uint64
 _BASE = _u(0xD1342543DE82EF95)
@@ -198,7 +199,7 @@ def facts(docs: DataFrame, seed: int = 0) -> DataFrame:
     """One row per document (doc_id, n, node, proof, bins), and rows of frequent shingles (shingle, seen).
 
     ``node`` and ``proof`` are two independent keys of the set; ``bins`` counts its
-    shingles by hash, so the sum of differences bounds how far two sets differ.
+    shingles by hash (see ``bins_of``).
     """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("bins", pa.binary()),
@@ -212,12 +213,10 @@ def facts(docs: DataFrame, seed: int = 0) -> DataFrame:
             size = part.num_rows
             n = np.bincount(row, minlength=size)
             node, proof = (set_keys(row, value, size, k) for k in (0, 1))
-            bins = np.bincount(row * BINS + (value & _u(BINS - 1)).astype(np.int64), minlength=size * BINS)
-            packed = np.minimum(bins, 0xFFFF).astype("<u2").reshape(size, BINS)
             nothing = pa.nulls(size, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node.view(np.int64), mask=n == 0), pa.array(proof.view(np.int64)),
-                 pa.array([b.tobytes() for b in packed], pa.binary()), nothing, nothing],
+                 pa.array(bins_of(row, value, size), pa.binary()), nothing, nothing],
                 schema=schema,
             )
             often.add(value[_first_met(node, n, met)[row]])
@@ -320,11 +319,31 @@ def signatures(docs: DataFrame, frequent: np.ndarray, seed: int = 0) -> DataFram
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
-def far_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether bins alone show that two sets can't link; ``a`` and ``b`` are (pairs, BINS)."""
-    n, m = a.sum(1), b.sum(1)
-    full = (a.max(1) == 0xFFFF) | (b.max(1) == 0xFFFF)
-    return ~full & (7 * np.abs(a - b).sum(1) > n + m)
+def bins_of(row: np.ndarray, value: np.ndarray, size: int) -> list[bytes]:
+    """For each row, shingles counted by the low bits of their hash, in about half as many bins
+    as shingles (a power of two). Halves of a longer list add up to the shorter one."""
+    n = np.bincount(row, minlength=size)
+    width = np.maximum((_bits(n // PER_BIN) + 1) // 2 * 2, LEAST_BINS)
+    start = np.concatenate([[0], np.cumsum(width)])
+    at = start[row] + (value & (width[row] - 1).astype(_u)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=start[-1]), 255).astype(np.uint8)
+    return [counts[i:j].tobytes() for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def far_apart(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether sizes and bins alone show that two sets can't link.
+
+    The bins' differences add up to no more than the sets differ by. A full bin stands for
+    any number, and makes its own difference smaller at most.
+    """
+    if 4 * min(n, m) < 3 * max(n, m):
+        return True
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return False
+    width = min(len(x), len(y))
+    differ = np.abs(x.reshape(-1, width).sum(0) - y.reshape(-1, width).sum(0)).sum()
+    return bool(7 * differ > n + m)
 
 
 def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], pairs: int) -> np.ndarray:
@@ -338,27 +357,58 @@ def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], p
     return (union > 0) & (100 * both >= 75 * union)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, seed: int = 0) -> DataFrame:
-    """The pairs (a, b) that link. ``nodes`` has (node, bins), ``texts`` (node, text) of every candidate."""
+def _beside(pairs: DataFrame, of: DataFrame, *values: str) -> DataFrame:
+    """Pairs (a, b) with the values of both nodes."""
+    for end in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(end), *[F.col(v).alias(f"{v}_{end}") for v in values]), end)
+    return pairs.select("a", "b", *[f"{v}_{end}" for v in values for end in ("a", "b")])
+
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that sizes and bins don't rule out. ``nodes`` has (node, n, bins)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS).astype(np.int64) for c in ("bins_a", "bins_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(~far_apart(a, b)))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("bins_a", "n_a", "bins_b", "n_b")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([not far_apart(*r) for r in rows], pa.bool_()))
+
+    return cut(_beside(pairs, nodes, "n", "bins").mapInArrow(run, "a long, b long"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, seed: int = 0) -> DataFrame:
+    """The pairs that link, by comparing their sets. ``texts`` has (node, text)."""
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text_a", SLICE_BYTES):
                 a, b = (shingle_sets(*text_buffer(part.column(c)), seed) for c in ("text_a", "text_b"))
                 yield part.select(["a", "b"]).filter(pa.array(linked(a, b, part.num_rows)))
 
-    def beside(frame: DataFrame, of: DataFrame, value: str) -> DataFrame:
-        for end in ("a", "b"):
-            frame = frame.join(of.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
-        return frame.select("a", "b", f"{value}_a", f"{value}_b")
+    return cut(_beside(pairs, texts, "text").mapInArrow(run, "a long, b long"))
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, have: DataFrame | None = None) -> DataFrame:
+    """(node, text) of every node in the pairs beyond those in ``have``."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if have is not None:
+        wanted = wanted.join(have, "node", "left_anti")
+
+    def meant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A repeated doc_id may bring texts of other sets.
+        for part, data, offsets in _texts(batches):
+            key = set_keys(*shingle_sets(data, offsets, seed), part.num_rows, 0).view(np.int64)
+            yield part.select(["node", "text"]).filter(pa.array(part.column("node").to_numpy() == key))
+
+    ids = sized(cut(nodes.join(wanted, "node").select("doc_id", "node")), ID_BYTES)
+    found = docs.select("doc_id", "text").join(ids, "doc_id").select("node", "text")
+    return cut(found.mapInArrow(meant, "node long, text string").dropDuplicates(["node"]))
 
-    left = cut(beside(pairs, nodes, "bins").mapInArrow(possible, "a long, b long"))
-    return cut(beside(left, texts, "text").mapInArrow(exact, "a long, b long"))
+
+def separate(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not yet known to be in one component."""
+    for end in ("a", "b"):
+        pairs = pairs.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def frequent_shingles(found: DataFrame, most: int = FREQUENT, least: int = FREQUENT_IN) -> np.ndarray:
@@ -388,41 +438,45 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .drop("high")
         .distinct()
     )
-    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bins").alias("bins"))
-    wanted = cut(nodes.join(live.select("node").distinct(), "node"))
-    texts = cut(
-        docs.select("doc_id", "text").join(wanted.select("doc_id", "node"), "doc_id").groupBy("node").agg(F.max("text").alias("text"))
-    )
-    pairs = live.where("node != low").groupBy("node").agg(F.min("low").alias("a")).select("a", F.col("node").alias("b"))
-    tried = cut(pairs)
-    sure = verify(tried, wanted, texts, seed)
-    ranked = None
-    low, high = 0, 1
+    nodes = cut(
+        sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+        .join(live.select("node").distinct(), "node")
+    )
+    # The least node of each group against all others; first one such pair of each node.
+    tried = cut(live.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+    near = possible(tried, nodes)
+    texts = texts_of(docs, nodes, near, seed)
+    sure = verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, seed)
+    sure = cut(sure.unionByName(verified(separate(near, components(sure)), texts, seed)))
+    ranked = cut(live.select("sig", "node", (F.row_number().over(group.orderBy("node")) - 1).alias("nth"), F.count(F.lit(1)).over(group).alias("size")))
+    root, low, high = components(sure), 1, 8
     while True:
-        root = components(sure)
-        if ranked is None:
-            order = group.orderBy("node")
-            ranked = cut(live.select("sig", "node", (F.row_number().over(order) - 1).alias("nth"), F.count(F.lit(1)).over(group).alias("size")))
         named = ranked.where(F.col("size") > low + 1).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        still = named.withColumn("least", F.min("root").over(group)).withColumn("most", F.max("root").over(group)).where("least != most")
-        still = cut(still.select("sig", "node", "nth", "root"))
+        named = named.withColumn("least", F.min("root").over(group)).withColumn("most", F.max("root").over(group))
+        still = cut(named.where("least != most and nth >= " + str(low)).select("sig", "node", "nth", "root"))
         if still.isEmpty():
             return known.where(F.col("shingle").isNull()), sure
-        centre = still.where((F.col("nth") >= low) & (F.col("nth") < high))
-        met = centre.alias("x").join(
+        met = still.where(F.col("nth") < high).alias("x").join(
             still.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.nth") < F.col("y.nth")) & (F.col("x.root") != F.col("y.root"))
         )
-        new = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = cut(new)
+        new = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        new = cut(new.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(new)
-        sure = cut(sure.unionByName(verify(new, wanted, texts, seed)))
+        near = possible(new, nodes)
+        if not near.isEmpty():
+            texts = texts.unionByName(texts_of(docs, nodes, near, seed, texts.select("node")))
+            found = verified(near, texts, seed)
+            if not found.isEmpty():
+                sure = cut(sure.unionByName(found))
+                root = components(sure)
         low, high = high, 8 * high
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    known, sure = links(docs)
-    root = components(sure)
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id of its component)."""
+    with shuffles_dropped(docs.sparkSession):
+        known, sure = links(docs)
+        root = components(sure)
     named = known.select("doc_id", "n", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.select("doc_id", F.col("n").alias("n_shingles"), "root"))
     first = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))

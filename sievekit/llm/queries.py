@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import ann, chat, fingerprint, langid, mixing, ngram_join, sharding, url_filter
+from sievekit.llm import ann, chat, fingerprint, langid, mixing, ngram_join, pii, sharding, url_filter
 from sievekit.llm.common import bound_batches, cut, table, word_count
 
 SHARDS = 8
@@ -18,6 +18,12 @@ def op1_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "lm_score")
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for their personal data."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.pseudonymise(docs).withColumn("pii_kinds", F.array_join("pii_kinds", ","))
+
+
 def op3_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by five-word shingles at a Jaccard similarity of 0.75."""
     bound_batches(spark)
@@ -91,6 +97,7 @@ def op10_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_url_language_models": (op1_url_language_models, None),
+    "op2_feistel_pseudonyms": (op2_feistel_pseudonyms, None),
     "op3_universe_partition": (op3_universe_partition, None),
     "op4_byte_convolutions": (op4_byte_convolutions, None),
     "op5_virtual_slots": (op5_virtual_slots, None),
