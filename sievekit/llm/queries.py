@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import ann, chat, fingerprint, langid, mixing, ngram_join, pii, sharding, url_filter
+from sievekit.llm import ann, chat, fingerprint, langid, mixing, ngram_join, pii, sharding, sptokens, url_filter
 from sievekit.llm.common import bound_batches, cut, table, word_count
 
 SHARDS = 8
@@ -59,6 +59,15 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every whole text, and whether decoding gives back the text."""
+    bound_batches(spark)
+    words = sptokens.Vocabulary.from_model()
+    coded = sptokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words, F.col("doc_id"))
+    same = sptokens.decode(F.col("ids"), spark, words).eqNullSafe(F.col("text"))
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", same.alias("lossless"))
+
+
 def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest by inner product of every vector whose id is divisible by 20."""
     bound_batches(spark)
@@ -101,6 +110,7 @@ QUERIES: dict = {
     "op3_universe_partition": (op3_universe_partition, None),
     "op4_byte_convolutions": (op4_byte_convolutions, None),
     "op5_virtual_slots": (op5_virtual_slots, None),
+    "op6_sampled_pieces": (op6_sampled_pieces, None),
     "op7_vantage_point_trees": (op7_vantage_point_trees, None),
     "op8_systematic_mix": (op8_systematic_mix, None),
     "op9_budgeted_windows": (op9_budgeted_windows, None),
