@@ -482,3 +482,21 @@ def join(docs: DataFrame) -> DataFrame:
     first = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     shared = first.where("members > 1").drop("members")
     return named.join(shared, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each group of linked ones, that of least doc_id, with all its columns.
+
+    Rows of one doc_id are one document, of which the least row stays. Rows without a doc_id
+    can't be named and all stay.
+    """
+    found = join(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    is_first = F.max(F.col("doc_id") == F.col("component_id"))
+    ids = cut(found.groupBy("doc_id").agg(is_first.alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated")))
+    apart = sized(cut(ids.where("repeated or not stays").select("doc_id")), ID_BYTES)
+    kept = docs.join(apart, "doc_id", "left_anti")
+    several = ids.where("repeated and stays").select("doc_id")
+    if several.isEmpty():
+        return kept
+    least = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.select(*docs.columns).unionByName(least.select("row.*"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +106,7 @@ def op10_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_url_language_models": (op1_url_language_models, None),
     "op2_feistel_pseudonyms": (op2_feistel_pseudonyms, None),
     "op3_universe_partition": (op3_universe_partition, None),
