@@ -48,7 +48,7 @@ def source_targets(per_source: DataFrame, most: int = MOST, weights: tuple[int,
         .withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("level", level)
         .withColumn("stops", F.col("level") > F.col("ratio"))
-        .withColumn("common", F.max(F.when(~F.col("stops"), F.struct((-F.col("ratio")).alias("r"), "level"))).over(whole)["level"])
+        .withColumn("common", F.max(F.when(~F.col("stops"), F.col("level"))).over(whole))
         .withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(F.col("weight") * F.col("common")))
         .select("source", "source_size", "weight", "target")
     )
@@ -64,9 +64,10 @@ def systematic_copies(
 ) -> DataFrame:
     """All rows with ``source_size``, ``target`` and ``copies`` (0 to ``most``) added.
 
-    Columns of these names are replaced; every other column is carried along.
+    Columns of these names are replaced, and columns that begin with an underscore are dropped;
+    every other column is carried along.
     """
-    rows = rows.drop("source_size", "target", "copies")
+    rows = rows.drop("source_size", "target", "copies", *[c for c in rows.columns if c.startswith("_")])
     n_rows = rows.count() if n_rows is None else n_rows
     buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
     placed = (

@@ -153,7 +153,7 @@ def most_different(n: np.ndarray, below: np.ndarray | None = None) -> np.ndarray
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    return (np.bitwise_count(np.maximum(_bits(n), 1)) - 1) // 2
+    return (np.bitwise_count(np.maximum(_bits(n), 1)).astype(np.int64) - 1) // 2
 
 
 def _bits(n: np.ndarray) -> np.ndarray:

@@ -11,6 +11,35 @@ from sievekit.llm.common import bound_batches, cut, table, word_count
 
 SHARDS = 8
 
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key,
+    CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT source, key, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM d GROUP BY source, key),
+c AS (SELECT *, (place % 3 + 1)::DOUBLE AS weight, source_size::DOUBLE * 3 AS cap FROM s),
+l AS (
+  SELECT *, cap / weight AS ratio,
+    ((sum(source_size) OVER ())::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c),
+t AS (
+  SELECT key, source_size,
+    CASE WHEN level > ratio THEN cap ELSE weight * (SELECT max(level) FROM l WHERE level <= ratio) END AS target
+  FROM l),
+r AS (
+  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY key ORDER BY size, doc_id) AS nth,
+    ('0x' || substr(md5(key || '#8'), 1, 5))::INT / 1048576::DOUBLE AS start,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM d JOIN t USING (key))
+SELECT doc_id, size, source_size, target,
+  (least(floor(start + rate * nth) - floor(start + rate * (nth - 1)), 3) * size)::BIGINT AS taken
+FROM r
+"""
+
 
 def op1_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL: by rule, else by the two language models."""
@@ -114,7 +143,7 @@ QUERIES: dict = {
     "op5_virtual_slots": (op5_virtual_slots, None),
     "op6_sampled_pieces": (op6_sampled_pieces, None),
     "op7_vantage_point_trees": (op7_vantage_point_trees, None),
-    "op8_systematic_mix": (op8_systematic_mix, None),
+    "op8_systematic_mix": (op8_systematic_mix, MIX_SQL),
     "op9_budgeted_windows": (op9_budgeted_windows, None),
     "op10_consistent_parsing": (op10_consistent_parsing, None),
 }
