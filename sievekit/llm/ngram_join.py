@@ -9,18 +9,18 @@ band (sizes 4^c to 4^(c+1)), so that a segment holds one or two shingles of a se
 two sets differ in H shingles, then of any H + 1 segments in which they are not both
 empty, one holds the same shingles in both.
 
-Allocation. All sets take segments in one order, and each emits the contents of its
-first H + 1 non-empty segments, the fewest that suffice. Of two linked sets, take the
-one whose last emitted segment comes first: up to there it has H + 1 non-empty segments,
-so an equal non-empty one is among them, and the other set emits it as well. Cost decides
-the order: shingles that a summary of the whole corpus finds in many documents lie in
-segments of their own at its end, and are emitted only by sets made of little else.
-Which shingles count as frequent changes the work, never the result.
-
-Rest. A set with too few non-empty segments emits all of them, and its single shingles
-as well, which finds its links to others like it. Sets of up to five shingles differ in
-at most one, and emit their whole set and its one-deletion neighbourhood. A set near the
-lower end of its band emits for the band below too, where smaller partners are.
+Allocation. A set names the contents of its non-empty segments, and pays for each what its
+name costs: the number of sets that have it. It keeps the H + 1 cheapest, in the order of
+(cost, name), the fewest that suffice. Of two linked sets, take the one whose dearest kept
+name comes first: it keeps H + 1 segments, so one of them is equal in the other set, has the
+same name and cost there, and is kept there as well. Names that only one set has cost least
+and never leave the counting, so passages that many documents share bring no candidates as
+long as a document has enough of its own.
+
+Rest. A set with too few non-empty segments keeps all of them, and H + 1 of its single
+shingles as well, which finds its links to others like it. Sets of up to five shingles differ
+in at most one, and keep their whole set and its one-deletion neighbourhood. A set near the
+lower end of its band also takes part in the band below, where smaller partners are.
 
 Search. Equal sets become one node first. Nodes that emit a common signature are
 candidates, but no group is expanded into pairs: each node is first verified against the
@@ -49,10 +49,9 @@ WIDTH = 5
 SLICE_BYTES = 1 << 20
 BAND_RATIO = 4
 PER_SEGMENT = 1.6  # shingles of the largest set of a band in each segment, on average
+REGION = 0.8  # the part of the universe whose segments are used: the same for all sets
 TINY = 5  # sets up to this size differ from a linked one in one shingle at most
-SUMMARY = 200_000  # entries of a task's summary of frequent shingles
-FREQUENT = 50_000  # shingles treated as frequent, at most: the bound of what is sent to all tasks
-FREQUENT_IN = 12  # documents that hold a frequent shingle, at least
+OWN, BELOW, SINGLE, WHOLE = range(4)  # schemes of a signature
 ID_BYTES = 16  # of a node and a doc_id
 LEAST_BINS, PER_BIN = 16, 2
 
@@ -78,10 +77,10 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _per_row(values: np.ndarray, rows: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
-    """Order by row, then by ``late``, then by value."""
+def _per_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Order by row, then by value."""
     order = np.argsort(values)
-    group = rows[order] if late is None else 2 * rows[order] + late[order]
+    group = rows[order]
     kind = np.uint16 if len(group) == 0 or group.max() < 1 << 16 else np.int64
     return order[np.argsort(group.astype(kind), kind="stable")]
 
@@ -168,27 +167,6 @@ def segments_of(band: np.ndarray) -> np.ndarray:
     return np.ceil(float(BAND_RATIO) ** (band + 1) / PER_SEGMENT).astype(np.int64)
 
 
-class Summary:
-    """Frequent values over a stream (Misra-Gries in batches): a value in more than
-    1 / SUMMARY of all places is never lost."""
-
-    def __init__(self, most: int = SUMMARY):
-        self.most, self.values, self.counts = most, np.zeros(0, _u), np.zeros(0, np.int64)
-
-    def add(self, values: np.ndarray) -> None:
-        every = np.concatenate([self.values, values])
-        weight = np.concatenate([self.counts, np.ones(len(values), np.int64)])
-        order = np.argsort(every)
-        every, weight = every[order], weight[order]
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-        self.values = every[first]
-        self.counts = np.add.reduceat(weight, first) if len(first) else np.zeros(0, np.int64)
-        if len(self.values) > self.most:
-            self.counts = self.counts - np.partition(self.counts, -self.most - 1)[-self.most - 1]
-            kept = self.counts > 0
-            self.values, self.counts = self.values[kept], self.counts[kept]
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         for part in sliced(batch, "text", SLICE_BYTES):
@@ -196,39 +174,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def facts(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """One row per document (doc_id, n, node, proof, bins), and rows of frequent shingles (shingle, seen).
+    """One row per document: doc_id, n, node, proof, bins.
 
     ``node`` and ``proof`` are two independent keys of the set; ``bins`` counts its
     shingles by hash (see ``bins_of``).
     """
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("bins", pa.binary()),
-        ("shingle", pa.int64()), ("seen", pa.int64()),
-    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, met = Summary(), set()
         for part, data, offsets in _texts(batches):
             row, value = shingle_sets(data, offsets, seed)
             size = part.num_rows
             n = np.bincount(row, minlength=size)
-            node, proof = (set_keys(row, value, size, k) for k in (0, 1))
-            nothing = pa.nulls(size, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node.view(np.int64), mask=n == 0), pa.array(proof.view(np.int64)),
-                 pa.array(bins_of(row, value, size), pa.binary()), nothing, nothing],
-                schema=schema,
-            )
-            often.add(value[_first_met(node, n, met)[row]])
-        many = often.counts > 1
-        if many.any():
-            none = pa.nulls(int(many.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.nulls(len(none), pa.binary()), pa.array(often.values[many].view(np.int64)), pa.array(often.counts[many])],
-                schema=schema,
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, proof long, bins binary, shingle long, seen long")
+            node, proof = (set_keys(row, value, size, k).view(np.int64) for k in (0, 1))
+            columns = [part.column("doc_id"), pa.array(n), pa.array(node, mask=n == 0), pa.array(proof), pa.array(bins_of(row, value, size), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "proof", "bins"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, proof long, bins binary")
 
 
 def _first_met(node: np.ndarray, n: np.ndarray, met: set) -> np.ndarray:
@@ -241,71 +202,61 @@ def _first_met(node: np.ndarray, n: np.ndarray, met: set) -> np.ndarray:
     return out
 
 
-def _sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(mix64(value), first)
+def _segments(row: np.ndarray, value: np.ndarray, band: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, name) of every non-empty segment of the region, and how many each row has.
 
-
-def _emit(row: np.ndarray, value: np.ndarray, late: np.ndarray, n: np.ndarray, scheme: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of each row's first ``need`` non-empty segments in its scheme.
-
-    Rows come ordered by row, late, value, so a segment's shingles stand together.
-    Returns (row, signature) and whether each row had too few segments.
+    Hashes are cut into segments by their order, so a row's sorted shingles lie segment by segment.
     """
-    segment = (((value >> _u(32)) * segments_of(scheme)[row].astype(_u)) >> _u(32)).astype(np.int64) * 2 + late
+    segment = ((value >> _u(32)) * segments_of(band)[row].astype(_u)) >> _u(32)
+    used = segment < (REGION * segments_of(band))[row]
+    row, value, segment = row[used], value[used], segment[used]
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])
     at = np.flatnonzero(first)
     owner = row[at]
-    count = np.bincount(owner, minlength=len(n))
-    nth = np.arange(len(at)) - (np.cumsum(count) - count)[owner]
-    kept = nth < need[owner]
-    place = segment[at].astype(_u) * _u(0x9E3779B97F4A7C15) + scheme[owner].astype(_u)
-    signature = mix64(_sums(value, at) + mix64(place)) if len(at) else np.zeros(0, _u)
-    return owner[kept], signature[kept], count < need
+    place = segment[at] * _u(0x9E3779B97F4A7C15) + band[owner].astype(_u)
+    name = mix64(np.add.reduceat(mix64(value), at) + mix64(place)) if len(at) else np.zeros(0, _u)
+    return owner, name, np.bincount(owner, minlength=size)
 
 
-def signatures_of(row: np.ndarray, value: np.ndarray, size: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows; ``frequent`` is sorted."""
+def signatures_of(row: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, scheme, spare) of sets given row by row in order.
+
+    ``spare`` is how many signatures of that scheme the row can do without.
+    """
     n = np.bincount(row, minlength=size)
-    late = np.zeros(len(value), np.int64)
-    if len(frequent) and len(value):
-        near = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
-        late = (frequent[near] == value).astype(np.int64)
-        if late.any():
-            order = _per_row(value, row, late)
-            row, value, late = row[order], value[order], late[order]
     band = band_of(n)
     low = np.maximum(BAND_RATIO**band, TINY + 1)
-    rows, found = [], []
     large = n > TINY
-    pick = large[row]
-    own = _emit(row[pick], value[pick], late[pick], n, band, np.where(large, most_different(n) + 1, 0))
-    rows.append(own[0])
-    found.append(own[1])
-    # Partners of the band below, down to three quarters of the size.
+    # Partners in the band below, down to three quarters of the size.
     down = large & (3 * n <= 4 * (low - 1)) & (low - 1 > TINY)
-    pick = down[row]
-    below = _emit(row[pick], value[pick], late[pick], n, band - 1, np.where(down, most_different(n, low) + 1, 0))
-    rows.append(below[0])
-    found.append(below[1])
-    few = (large & own[2]) | (down & below[2])
+    out, few = [], np.zeros(size, bool)
+    for scheme, takes_part, at_band, need in (
+        (OWN, large, band, most_different(n) + 1),
+        (BELOW, down, band - 1, most_different(n, low) + 1),
+    ):
+        pick = takes_part[row]
+        owner, name, count = _segments(row[pick], value[pick], at_band, size)
+        out.append((owner, name, scheme, (count - need)[owner]))
+        few |= takes_part & (count < need)
     pick = few[row]
-    rows.append(row[pick])
-    found.append(mix64(value[pick] + _u(0x632BE59BD9B4E019)))
+    out.append((row[pick], mix64(value[pick] + _u(0x632BE59BD9B4E019)), SINGLE, (n - most_different(n) - 1)[row[pick]]))
     # Whole sets and one-deletion neighbourhoods, up to the size of the largest partner of a tiny set.
     tiny = (n > 0) & (n <= TINY + 1)
     if tiny.any():
-        pick = tiny[row]
-        r, v = row[pick], mix64(value[pick])
+        r, v = row[tiny[row]], mix64(value[tiny[row]])
         whole = np.zeros(size, _u)
         np.add.at(whole, r, v)
-        rows += [np.flatnonzero(tiny), r]
-        found += [mix64(whole[tiny] + _u(0x85EBCA77C2B2AE63)), mix64(whole[r] - v + _u(0x85EBCA77C2B2AE63))]
-    return np.concatenate(rows), np.concatenate(found)
+        owner = np.concatenate([np.flatnonzero(tiny), r])
+        name = mix64(np.concatenate([whole[tiny], whole[r] - v]) + _u(0x85EBCA77C2B2AE63))
+        out.append((owner, name, WHOLE, np.full(len(owner), -1)))
+    rows, names, schemes, spares = zip(*out, strict=True)
+    scheme = np.repeat(schemes, [len(r) for r in rows])
+    return np.concatenate(rows), np.concatenate(names), scheme, np.concatenate(spares)
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, seed: int = 0) -> DataFrame:
-    """(sig, node), the signatures of every set that a task meets, once per task."""
+def signatures(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(sig, node, code) of every set that a task meets, once per task; code is 4 * spare + scheme."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set = set()
@@ -313,10 +264,26 @@ def signatures(docs: DataFrame, frequent: np.ndarray, seed: int = 0) -> DataFram
             row, value = shingle_sets(data, offsets, seed)
             node = set_keys(row, value, part.num_rows, 0)
             new = _first_met(node, np.bincount(row, minlength=part.num_rows), met)[row]
-            owner, sig = signatures_of(row[new], value[new], part.num_rows, frequent)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[owner].view(np.int64))], ["sig", "node"])
+            owner, sig, scheme, spare = signatures_of(row[new], value[new], part.num_rows)
+            code = (4 * spare + scheme).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[owner].view(np.int64)), pa.array(code)], ["sig", "node", "code"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return docs.select("text").mapInArrow(run, "sig long, node long, code int")
+
+
+def allocated(found: DataFrame) -> DataFrame:
+    """(sig, node, low) of the signatures that nodes keep and that several nodes share; ``low`` is the least of these."""
+    group = Window.partitionBy("sig")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
+        return rows.where("low != high").drop("high")
+
+    counted = cut(shared(found.withColumn("cost", F.count(F.lit(1)).over(group))).drop("low").distinct())
+    own = Window.partitionBy("node", F.pmod("code", F.lit(4)))
+    ranked = counted.withColumn("nth", F.row_number().over(own.orderBy("cost", "sig"))).withColumn("n_shared", F.count(F.lit(1)).over(own))
+    kept = ranked.where(F.col("nth") <= F.col("n_shared") - F.floor(F.col("code") / 4)).select("sig", "node").distinct()
+    return cut(shared(kept))
 
 
 def bins_of(row: np.ndarray, value: np.ndarray, size: int) -> list[bytes]:
@@ -411,15 +378,6 @@ def separate(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def frequent_shingles(found: DataFrame, most: int = FREQUENT, least: int = FREQUENT_IN) -> np.ndarray:
-    """At most ``most`` shingles of the tasks' summaries, the most frequent ones, sorted."""
-    top = (
-        found.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-        .where(F.col("seen") >= least).orderBy(F.desc("seen"), "shingle").limit(most)
-    )
-    return np.sort(np.array([r[0] for r in top.select("shingle").collect()], np.int64).view(_u))
-
-
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts of every document, verified links between sets as pairs of nodes)."""
     for seed in range(1 << 16):
@@ -430,14 +388,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if clash.isEmpty():
             break
     group = Window.partitionBy("sig")
-    live = cut(
-        signatures(docs, frequent_shingles(known), seed)
-        .withColumn("low", F.min("node").over(group))
-        .withColumn("high", F.max("node").over(group))
-        .where("low != high")
-        .drop("high")
-        .distinct()
-    )
+    live = allocated(signatures(docs, seed))
     nodes = cut(
         sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
         .join(live.select("node").distinct(), "node")
@@ -455,7 +406,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         named = named.withColumn("least", F.min("root").over(group)).withColumn("most", F.max("root").over(group))
         still = cut(named.where("least != most and nth >= " + str(low)).select("sig", "node", "nth", "root"))
         if still.isEmpty():
-            return known.where(F.col("shingle").isNull()), sure
+            return known, sure
         met = still.where(F.col("nth") < high).alias("x").join(
             still.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.nth") < F.col("y.nth")) & (F.col("x.root") != F.col("y.root"))
         )
