@@ -45,26 +45,31 @@ def java_flags(ignore_case: bool = False, dotall: bool = False) -> str:
     return f"(?{flags})"
 
 
+def running_sum(values: Column) -> Column:
+    """Inclusive prefix sums of an int array, in doubling steps: n log n work, no copy per element."""
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+
+    def double(sums: Column, k: Column) -> Column:
+        return F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+
+    return F.when(steps == 0, values).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), values, double))
+
+
 def native_spans(text: Column, java_pattern: str) -> Column:
     """array<struct<start,end,text>> of all non-overlapping matches, left to right.
 
-    ``java_pattern`` must not be able to match the empty string.
+    ``java_pattern`` must not be able to match the empty string. Offsets are prefix
+    sums over the lengths of gaps and matches in turn.
     """
     matches = F.regexp_extract_all(text, F.lit(java_pattern), 0)
     gaps = F.split(text, java_pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
-
-    def step(acc, x):
-        s = acc["pos"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(
-            e.alias("pos"),
-            F.array_append(acc["out"], F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), x["m"].alias("text"))).alias("out"),
-        )
-
-    folded = F.aggregate(pairs, init, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, folded).otherwise(F.array().cast(SPANS))
+    lengths = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.array(F.length(g), F.length(m))))
+    spans = F.zip_with(
+        matches,
+        F.filter(running_sum(lengths), lambda _, i: i % 2 == 1),
+        lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")),
+    )
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPANS))
 
 
 @lru_cache(maxsize=256)
@@ -96,105 +101,109 @@ def python_spans(text: Column, pattern: str, flags: int = 0) -> Column:
 
 # --- choosing the path for a user pattern ---------------------------------
 
-_NATIVE_OPS = {
-    _sre_c.LITERAL,
-    _sre_c.NOT_LITERAL,
-    _sre_c.ANY,
-    _sre_c.IN,
-    _sre_c.MAX_REPEAT,
-    _sre_c.MIN_REPEAT,
-    _sre_c.SUBPATTERN,
-    _sre_c.BRANCH,
-    _sre_c.AT,
-    _sre_c.GROUPREF,
+# What Python's classes mean, spelled out so that Java reads them alike.
+_CATEGORY = {
+    _sre_c.CATEGORY_DIGIT: r"\p{Nd}",
+    _sre_c.CATEGORY_SPACE: r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}",
+    _sre_c.CATEGORY_WORD: r"\p{L}\p{N}_",
 }
-_NATIVE_AT = {_sre_c.AT_BEGINNING, _sre_c.AT_END, _sre_c.AT_BOUNDARY, _sre_c.AT_NON_BOUNDARY, _sre_c.AT_BEGINNING_STRING}
-# Spellings whose meaning differs between Python and Java (or exist in only one).
-_PY_ONLY_TEXT = ("(?P", "(?#", "{,", "\\Z", "&&", "\\N", "(?(", "[[", "\\p", "\\P", "\\h", "\\R", "\\X", "\\G", "\\Q", "(?>", "*+", "++", "?+", "}+")
-
-
-def _walk_native(items) -> bool:
-    for op, av in items:
-        if op not in _NATIVE_OPS:
-            return False
-        if op == _sre_c.AT and av not in _NATIVE_AT:
-            return False
-        if op in (_sre_c.MAX_REPEAT, _sre_c.MIN_REPEAT):
-            if not _walk_native(av[2]):
-                return False
-        elif op == _sre_c.SUBPATTERN:
-            _gid, add_flags, del_flags, sub = av
-            if add_flags or del_flags:
-                return False
-            if not _walk_native(sub):
-                return False
-        elif op == _sre_c.BRANCH:
-            if not all(_walk_native(b) for b in av[1]):
-                return False
-    return True
+_NOT_CATEGORY = {
+    _sre_c.CATEGORY_NOT_DIGIT: _sre_c.CATEGORY_DIGIT,
+    _sre_c.CATEGORY_NOT_SPACE: _sre_c.CATEGORY_SPACE,
+    _sre_c.CATEGORY_NOT_WORD: _sre_c.CATEGORY_WORD,
+}
+_WORD = f"[{_CATEGORY[_sre_c.CATEGORY_WORD]}]"
+_AT = {
+    _sre_c.AT_BEGINNING: r"\A",
+    _sre_c.AT_BEGINNING_STRING: r"\A",
+    _sre_c.AT_END: r"(?=\n?\z)",
+    _sre_c.AT_END_STRING: r"\z",
+    _sre_c.AT_BOUNDARY: f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))",
+    _sre_c.AT_NON_BOUNDARY: f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))",
+}
+_ONE_CHARACTER = (_sre_c.LITERAL, _sre_c.NOT_LITERAL, _sre_c.ANY, _sre_c.IN)
+# Java recurses for every round of a repeated group, so only short fixed repeats of groups run natively.
+GROUP_ROUNDS = 64
 
 
-def can_run_natively(pattern: str) -> bool:
-    """True if java.util.regex with ``java_flags()`` finds exactly Python's matches.
+class _NotNative(Exception):
+    """The pattern needs Python."""
 
-    Conservative: no lookarounds, no Python-only syntax, no inline flags, and the
-    pattern cannot match the empty string (the split trick needs width > 0).
-    Raises ``re.error`` for a pattern Python cannot compile (reference: error).
-    """
-    re.compile(pattern)
-    if any(tok in pattern for tok in _PY_ONLY_TEXT):
-        return False
-    parsed = _sre_parse.parse(pattern)
-    if parsed.getwidth()[0] == 0:
-        return False
-    return _walk_native(list(parsed))
 
+def _char(code: int) -> str:
+    return f"\\x{{{code:x}}}"
 
-def to_java(pattern: str, ignore_case: bool = False) -> str | None:
-    """Python pattern -> java.util.regex pattern with the same matches, or None.
 
-    Python's ``\\s`` also matches U+001C..U+001F; Java's (even with ``U``) does
-    not, so ``\\s`` is widened. ``\\S`` inside a class is left to Python.
-    """
+def _class_item(op, value) -> str:
+    if op is _sre_c.LITERAL:
+        return _char(value)
+    if op is _sre_c.RANGE:
+        return f"{_char(value[0])}-{_char(value[1])}"
+    if op is _sre_c.CATEGORY and value in _CATEGORY:
+        return _CATEGORY[value]
+    if op is _sre_c.CATEGORY and value in _NOT_CATEGORY:
+        return f"[^{_CATEGORY[_NOT_CATEGORY[value]]}]"
+    raise _NotNative
+
+
+def _java(items, rounds: int) -> str:
+    """Java text of parsed Python items; ``rounds`` multiplies the repeats of enclosing groups."""
     out = []
-    i, in_class = 0, False
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            nxt = pattern[i + 1]
-            if nxt == "s":
-                out.append("\\s\\x1c-\\x1f" if in_class else "[\\s\\x1c-\\x1f]")
-            elif nxt == "S":
-                if in_class:
-                    return None
-                out.append("[^\\s\\x1c-\\x1f]")
-            else:
-                out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if ch == "[" and not in_class:
-            in_class = True
-            out.append(ch)
-            # a leading ']' or '^]' is literal in both engines' classes
-            if pattern[i + 1 : i + 2] == "^":
-                out.append("^")
-                i += 1
-            if pattern[i + 1 : i + 2] == "]":
-                out.append("\\]")
-                i += 1
-        elif ch == "]" and in_class:
-            in_class = False
-            out.append(ch)
+    for op, value in items:
+        if op is _sre_c.LITERAL:
+            out.append(_char(value))
+        elif op is _sre_c.NOT_LITERAL:
+            out.append(f"[^{_char(value)}]")
+        elif op is _sre_c.ANY:
+            out.append(r"[^\n]")
+        elif op is _sre_c.IN:
+            negated = value[0][0] is _sre_c.NEGATE
+            out.append(("[^" if negated else "[") + "".join(_class_item(*x) for x in value[negated:]) + "]")
+        elif op in (_sre_c.MAX_REPEAT, _sre_c.MIN_REPEAT):
+            least, most, sub = value
+            single = len(sub) == 1 and sub[0][0] in _ONE_CHARACTER
+            if not single and (most is _sre_c.MAXREPEAT or rounds * most > GROUP_ROUNDS):
+                raise _NotNative
+            body = _java(sub, rounds if single else rounds * max(1, most))
+            bound = "" if most is _sre_c.MAXREPEAT else int(most)
+            out.append(f"(?:{body}){{{int(least)},{bound}}}" + ("?" if op is _sre_c.MIN_REPEAT else ""))
+            if single:
+                out[-1] = out[-1].replace(f"(?:{body})", body, 1)
+        elif op is _sre_c.SUBPATTERN and not value[1] and not value[2]:
+            body = _java(value[3], rounds)
+            out.append(f"({body})" if value[0] is not None else f"(?:{body})")
+        elif op is _sre_c.BRANCH:
+            out.append("(?:" + "|".join(_java(branch, rounds) for branch in value[1]) + ")")
+        elif op is _sre_c.GROUPREF:
+            out.append(f"(?:\\{value})")
+        elif op is _sre_c.AT and value in _AT:
+            out.append(_AT[value])
         else:
-            out.append(ch)
-        i += 1
-    return java_flags(ignore_case=ignore_case) + "".join(out)
+            raise _NotNative
+    return "".join(out)
+
+
+def to_java(pattern: str, ignore_case: bool = False) -> str | None:
+    """Java pattern with exactly Python's matches, written anew from the parsed pattern, or None.
+
+    None for what Java reads otherwise or can't run safely: flags, named groups, lookarounds,
+    atomic groups, long repeats of groups. Raises ``re.error`` for a pattern that Python can't compile.
+    """
+    compiled = re.compile(pattern)
+    if compiled.flags != re.UNICODE or compiled.groupindex:
+        return None
+    try:
+        java = _java(_sre_parse.parse(pattern), 1)
+    except _NotNative:
+        return None
+    return ("(?iu)" if ignore_case else "") + java
+
+
+def can_run_natively(pattern: str) -> bool:
+    """Whether the pattern has a Java form and can't match the empty string (which the split needs)."""
+    return to_java(pattern) is not None and _sre_parse.parse(pattern).getwidth()[0] > 0
 
 
 def regex_spans(text: Column, pattern: str) -> Column:
-    """Spans of a Python-syntax pattern, native when provably equivalent."""
-    if can_run_natively(pattern):
-        java = to_java(pattern)
-        if java is not None:
-            return native_spans(text, java)
-    return python_spans(text, pattern)
+    """Spans of a Python-syntax pattern, native where that gives the same matches."""
+    return native_spans(text, to_java(pattern)) if can_run_natively(pattern) else python_spans(text, pattern)
