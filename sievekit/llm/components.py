@@ -18,15 +18,21 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("low").alias("a"), "b").distinct()
+    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("low").alias("a"), "b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them. Edges come as a < b."""
     least = edges.groupBy("b").agg(F.min("a").alias("low"))
-    linked = edges.join(least, "b")
-    own = least.select(F.col("low").alias("a"), "b")
-    return linked.where(F.col("a") > F.col("low")).select(F.col("low").alias("a"), F.col("a").alias("b")).unionByName(own).distinct()
+    ends = F.when(F.col("a") > F.col("low"), F.array("a", "b")).otherwise(F.array("b"))
+    return edges.join(least, "b").select(F.col("low").alias("a"), F.explode(ends).alias("b")).distinct()
+
+
+def roots_of_forest(parents: DataFrame) -> DataFrame:
+    """(node, root) of edges (a, b) in which every b has one parent a: its parent's parent, or
+    the parent if that has none. A node of the same component, though not always its least."""
+    above = parents.select(F.col("b").alias("mid"), F.col("a").alias("top"))
+    return parents.join(above, F.col("a") == F.col("mid"), "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,4 +51,4 @@ def components(edges: DataFrame) -> DataFrame:
         if (facts["n"], facts["h"]) == mark or not facts["n"]:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         mark = (facts["n"], facts["h"])
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(cut(_large_star(now))))

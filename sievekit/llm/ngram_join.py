@@ -19,13 +19,14 @@ long as a document has enough of its own.
 
 Rest. A set with too few non-empty segments keeps all of them, and H + 1 of its single
 shingles as well, which finds its links to others like it. Sets of up to five shingles differ
-in at most one, and keep their whole set and its one-deletion neighbourhood. A set near the
+in at most one, and keep their whole set and its one-deletion neighbourhood; those of one or
+two link with equal ones only, and need none. A set near the
 lower end of its band also takes part in the band below, where smaller partners are.
 
 Search. Equal sets become one node first. Nodes that emit a common signature are
 candidates, but no group is expanded into pairs: each node is first verified against the
 least node it meets; groups whose nodes are then all connected are done, and what is left
-goes on against further members, a few ranks of the group per round, until every pair not
+goes on against further members, some ranks of the group per round, until every pair not
 yet connected has been verified.
 
 Edge cases: null text, or text without words, has an empty set: no links, a component of
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.llm.common import cut, mix64, shuffles_dropped, sized, sliced, text_buffer
-from sievekit.llm.components import components
+from sievekit.llm.components import components, roots_of_forest
 
 WIDTH = 5
 SLICE_BYTES = 1 << 20
@@ -54,6 +55,7 @@ TINY = 5  # sets up to this size differ from a linked one in one shingle at most
 OWN, BELOW, SINGLE, WHOLE = range(4)  # schemes of a signature
 ID_BYTES = 16  # of a node and a doc_id
 LEAST_BINS, PER_BIN = 16, 2
+RANKS = 64  # members of a group met by all others in a round, times as many in each further round
 
 _u = np.uint64
 _BASE = _u(0xD1342543DE82EF95)
@@ -242,7 +244,7 @@ def signatures_of(row: np.ndarray, value: np.ndarray, size: int) -> tuple[np.nda
     pick = few[row]
     out.append((row[pick], mix64(value[pick] + _u(0x632BE59BD9B4E019)), SINGLE, (n - most_different(n) - 1)[row[pick]]))
     # Whole sets and one-deletion neighbourhoods, up to the size of the largest partner of a tiny set.
-    tiny = (n > 0) & (n <= TINY + 1)
+    tiny = (n > 2) & (n <= TINY + 1)
     if tiny.any():
         r, v = row[tiny[row]], mix64(value[tiny[row]])
         whole = np.zeros(size, _u)
@@ -378,8 +380,8 @@ def separate(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts of every document, verified links between sets as pairs of nodes)."""
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts of every document, root of every node that is linked to a smaller one)."""
     for seed in range(1 << 16):
         known = cut(facts(docs, seed))
         sets = known.where(F.col("node").isNotNull())
@@ -397,16 +399,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = cut(live.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
     near = possible(tried, nodes)
     texts = texts_of(docs, nodes, near, seed)
-    sure = verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, seed)
-    sure = cut(sure.unionByName(verified(separate(near, components(sure)), texts, seed)))
+    first = verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, seed)
+    sure = cut(first.unionByName(verified(separate(near, cut(roots_of_forest(first))), texts, seed)))
+    root, found_later = components(sure), None
     ranked = cut(live.select("sig", "node", (F.row_number().over(group.orderBy("node")) - 1).alias("nth"), F.count(F.lit(1)).over(group).alias("size")))
-    root, low, high = components(sure), 1, 8
+    low, high = 1, RANKS
     while True:
         named = ranked.where(F.col("size") > low + 1).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = named.withColumn("least", F.min("root").over(group)).withColumn("most", F.max("root").over(group))
         still = cut(named.where("least != most and nth >= " + str(low)).select("sig", "node", "nth", "root"))
         if still.isEmpty():
-            return known, sure
+            break
         met = still.where(F.col("nth") < high).alias("x").join(
             still.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.nth") < F.col("y.nth")) & (F.col("x.root") != F.col("y.root"))
         )
@@ -417,17 +420,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not near.isEmpty():
             texts = texts.unionByName(texts_of(docs, nodes, near, seed, texts.select("node")))
             found = verified(near, texts, seed)
-            if not found.isEmpty():
-                sure = cut(sure.unionByName(found))
-                root = components(sure)
-        low, high = high, 8 * high
+            found_later = found if found_later is None else found_later.unionByName(found)
+        low, high = high, RANKS * high
+    if found_later is not None and not found_later.isEmpty():
+        root = components(sure.unionByName(found_later))
+    return known, root
 
 
 def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id of its component)."""
     with shuffles_dropped(docs.sparkSession):
-        known, sure = links(docs)
-        root = components(sure)
+        known, root = linked_sets(docs)
     named = known.select("doc_id", "n", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.select("doc_id", F.col("n").alias("n_shingles"), "root"))
     first = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))

