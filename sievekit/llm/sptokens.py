@@ -39,7 +39,7 @@ from sievekit.llm.common import mix64, sliced, text_buffer
 
 ALPHA, SHIFT = 1.0, 10.0
 SEED = 6
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 21
 BLANK = "▁"
 _u = np.uint64
 
@@ -122,76 +122,83 @@ class Lattice:
         self.piece_at = np.array(piece_at, np.int32)
         self.log_weight = np.array(vocabulary.log_weight)
         self.byte_id = np.array(vocabulary.byte_id, np.int32)
+        if max(map(len, vocabulary.pieces)) >= 64:
+            raise ValueError("pieces of 64 bytes or more are not supported")
         self.byte_weight = float(np.min(self.log_weight[np.isfinite(self.log_weight)]))
 
     def _arcs(self, data: np.ndarray, chunk_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece, log weight) of all pieces in chunks; chunk_end is given by byte."""
-        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        heads = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
         width = np.diff(heads, append=len(data))  # bytes of the character, within the slice
         starts, ends, pieces = [], [], []
         own = np.zeros(len(heads), bool)  # the character has a piece of its own
-        which, node, k = np.arange(len(heads)), np.zeros(len(heads), np.int32), 0
+        room = chunk_end[heads] - heads  # bytes from the character to the end of its chunk
+        which, row, k = np.arange(len(heads), dtype=np.int32), np.zeros(len(heads), np.int32), 0
         while len(which):
-            place = heads[which] + k
-            inside = place < chunk_end[heads[which]]
-            which, node, place = which[inside], node[inside], place[inside]
-            node = self.step[self.row[node] * 256 + data[place]]
+            inside = room[which] > k
+            which, row = which[inside], row[inside]
+            node = self.step[(row << 8) + data[heads[which] + k]]
             live = node > 0
             which, node = which[live], node[live]
             piece = self.piece_at[node]
             found = piece >= 0
-            starts.append(heads[which[found]])
-            ends.append(heads[which[found]] + k + 1)
+            hit = which[found]
+            starts.append(heads[hit])
+            ends.append(heads[hit] + (k + 1))
             pieces.append(piece[found])
-            own[which[found & (width[which] == k + 1)]] = True
-            on = self.row[node] >= 0
-            which, node, k = which[on], node[on], k + 1
-        lone = np.flatnonzero(np.repeat(~own, width)) + (heads[0] if len(heads) else 0)
+            own[hit[width[hit] == k + 1]] = True
+            row = self.row[node]
+            on = row >= 0
+            which, row, k = which[on], row[on], k + 1
+        lone = (np.flatnonzero(np.repeat(~own, width)) + (heads[0] if len(heads) else 0)).astype(np.int32)
         starts.append(lone)
         ends.append(lone + 1)
         pieces.append(self.byte_id[data[lone]])
         weights = [self.log_weight[p] for p in pieces[:-1]] + [np.full(len(lone), self.byte_weight)]
         return np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces), np.concatenate(weights)
 
-    def _filter(self, data: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _filter(self, data: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Forward filtering of chunks that lie one after the other; ``chunk`` holds their bounds.
 
-        Returns arcs ordered by end as (key, start, piece): the keys of the arcs that end at byte
-        place e lie in (e, e + 1] and split it in proportion to their probabilities.
+        Returns (run, start, piece, first): the arcs that end at byte place e lie together from
+        ``first[e]`` on, and ``run`` sums their probabilities up to 1.
         """
         sizes = np.diff(chunk)
         start, end, piece, weight = self._arcs(data, np.repeat(chunk[1:], sizes))
-        first = np.repeat(chunk[:-1], sizes)  # of the chunk, by byte
-        depth = end - first[end - 1]
-        order = np.lexsort((end, depth))
+        head = np.repeat(chunk[:-1], sizes)  # of the chunk, by byte
+        depth = end - head[end - 1]
+        # Pieces are shorter than 64 bytes. The order of a place's arcs is part of the sample.
+        order = np.argsort((depth * np.int64(len(data) + 1) + end << 6) + (end - start))
         start, end, piece, weight, depth = (x[order] for x in (start, end, piece, weight, depth))
-        # total[p] sums, as a logarithm, all ways from the chunk's first byte to the place after byte p.
-        total = np.zeros(len(data))
-        before = np.where(start == first[end - 1], -1, start - 1)
-        share = np.empty(len(start))
+        # total[p] sums, as a logarithm, all ways from the chunk's first byte to place p; the last entry
+        # stands for the first byte itself.
+        total = np.zeros(len(data) + 2)
+        before = np.where(start == head[end - 1], len(data) + 1, start)
+        run = np.empty(len(start))
+        first = np.zeros(len(data) + 1, np.int64)
         bounds = np.searchsorted(depth, np.arange(1, (depth[-1] if len(depth) else 0) + 2))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if lo == hi:
                 continue
-            back = before[lo:hi]
-            way = weight[lo:hi] + np.where(back >= 0, total[back], 0.0)
-            place = end[lo:hi] - 1
+            way = weight[lo:hi] + total[before[lo:hi]]
+            place = end[lo:hi]
             group = np.flatnonzero(np.diff(place, prepend=-1))
-            most = np.maximum.reduceat(way, group)
             count = np.diff(group, append=hi - lo)
+            most = np.maximum.reduceat(way, group)
             part = np.exp(way - np.repeat(most, count))
             whole = np.add.reduceat(part, group)
             total[place[group]] = most + np.log(whole)
-            share[lo:hi] = part / np.repeat(whole, count)
-        order = np.argsort(end, kind="stable")
-        start, end, piece, share = start[order], end[order], piece[order], share[order]
-        run = np.cumsum(share)
+            first[place[group]] = lo + group
+            run[lo:hi] = part / np.repeat(whole, count)
+        # Sums within each group, one by one, so that they don't depend on what lies beside it.
         group = np.flatnonzero(np.diff(end, prepend=-1))
-        count = np.diff(group, append=len(end))
-        run -= np.repeat(run[group] - share[group], count)
+        count, at = np.diff(group, append=len(end)), group
+        while len(at := at[count > 1] + 1):
+            count = count[count > 1] - 1
+            run[at] += run[at - 1]
         last = np.append(group[1:], len(end)) - 1 if len(group) else group
         run[last] = 1.0
-        return end + np.minimum(run, 1.0), start, piece
+        return run, start, piece, first
 
     def sample(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of every text; ``keys`` seeds each text."""
@@ -208,7 +215,7 @@ class Lattice:
         length = size[unique]
         bounds = np.concatenate([[0], np.cumsum(length)])
         gather = np.repeat(begin[unique] - bounds[:-1], length) + np.arange(bounds[-1])
-        key, start, piece = self._filter(data[gather], bounds)
+        run, start, piece, first = self._filter(data[gather], bounds)
         # Backward sampling of all chunks at once; ``end`` is a place among the distinct chunks.
         out = np.full(len(data), -1, np.int32)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -220,7 +227,11 @@ class Lattice:
             mine = row[place - 1]
             h = mix64(seed[mine] + (place - offsets[mine]).astype(_u) * _u(0x9E3779B97F4A7C15))
             unit = (h >> _u(11)).astype(np.float64) / float(1 << 53)
-            arc = np.searchsorted(key, end + np.minimum(unit, 1 - 1e-9), side="right")
+            arc = first[end]
+            on = np.flatnonzero(unit >= run[arc])
+            while len(on):
+                arc[on] += 1
+                on = on[unit[on] >= run[arc[on]]]
             out[place - 1] = piece[arc]
             end = start[arc]
             on = end > low
