@@ -1,13 +1,8 @@
-"""Compile a JSON Schema (common assertion subset) once on the driver into a
-boolean Column over a VARIANT value; true means the instance conforms.
-
-Supported: type, enum, const, required, properties, additionalProperties,
-patternProperties (as additional-key filter only when absent), items (single
-schema), prefixItems, minItems, maxItems, uniqueItems (scalars), minProperties,
-maxProperties, minimum, maximum, exclusiveMinimum, exclusiveMaximum,
-multipleOf, minLength, maxLength, pattern, allOf, anyOf, oneOf, not, boolean
-schemas. Other assertion keywords raise ``ValueError`` on the driver instead of
-being silently ignored. Annotation keywords are ignored.
+"""Compile a JSON Schema once on the driver into a boolean Column over a VARIANT value.
+
+Covers the common assertion keywords (``SUPPORTED``). Anything else that asserts,
+``$ref`` included, raises ``SchemaError``; such schemas are evaluated row by row by
+``schema_rows.conforms``. Annotations, ``format`` among them, are ignored.
 """
 
 from __future__ import annotations
@@ -96,8 +91,9 @@ def _type_check(v, name: str) -> Column:
 
 
 def _field(v: Column, key: str) -> Column:
-    path = "$[" + json.dumps(key) + "]" if re.search(r"[^A-Za-z0-9_]", key) else f"$.{key}"
-    return F.try_variant_get(v, path, "variant")
+    if re.fullmatch(r"[A-Za-z0-9_]+", key):
+        return F.try_variant_get(v, f"$.{key}", "variant")
+    return F.try_element_at(_as_map(v), F.lit(key))  # names that a path can't spell
 
 
 def _as_map(v):
@@ -117,6 +113,8 @@ def compile_schema(schema) -> "callable":
     if not isinstance(schema, dict):
         raise SchemaError(f"schema must be an object or boolean, got {type(schema).__name__}")
     unknown = set(schema) - SUPPORTED - ANNOTATIONS
+    if not isinstance(schema.get("required", []), list):
+        unknown.add("required")
     if unknown:
         raise SchemaError(f"unsupported JSON Schema keywords: {sorted(unknown)}")
 
@@ -174,7 +172,7 @@ def compile_schema(schema) -> "callable":
     if "items" in s:
         itf = compile_schema(s["items"])
         start = len(s.get("prefixItems", []))
-        arr_checks.append(lambda v, itf=itf, start=start: F.forall(F.slice(_as_array(v), start + 1, 1 << 30) if start else _as_array(v), itf))
+        arr_checks.append(lambda v, itf=itf, start=start: F.forall(F.filter(_as_array(v), lambda _, i: i >= start) if start else _as_array(v), itf))
     for i, sub in enumerate(s.get("prefixItems", [])):
         subf = compile_schema(sub)
         arr_checks.append(lambda v, i=i, subf=subf: F.when(F.size(_as_array(v)) <= i, F.lit(True)).otherwise(subf(F.get(_as_array(v), i))))
@@ -190,16 +188,21 @@ def compile_schema(schema) -> "callable":
         checks.append(lambda v, ac=arr_checks: ~_is_array(v) | _all(v, ac))
 
     num_checks = []
+    for key in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"):
+        if key in s and (isinstance(s[key], bool) or not isinstance(s[key], (int, float))):
+            raise SchemaError(f"unsupported value of {key}: {s[key]!r}")
+    if s.get("multipleOf", 1) != int(s.get("multipleOf", 1)):
+        raise SchemaError("a fractional multipleOf needs decimal arithmetic")
     if "minimum" in s:
         x = float(s["minimum"])
         num_checks.append(lambda v, x=x: _num(v) >= x)
     if "maximum" in s:
         x = float(s["maximum"])
         num_checks.append(lambda v, x=x: _num(v) <= x)
-    if "exclusiveMinimum" in s and not isinstance(s["exclusiveMinimum"], bool):
+    if "exclusiveMinimum" in s:
         x = float(s["exclusiveMinimum"])
         num_checks.append(lambda v, x=x: _num(v) > x)
-    if "exclusiveMaximum" in s and not isinstance(s["exclusiveMaximum"], bool):
+    if "exclusiveMaximum" in s:
         x = float(s["exclusiveMaximum"])
         num_checks.append(lambda v, x=x: _num(v) < x)
     if "multipleOf" in s:
