@@ -25,7 +25,7 @@ lower end of its band also takes part in the band below, where smaller partners
 
 Search. Equal sets become one node first. Nodes that emit a common signature are
 candidates, but no group is expanded into pairs: each node is first verified against the
-least node it meets; groups whose nodes are then all connected are done, and what is left
+node of its groups that shares most with others; groups whose nodes are then all connected are done, and what is left
 goes on against further members, some ranks of the group per round, until every pair not
 yet connected has been verified.
 
@@ -55,7 +55,7 @@ TINY = 5  # sets up to this size differ from a linked one in one shingle at most
 OWN, BELOW, SINGLE, WHOLE = range(4)  # schemes of a signature
 ID_BYTES = 16  # of a node and a doc_id
 LEAST_BINS, PER_BIN = 16, 2
-RANKS = 64  # members of a group met by all others in a round, times as many in each further round
+RANKS = 8  # members of a group met by all others in a round, times as many in each further round
 
 _u = np.uint64
 _BASE = _u(0xD1342543DE82EF95)
@@ -274,18 +274,22 @@ def signatures(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def allocated(found: DataFrame) -> DataFrame:
-    """(sig, node, low) of the signatures that nodes keep and that several nodes share; ``low`` is the least of these."""
-    group = Window.partitionBy("sig")
-
-    def shared(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-        return rows.where("low != high").drop("high")
+    """(sig, node, place, low) of the signatures that nodes keep and that several nodes share.
 
-    counted = cut(shared(found.withColumn("cost", F.count(F.lit(1)).over(group))).drop("low").distinct())
-    own = Window.partitionBy("node", F.pmod("code", F.lit(4)))
-    ranked = counted.withColumn("nth", F.row_number().over(own.orderBy("cost", "sig"))).withColumn("n_shared", F.count(F.lit(1)).over(own))
-    kept = ranked.where(F.col("nth") <= F.col("n_shared") - F.floor(F.col("code") / 4)).select("sig", "node").distinct()
-    return cut(shared(kept))
+    ``place`` orders nodes by how much they share with others, the most first, and ``low`` is
+    the first node of a group in that order: of a family of near copies, that which the others
+    were made from, or one close to it.
+    """
+    group = Window.partitionBy("sig")
+    several = F.min("node").over(group) != F.max("node").over(group)
+    counted = found.withColumn("cost", F.count(F.lit(1)).over(group)).withColumn("several", several)
+    counted = cut(counted.where("several").drop("several").distinct())
+    mine, own = Window.partitionBy("node"), Window.partitionBy("node", F.pmod("code", F.lit(4)))
+    ranked = counted.withColumn("place", -F.sum("cost").over(mine))
+    ranked = ranked.withColumn("nth", F.row_number().over(own.orderBy("cost", "sig"))).withColumn("n_shared", F.count(F.lit(1)).over(own))
+    kept = ranked.where(F.col("nth") <= F.col("n_shared") - F.floor(F.col("code") / 4)).select("sig", "node", "place").distinct()
+    first = F.min(F.struct("place", "node")).over(group)["node"]
+    return cut(kept.withColumn("low", first).withColumn("several", several).where("several").drop("several"))
 
 
 def bins_of(row: np.ndarray, value: np.ndarray, size: int) -> list[bytes]:
@@ -393,16 +397,17 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = allocated(signatures(docs, seed))
     nodes = cut(
         sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
-        .join(live.select("node").distinct(), "node")
+        .join(live.select("node", "place").distinct(), "node")
     )
-    # The least node of each group against all others; first one such pair of each node.
+    # The first node of each group against all others; of these pairs, one of each node before the rest.
     tried = cut(live.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
     near = possible(tried, nodes)
     texts = texts_of(docs, nodes, near, seed)
-    first = verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, seed)
+    best = near.join(nodes.select(F.col("node").alias("a"), "place"), "a").groupBy("b").agg(F.min(F.struct("place", "a"))["a"].alias("a"))
+    first = verified(best.select("a", "b"), texts, seed)
     sure = cut(first.unionByName(verified(separate(near, cut(roots_of_forest(first))), texts, seed)))
     root, found_later = components(sure), None
-    ranked = cut(live.select("sig", "node", (F.row_number().over(group.orderBy("node")) - 1).alias("nth"), F.count(F.lit(1)).over(group).alias("size")))
+    ranked = cut(live.select("sig", "node", (F.row_number().over(group.orderBy("place", "node")) - 1).alias("nth"), F.count(F.lit(1)).over(group).alias("size")))
     low, high = 1, RANKS
     while True:
         named = ranked.where(F.col("size") > low + 1).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
