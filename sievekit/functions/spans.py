@@ -14,6 +14,7 @@ possible empty matches) and for patterns with pathological native cost.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -45,14 +46,19 @@ def java_flags(ignore_case: bool = False, dotall: bool = False) -> str:
     return f"(?{flags})"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sum(values: Column) -> Column:
-    """Inclusive prefix sums of an int array, in doubling steps: n log n work, no copy per element."""
-    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    """Inclusive prefix sums of a non-empty int array, in doubling steps: n log n work, no copy per element."""
 
     def double(sums: Column, k: Column) -> Column:
-        return F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+        return let(F.pow(F.lit(2), k).cast("int"), lambda back: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - back), F.lit(0))))
 
-    return F.when(steps == 0, values).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), values, double))
+    steps = F.ceil(F.log2(F.size(values))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), values, double)
 
 
 def native_spans(text: Column, java_pattern: str) -> Column:
@@ -61,15 +67,15 @@ def native_spans(text: Column, java_pattern: str) -> Column:
     ``java_pattern`` must not be able to match the empty string. Offsets are prefix
     sums over the lengths of gaps and matches in turn.
     """
-    matches = F.regexp_extract_all(text, F.lit(java_pattern), 0)
-    gaps = F.split(text, java_pattern, -1)
-    lengths = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.array(F.length(g), F.length(m))))
-    spans = F.zip_with(
-        matches,
-        F.filter(running_sum(lengths), lambda _, i: i % 2 == 1),
-        lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")),
-    )
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPANS))
+
+    def spans(found: Column) -> Column:
+        matches, gaps = found["matches"], found["gaps"]
+        lengths = F.flatten(F.zip_with(matches, gaps, lambda m, g: F.when(m.isNull(), F.array().cast("array<int>")).otherwise(F.array(F.length(g), F.length(m)))))
+        ends = F.filter(let(lengths, running_sum), lambda _, i: i % 2 == 1)
+        return F.zip_with(matches, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(java_pattern), 0).alias("matches"), F.split(text, java_pattern, -1).alias("gaps"))
+    return let(found, lambda f: F.when(F.size(f["matches"]) > 0, spans(f)).otherwise(F.array().cast(SPANS)))
 
 
 @lru_cache(maxsize=256)

@@ -85,6 +85,17 @@ def custom_registry_q(spark, sf_dir):
     return flat.select("doc_id", "n_errors", "ord", F.col("x.detection").alias("detection"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
+CUSTOM_REGISTRY_SQL = """WITH d AS (SELECT doc_id, text, CASE WHEN text LIKE '%e' THEN 1 ELSE 0 END AS n_errors FROM documents),
+f AS (
+  SELECT doc_id, n_errors, 'contains_the' AS fn, 'word: the' AS detection, strpos(lower(text), 'the') - 1 AS "start", strpos(lower(text), 'the') + 2 AS "end" FROM d WHERE contains(lower(text), 'the')
+  UNION ALL SELECT doc_id, n_errors, 'contains_word', 'forbidden_word: apple', strpos(lower(text), 'apple') - 1, strpos(lower(text), 'apple') + 4 FROM d WHERE contains(lower(text), 'apple')
+  UNION ALL SELECT doc_id, n_errors, 'function_that_needs_headers', 'function_that_needs_headers', 0, length(text) FROM d
+  UNION ALL SELECT doc_id, n_errors, 'over_100_characters', 'over_100_characters', 0, length(text) FROM d WHERE length(text) > 100
+  UNION ALL SELECT doc_id, n_errors, 'throws_error', 'throws_error', 0, length(text) FROM d WHERE text LIKE '%a')
+SELECT doc_id, CAST(n_errors AS INT) AS n_errors, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY fn) - 1 AS INT) AS ord, detection,
+       CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end" FROM f"""
+
+
 def code_safety_scan_q(spark, sf_dir):
     """U8: a Python module per document (imports and calls chosen by doc_id, the text as a literal)."""
     docs = _docs(spark, sf_dir)
@@ -100,6 +111,13 @@ def code_safety_scan_q(spark, sf_dir):
     return code_safety_scan(docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), src.alias("source")))
 
 
+CODE_SAFETY_SQL = """WITH d AS (SELECT doc_id, 'doc_' || doc_id || '.py' AS path FROM documents)
+SELECT path, 1::INT AS line, 'import' AS rule, CASE doc_id % 4 WHEN 0 THEN 'os' ELSE 'subprocess' END AS name FROM d WHERE doc_id % 4 IN (0, 2)
+UNION ALL SELECT path, 2::INT, 'import', 'os' FROM d WHERE doc_id % 3 <> 0
+UNION ALL SELECT path, 3::INT, 'call', CASE doc_id % 5 WHEN 1 THEN 'eval' WHEN 3 THEN 'open' ELSE 'exec' END FROM d WHERE doc_id % 5 IN (1, 3, 4)
+UNION ALL SELECT path, NULL::INT, 'syntax', NULL FROM d WHERE doc_id % 7 = 0"""
+
+
 def user_metrics_q(spark, sf_dir):
     """Counters attached to detectors, computed as named aggregates in the same scan."""
     conv = table(spark, sf_dir, "conversations").select("text")
@@ -136,8 +154,8 @@ def build() -> dict:
         "contains_word": (contains_word_q, CONTAINS_WORD_SQL),
         "custom_with_headers": (custom_with_headers_q, _whole_text_sql("function_that_needs_headers", "CAST(doc_id % 250 AS VARCHAR) <> '123'")),
         "custom_with_kwargs": (custom_with_kwargs_q, _whole_text_sql("function_that_needs_kwargs", "TRUE")),
-        "custom_registry": (custom_registry_q, None),
-        "code_safety_scan": (code_safety_scan_q, None),
+        "custom_registry": (custom_registry_q, CUSTOM_REGISTRY_SQL),
+        "code_safety_scan": (code_safety_scan_q, CODE_SAFETY_SQL),
         "user_metrics": (user_metrics_q, USER_METRICS_SQL),
         "side_output": (side_output_q, SIDE_OUTPUT_SQL),
     }

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from sievekit.operators import custom as C
 from sievekit.operators import metrics as M
 from sievekit.plans.catalog_regex import CUSTOM_PATTERN, RE2, spans_sql
 from sievekit.plans.detect import detect
-from sievekit.plans.dispatch import detect_per_row, per_row_calls
+from sievekit.plans.dispatch import FAILED, detect_per_row, per_row_calls
 from sievekit.plans.params import names_column
 from sievekit.plans.quarantine import quarantine
 from sievekit.sources import requests as RQ
@@ -24,14 +26,9 @@ NV = len(RQ.PARAM_VARIANTS)
 
 def normalize_params_q(spark, sf_dir):
     r = RQ.params_requests(spark, sf_dir)
-    parts = [
-        r.select("doc_id", F.lit(k).alias("detector_kind"), F.posexplode(names_column(F.col("detector_params"), k)).alias("ord", "name"))
-        for k in ("regex", "file_type", "custom")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = F.array(*[F.struct(F.lit(k).alias("detector_kind"), names_column(F.col("detector_params"), k).alias("names")) for k in ("regex", "file_type", "custom")])
+    each = r.select("doc_id", F.explode(kinds).alias("k"))
+    return each.select("doc_id", "k.detector_kind", F.posexplode("k.names").alias("ord", "name"))
 
 
 def _normalize_sql(kind: str) -> str:
@@ -115,6 +112,19 @@ def error_policy_q(spark, sf_dir):
     return errors
 
 
+def error_policy_sql() -> str:
+    rows = [
+        (7, "nosuchkind", None, 400, "Detector nosuchkind not found"),
+        (8, "custom", "no_such_function", 400, "Unrecognized custom function: no_such_function"),
+        (9, "file_type", "JSON", 400, "Unrecognized file type: JSON"),
+        (10, "regex", "[unclosed", 500, f"{FAILED} ({re.error.__name__})"),
+    ]
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    vals = ", ".join(f"({v}, {quoted(k)}, {quoted(n)}, {c}, {quoted(m)})" for v, k, n, c, m in rows)
+    return f"""SELECT doc_id, detector_kind, name, CAST(code AS INT) AS code, message
+FROM documents JOIN (VALUES {vals}) t(v, detector_kind, name, code, message) ON doc_id % {NV} = v"""
+
+
 # --- D4 registry_catalogue -----------------------------------------------------
 
 
@@ -174,6 +184,16 @@ def _labels_sql() -> str:
     return f"SELECT * FROM (VALUES {vals}) t(detector_kind, detector_name)"
 
 
+def registry_catalogue_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    vals = ", ".join(f"({quoted(k)}, {quoted(n)}, {quoted(d)})" for k, n, d in M.registry_rows())
+    return f"""{_calls_sql()},
+n AS (SELECT detector_kind, detector_name, count(*) AS calls FROM c GROUP BY ALL),
+g AS (SELECT * FROM (VALUES {vals}) t(detector_kind, detector_name, doc))
+SELECT g.detector_kind, g.detector_name, doc, doc IS NOT NULL AND json_valid(doc) AS doc_is_json, coalesce(calls, 0) AS calls
+FROM g LEFT JOIN n ON g.detector_kind = n.detector_kind AND g.detector_name = n.detector_name"""
+
+
 def detector_metrics_sql() -> str:
     return f"""{_calls_sql()},
 a AS (SELECT detector_kind, detector_name, count(*) AS requests, count(*) FILTER (WHERE hit AND err = 0) AS detections,
@@ -290,8 +310,8 @@ def build() -> dict:
     return {
         "normalize_params": (normalize_params_q, NORMALIZE_PARAMS_SQL),
         "per_row_dispatch": (per_row_dispatch_q, per_row_dispatch_sql()),
-        "error_policy": (error_policy_q, None),
-        "registry_catalogue": (registry_catalogue_q, None),
+        "error_policy": (error_policy_q, error_policy_sql()),
+        "registry_catalogue": (registry_catalogue_q, registry_catalogue_sql()),
         "detector_metrics": (detector_metrics_q, detector_metrics_sql()),
         "runtime_metrics": (runtime_metrics_q, None),
         "request_level_metrics": (request_level_metrics_q, request_level_metrics_sql()),
@@ -299,6 +319,7 @@ def build() -> dict:
         "detection_rate": (detection_rate_q, detection_rate_sql()),
         "content_verdict": (content_verdict_q, content_verdict_sql()),
         "generation_pairs": (RQ.generation_pairs, RQ.GENERATION_PAIRS_SQL),
+        "chat_messages": (RQ.chat_messages_flat, RQ.CHAT_MESSAGES_SQL),
         "chat_history": (RQ.chat_history, RQ.CHAT_HISTORY_SQL),
         "request_quarantine": (request_quarantine_q, request_quarantine_sql()),
     }

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievekit.sources.tables import table
@@ -87,23 +87,33 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(prompt, generated_text) = a user turn and the assistant turn right after it.
+    """(prompt, generated_text) = a user turn and the conversation's next turn, if an assistant's."""
+    return next_turns(table(spark, sf_dir, "conversations"))
 
-    Turns are consecutive integers per conversation, so "the next turn" is an
-    equi-join on (conv_id, turn + 1): partitioned on both columns, a
-    conversation with a third of all turns still spreads over many tasks
-    (a window over conv_id would put it in one).
+
+def next_turns(conv: DataFrame, chunk: int = 1024) -> DataFrame:
+    """Pairs of a user turn and the next turn of its conversation, whatever the gaps in turn numbers.
+
+    Turns are cut into chunks by number, so a conversation with a third of all turns spreads over
+    many tasks; the first turn of a conversation's next chunk that has any, found from the few rows
+    of (conversation, chunk), stands in for the successor of a chunk's last turn.
     """
-    conv = table(spark, sf_dir, "conversations")
-    u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    a = conv.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generated_text"))
-    return u.join(a, ["conv_id", "turn"], "inner").select("conv_id", "turn", "prompt", "generated_text")
+    cols = F.struct("turn", "role", "text")
+    cut_up = conv.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / chunk).alias("chunk"), cols.alias("me"))
+    heads = cut_up.groupBy("conv_id", "chunk").agg(F.min_by("me", "turn").alias("head"))
+    after = Window.partitionBy("conv_id").orderBy("chunk")
+    follows = heads.select("conv_id", "chunk", F.lead("head").over(after).alias("beyond"))
+    inside = Window.partitionBy("conv_id", "chunk").orderBy("turn")
+    paired = cut_up.withColumn("next", F.lead("me").over(inside)).join(follows, ["conv_id", "chunk"], "left")
+    paired = paired.withColumn("next", F.coalesce("next", "beyond")).where((F.col("role") == "user") & (F.col("next.role") == "assistant"))
+    return paired.select("conv_id", "turn", F.col("text").alias("prompt"), F.col("next.text").alias("generated_text"))
 
 
 GENERATION_PAIRS_SQL = """
-SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS generated_text
-FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant'"""
+WITH n AS (
+  SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, text AS prompt, next_text AS generated_text FROM n WHERE role = 'user' AND next_role = 'assistant'"""
 
 ROLES = ["system", "assistant", "user"]
 
@@ -145,6 +155,15 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select("conv_id", "turn", F.struct(F.col("role"), F.col("text").alias("content")).alias("message"), F.col("role").isin(ROLES).alias("valid_role"))
 
 
+CHAT_MESSAGES_SQL = """SELECT conv_id, turn, role, text AS content, coalesce(role IN ('system', 'assistant', 'user'), false) AS valid_role FROM conversations"""
+
+
+def chat_messages_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3, long form: every message of every conversation, in columns."""
+    long = chat_messages(spark, sf_dir)
+    return long.select("conv_id", "turn", "message.role", "message.content", F.coalesce("valid_role", F.lit(False)).alias("valid_role"))
+
+
 # --- classifier params per document (M3, M6, M11-M13) -------------------------
 
 # Fixed parameter set (index = doc_id % len), including the reference tests' bad values.

@@ -53,3 +53,13 @@ def test_quarantine_messages(spark):
     assert msgs[4] == "Parameters with invalid type: [1, 2]"
     assert msgs[5] == "Missing required parameters: ['detector_params']"
     assert 0 not in msgs
+
+
+def test_pairs_bridge_gaps_in_turn_numbers(spark):
+    from sievekit.sources.requests import next_turns
+
+    rows = [(1, 0, "user", "a"), (1, 5, "assistant", "b"), (1, 7, "user", "c"), (1, 8, "user", "d"), (1, 5000, "assistant", "e"), (2, 0, "user", "f"), (3, 1, "assistant", "g")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for chunk in (1, 3, 1024):
+        got = sorted((r.conv_id, r.turn, r.prompt, r.generated_text) for r in next_turns(df, chunk).collect())
+        assert got == [(1, 0, "a", "b"), (1, 8, "d", "e")]
