@@ -28,11 +28,34 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "b").select(F.col("low").alias("a"), F.explode(ends).alias("b")).distinct()
 
 
-def roots_of_forest(parents: DataFrame) -> DataFrame:
-    """(node, root) of edges (a, b) in which every b has one parent a: its parent's parent, or
-    the parent if that has none. A node of the same component, though not always its least."""
-    above = parents.select(F.col("b").alias("mid"), F.col("a").alias("top"))
-    return parents.join(above, F.col("a") == F.col("mid"), "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("root"))
+def roots_of_forest(parents: DataFrame, jumps: int = 2) -> DataFrame:
+    """(node, root) of edges (a, b) in which every b has one parent a: the node 2^jumps steps up,
+    or the top of its tree if that is nearer. A node of the same component, though perhaps not its root."""
+    now = parents.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for _ in range(jumps):
+        above = now.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+        now = cut(now.join(above, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("top", "root").alias("root")))
+    return now
+
+
+def joined_roots(forest: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of every node below a root, from roots_of_forest and further links (a, b).
+
+    Trees are contracted to their roots first, so only links between trees, and what is left of
+    long chains, need the iteration.
+    """
+    top = forest.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+    ends = links.select(F.col("a"), F.col("b"))
+    for end in ("a", "b"):
+        ends = ends.join(top, F.col(end) == F.col("mid"), "left").withColumn(end, F.coalesce("top", end)).drop("mid", "top")
+    chains = forest.select(F.col("root").alias("b")).distinct().join(top, F.col("b") == F.col("mid")).select(F.col("top").alias("a"), "b")
+    rest = cut(ends.where("a != b").unionByName(chains).distinct())
+    if rest.isEmpty():
+        return forest
+    above = components(rest)
+    moved = forest.join(above.select(F.col("node").alias("mid"), F.col("root").alias("top")), F.col("root") == F.col("mid"), "left")
+    moved = moved.select("node", F.coalesce("top", "root").alias("root"))
+    return cut(moved.unionByName(above.join(forest, "node", "left_anti")).where("node != root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,4 +74,4 @@ def components(edges: DataFrame) -> DataFrame:
         if (facts["n"], facts["h"]) == mark or not facts["n"]:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         mark = (facts["n"], facts["h"])
-        now = cut(_small_star(cut(_large_star(now))))
+        now = cut(_small_star(_large_star(now)))

@@ -25,9 +25,9 @@ lower end of its band also takes part in the band below, where smaller partners
 
 Search. Equal sets become one node first. Nodes that emit a common signature are
 candidates, but no group is expanded into pairs: each node is first verified against the
-node of its groups that shares most with others; groups whose nodes are then all connected are done, and what is left
-goes on against further members, some ranks of the group per round, until every pair not
-yet connected has been verified.
+node of its groups that shares most with others. Groups whose nodes are then all connected
+are done. In the others, members meet the first few not yet connected to them, then the next
+few, until all have met; only pairs whose bins leave a link possible come out and are verified.
 
 Edge cases: null text, or text without words, has an empty set: no links, a component of
 its own. Fewer words than ``WIDTH`` form one shingle. Repeated rows are equal sets. An
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.llm.common import cut, mix64, shuffles_dropped, sized, sliced, text_buffer
-from sievekit.llm.components import components, roots_of_forest
+from sievekit.llm.components import joined_roots, roots_of_forest
 
 WIDTH = 5
 SLICE_BYTES = 1 << 20
@@ -307,16 +307,17 @@ def far_apart(a: bytes, n: int, b: bytes, m: int) -> bool:
     """Whether sizes and bins alone show that two sets can't link.
 
     The bins' differences add up to no more than the sets differ by. A full bin stands for
-    any number, and makes its own difference smaller at most.
+    any number, so sets with one are not ruled out.
     """
     if 4 * min(n, m) < 3 * max(n, m):
         return True
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
-    if (x == 255).any() or (y == 255).any():
+    if b"\xff" in a or b"\xff" in b:
         return False
-    width = min(len(x), len(y))
-    differ = np.abs(x.reshape(-1, width).sum(0) - y.reshape(-1, width).sum(0)).sum()
-    return bool(7 * differ > n + m)
+    x, y = np.frombuffer(a, np.uint8).astype(np.int16), np.frombuffer(b, np.uint8).astype(np.int16)
+    if len(x) != len(y):
+        width = min(len(x), len(y))
+        x, y = x.reshape(-1, width).sum(0), y.reshape(-1, width).sum(0)
+    return bool(7 * int(np.abs(x - y).sum()) > n + m)
 
 
 def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], pairs: int) -> np.ndarray:
@@ -338,7 +339,7 @@ def _beside(pairs: DataFrame, of: DataFrame, *values: str) -> DataFrame:
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that sizes and bins don't rule out. ``nodes`` has (node, n, bins)."""
+    """The pairs (a, b) that sizes and bins don't rule out. ``nodes`` has (node, n, bins)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,6 +349,34 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(_beside(pairs, nodes, "n", "bins").mapInArrow(run, "a long, b long"))
 
 
+def meetings(members: DataFrame, nodes: DataFrame, high: int) -> DataFrame:
+    """Pairs within groups that sizes and bins don't rule out: members of rank below ``high``
+    against all later ones in other components.
+
+    ``members`` has (sig, node, nth, root). Each group is read once in order of rank; only its
+    first members are held, and only pairs that may link leave the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            left, right = [], []
+            columns = (batch.column(c).to_pylist() for c in ("sig", "node", "nth", "root", "n", "bins"))
+            for sig, node, nth, root, n, bins in zip(*columns, strict=True):
+                if sig != group:
+                    group, held = sig, []
+                for other, other_root, m, other_bins in held:
+                    if other_root != root and not far_apart(other_bins, m, bins, n):
+                        left.append(other)
+                        right.append(node)
+                if nth < high:
+                    held.append((node, root, n, bins))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    full = members.join(nodes.select("node", "n", "bins"), "node").select("sig", "node", "nth", "root", "n", "bins")
+    return full.repartition("sig").sortWithinPartitions("sig", "nth").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, seed: int = 0) -> DataFrame:
     """The pairs that link, by comparing their sets. ``texts`` has (node, text)."""
 
@@ -400,13 +429,12 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(live.select("node", "place").distinct(), "node")
     )
     # The first node of each group against all others; of these pairs, one of each node before the rest.
-    tried = cut(live.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-    near = possible(tried, nodes)
+    near = possible(live.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), nodes)
     texts = texts_of(docs, nodes, near, seed)
     best = near.join(nodes.select(F.col("node").alias("a"), "place"), "a").groupBy("b").agg(F.min(F.struct("place", "a"))["a"].alias("a"))
     first = verified(best.select("a", "b"), texts, seed)
-    sure = cut(first.unionByName(verified(separate(near, cut(roots_of_forest(first))), texts, seed)))
-    root, found_later = components(sure), None
+    forest = roots_of_forest(first)
+    root, found_later = joined_roots(forest, verified(separate(near, forest), texts, seed)), None
     ranked = cut(live.select("sig", "node", (F.row_number().over(group.orderBy("place", "node")) - 1).alias("nth"), F.count(F.lit(1)).over(group).alias("size")))
     low, high = 1, RANKS
     while True:
@@ -415,20 +443,15 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         still = cut(named.where("least != most and nth >= " + str(low)).select("sig", "node", "nth", "root"))
         if still.isEmpty():
             break
-        met = still.where(F.col("nth") < high).alias("x").join(
-            still.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.nth") < F.col("y.nth")) & (F.col("x.root") != F.col("y.root"))
-        )
-        new = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        new = cut(new.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(new)
-        near = possible(new, nodes)
-        if not near.isEmpty():
-            texts = texts.unionByName(texts_of(docs, nodes, near, seed, texts.select("node")))
-            found = verified(near, texts, seed)
+        new = cut(meetings(still, nodes, high).join(near, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            near = near.unionByName(new)
+            texts = texts.unionByName(texts_of(docs, nodes, new, seed, texts.select("node")))
+            found = verified(new, texts, seed)
             found_later = found if found_later is None else found_later.unionByName(found)
         low, high = high, RANKS * high
     if found_later is not None and not found_later.isEmpty():
-        root = components(sure.unionByName(found_later))
+        root = joined_roots(root, found_later)
     return known, root
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sievekit.llm import ann, queries
-from sievekit.llm.components import components
+from sievekit.llm.components import components, joined_roots, roots_of_forest
 
 SF = "/root/testdata/sf0.01"
 
@@ -84,6 +84,28 @@ def test_search_query_recall(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_roots_of_a_forest_joined_by_links(spark):
+    rng = random.Random(6)
+    parents = [(rng.randrange(b), b) for b in range(1, 60)] + [(100, 101), (101, 102)] + [(200 + i, 201 + i) for i in range(20)]
+    links = [(5, 102), (300, 301), (219, 59), (301, 300), (7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in parents + links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    forest = roots_of_forest(spark.createDataFrame(parents, "a long, b long"))
+    got = {r.node: r.root for r in joined_roots(forest, spark.createDataFrame(links, "a long, b long")).collect()}
+    by_root = {}
+    for x in root:
+        by_root.setdefault(got.get(x, x), set()).add(find(x))
+    assert all(len(v) == 1 for v in by_root.values()) and len(by_root) == len({find(x) for x in root})
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(300, 200 + i) for i in range(50)] + [(7, 7), (500, 500)]
