@@ -112,7 +112,7 @@ def run_judge(df: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], key_
     return df.select(*key_cols, *in_cols).mapInPandas(apply, schema)
 
 
-def judge_detections(results: DataFrame, key_cols: list[str], text_lengths: DataFrame | None = None) -> DataFrame:
+def judge_detections(results: DataFrame, key_cols: list[str]) -> DataFrame:
     """J1 rows: decision as name, type llm_judge, fallback score, reasoning in metadata."""
     return results.select(
         *key_cols,
@@ -125,11 +125,15 @@ def judge_detections(results: DataFrame, key_cols: list[str], text_lengths: Data
 
 def render_template(template: Column, variables: Column) -> Column:
     """Replace ``{name}`` placeholders from a map<string,string> (format-style, no engine)."""
-    return F.aggregate(
-        F.map_entries(variables),
-        template,
-        lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))),
-    )
+    name = r"\{([^{}]*)\}"
+    gaps, names = F.split(template, name, -1), F.regexp_extract_all(template, F.lit(name), F.lit(1))
+
+    def filled(key: Column) -> Column:
+        """The value of a known name; an unknown placeholder stays."""
+        return F.when(F.map_contains_key(variables, key), F.coalesce(F.try_element_at(variables, key), F.lit(""))).otherwise(F.concat(F.lit("{"), key, F.lit("}")))
+
+    # One pass over the template: values that hold placeholders themselves are not expanded.
+    return F.array_join(F.flatten(F.zip_with(gaps, names, lambda g, k: F.when(k.isNull(), F.array(g)).otherwise(F.array(g, filled(k))))), "")
 
 
 # --- deterministic stub judge for tests and the registered queries -------------

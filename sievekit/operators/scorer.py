@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievekit.functions.joins import join_small
 
 
 class SparkMLScorer:
@@ -46,8 +45,8 @@ class SparkMLScorer:
         )
 
     def fit(self, texts: DataFrame, labelled: DataFrame, id_col: str, label_col: str) -> "SparkMLScorer":
-        """Train on texts joined to their labels (the label table is broadcast only if proven small)."""
-        train = join_small(texts.select(F.col(id_col), "text"), labelled.select(F.col(id_col), F.col(label_col).cast("double").alias("label")), id_col)
+        """Train on texts joined to their labels; Spark picks the join by the tables' sizes."""
+        train = texts.select(F.col(id_col), "text").join(labelled.select(F.col(id_col), F.col(label_col).cast("double").alias("label")), id_col)
         self.model = self._pipeline().fit(train)
         return self
 

@@ -24,7 +24,7 @@ def softmax_scores_q(spark, sf_dir):
 
 
 SOFTMAX_SCORES_SQL = f"""
-WITH l AS (SELECT vec_id AS content_id, CAST(unnest(range(10)) AS INT) AS label_idx, CAST(unnest(embedding[1:10]) AS DOUBLE) * 10.0 AS logit FROM embeddings),
+WITH l AS (SELECT vec_id AS content_id, CAST(unnest(range(len(embedding))) AS INT) AS label_idx, CAST(unnest(embedding) AS DOUBLE) * 10.0 AS logit FROM embeddings),
 m AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY content_id)) AS e FROM l)
 SELECT content_id, label_idx, round(e / sum(e) OVER (PARTITION BY content_id), {R6}) AS prob FROM m"""
 
@@ -224,9 +224,9 @@ def truncate_tokens_q(spark, sf_dir):
     )
     tok = SS.tokens(spark, sf_dir, docs)
     scored = S.truncate_tokens(tok, F.col("max_length"), RQ.CLS_DEFAULTS["model_max_length"])
-    return tok.groupBy("content_id", "max_length").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("token_idx") < F.col("max_length")).alias("n_scored")
-    ).select("content_id", "max_length", "n_tokens", "n_scored") if scored is not None else None
+    kept = scored.groupBy("content_id").agg(F.count(F.lit(1)).alias("n_scored"))
+    every = tok.groupBy("content_id", "max_length").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return every.join(kept, "content_id", "left").select("content_id", "max_length", "n_tokens", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
 
 
 def truncate_tokens_sql() -> str:

@@ -20,7 +20,6 @@ from sievekit.sources.tables import table
 
 # Fixed label sets of the synthetic models (ours).
 SEQ_LABELS = ["neutral", "toxic", "obscene", "threat", "insult"]
-EMB_LABELS = [f"LABEL_{i}" for i in range(10)]
 TOKEN_LABELS = ["O", "B-PER", "I-PER", "B-LOC", "I-LOC"]
 VOCAB = ["Yes", "No", " yes", "no ", "YES", "maybe", "", "The", "I", "safe"]
 STEPS = 3
@@ -54,9 +53,9 @@ FROM (SELECT doc_id AS content_id, text, unnest(range({len(SEQ_LABELS)})) AS lab
 
 
 def embedding_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-local logits from ``embeddings``: the first 10 dims x 10 (array form)."""
+    """Row-local logits from ``embeddings``: every dimension x 10 (array form)."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("content_id"), F.transform(F.slice("embedding", 1, len(EMB_LABELS)), lambda x: x.cast("double") * 10.0).alias("logits"))
+    return e.select(F.col("vec_id").alias("content_id"), F.transform("embedding", lambda x: x.cast("double") * 10.0).alias("logits"))
 
 
 @pandas_udf(T.ArrayType(T.IntegerType()))

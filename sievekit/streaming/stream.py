@@ -15,7 +15,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from sievekit.plans.detect import detect
 from sievekit.session import scratch_path
@@ -35,7 +34,7 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"streams/{name}/{uuid.uuid4().hex}")
 
 
-def stream_detect(stream: DataFrame, params: dict, out_dir: str, text_col: str = "text", timeout_s: int = 600) -> str:
+def stream_detect(stream: DataFrame, params: dict, out_dir: str, text_col: str = "text", timeout_s: int | None = None) -> str:
     """Detections of a stream, appended to a parquet sink (row-local, so append mode)."""
     flat = detect(stream, params, text_col=text_col, output="flat", on_error="quarantine").drop("metadata")
     q = (
@@ -57,7 +56,7 @@ def _batch_writer(out_dir: str):
     return write
 
 
-def stream_aggregate(agg: DataFrame, out_dir: str, timeout_s: int = 600) -> str:
+def stream_aggregate(agg: DataFrame, out_dir: str, timeout_s: int | None = None) -> str:
     """Run a streaming aggregate in update mode into per-batch folders (idempotent replays)."""
     q = (
         agg.writeStream.outputMode("update")
@@ -74,11 +73,12 @@ def stream_aggregate(agg: DataFrame, out_dir: str, timeout_s: int = 600) -> str:
 def latest_state(spark: SparkSession, path: str, key_cols: list[str]) -> DataFrame:
     """Current value per key = the row of the highest batch that updated it."""
     changes = spark.read.parquet(path)
-    w = Window.partitionBy(*key_cols).orderBy(F.col("batch_id").desc())
-    return changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
+    values = [c for c in changes.columns if c not in (*key_cols, "batch_id")]
+    last = changes.groupBy(*key_cols).agg(F.max_by(F.struct(*values), "batch_id").alias("last"))
+    return last.select(*key_cols, "last.*")
 
 
-def stream_counters(stream: DataFrame, params: dict, out_dir: str, text_col: str = "text") -> str:
+def stream_counters(stream: DataFrame, params: dict, out_dir: str, text_col: str = "text", timeout_s: int | None = None) -> str:
     """Ever-growing requests/detections/errors per (kind, name)."""
     d = detect(stream, params, text_col=text_col, with_calls=True, on_error="quarantine")
     calls = d.select(F.explode("calls").alias("c")).select("c.*")
@@ -87,10 +87,10 @@ def stream_counters(stream: DataFrame, params: dict, out_dir: str, text_col: str
         F.count_if(F.col("hit") & F.col("error").isNull()).alias("detections"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
-    return stream_aggregate(agg, out_dir)
+    return stream_aggregate(agg, out_dir, timeout_s)
 
 
-def stream_windowed_rate(stream: DataFrame, flag_col: str, ts_col: str, window: str, watermark: str, out_dir: str) -> str:
+def stream_windowed_rate(stream: DataFrame, flag_col: str, ts_col: str, window: str, watermark: str, out_dir: str, timeout_s: int | None = None) -> str:
     """Share of flagged rows per event-time window, late data bounded by a watermark."""
     agg = (
         stream.withWatermark(ts_col, watermark)
@@ -98,10 +98,10 @@ def stream_windowed_rate(stream: DataFrame, flag_col: str, ts_col: str, window:
         .agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col(flag_col)).alias("flagged"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "flagged")
     )
-    return stream_aggregate(agg, out_dir)
+    return stream_aggregate(agg, out_dir, timeout_s)
 
 
-def stream_side_output(stream: DataFrame, main_params: dict, side_fn, out_dir: str, key_cols: list[str], timeout_s: int = 600) -> tuple[str, str]:
+def stream_side_output(stream: DataFrame, main_params: dict, side_fn, out_dir: str, key_cols: list[str], timeout_s: int | None = None) -> tuple[str, str]:
     """T4: one pass per micro-batch, two sinks: main detections and a background detector's findings."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
