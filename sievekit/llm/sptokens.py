@@ -39,7 +39,7 @@ from sievekit.llm.common import mix64, sliced, text_buffer
 
 ALPHA, SHIFT = 1.0, 10.0
 SEED = 6
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 3 << 20
 BLANK = "▁"
 _u = np.uint64
 
@@ -218,12 +218,13 @@ class Lattice:
         run, start, piece, first = self._filter(data[gather], bounds)
         # Backward sampling of all chunks at once; ``end`` is a place among the distinct chunks.
         out = np.full(len(data), -1, np.int32)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        shift = begin - bounds[:-1][which]  # from there to the place in the slice
-        low, end, at = bounds[:-1][which], bounds[1:][which], np.arange(len(begin))
+        row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+        bounds = bounds.astype(np.int32)
+        low, end = bounds[:-1][which], bounds[1:][which]
+        shift = begin.astype(np.int32) - low  # from there to the place in the slice
         seed = mix64(keys.astype(_u))
-        while len(at):
-            place = end + shift[at]
+        while len(end):
+            place = end + shift
             mine = row[place - 1]
             h = mix64(seed[mine] + (place - offsets[mine]).astype(_u) * _u(0x9E3779B97F4A7C15))
             unit = (h >> _u(11)).astype(np.float64) / float(1 << 53)
@@ -235,25 +236,34 @@ class Lattice:
             out[place - 1] = piece[arc]
             end = start[arc]
             on = end > low
-            low, end, at = low[on], end[on], at[on]
+            low, end, shift = low[on], end[on], shift[on]
         kept = out >= 0
         count = np.concatenate([[0], np.cumsum(kept)])
         return out[kept], count[offsets]
 
 
+_kept_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(attempt: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, kept between slices."""
+    have = _kept_powers.get(attempt)
+    if have is None or len(have[0]) < n:
+        base = int(mix64(np.array([attempt + 1], _u))[0]) | 1
+        have = tuple(np.full(max(n, SLICE_BYTES), _u(b)) for b in (base, pow(base, -1, 1 << 64)))
+        for powers in have:
+            powers[0] = 1
+            np.multiply.accumulate(powers, out=powers)
+        _kept_powers[attempt] = have
+    return have[0][:n], have[1][:n]
+
+
 def _distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of a representative of each distinct chunk, number of each chunk's representative)."""
     for attempt in range(64):
-        base = int(mix64(np.array([attempt + 1], _u))[0]) | 1
-        up = np.full(len(data), _u(base))
-        up[0] = 1
-        np.multiply.accumulate(up, out=up)
+        up, down = _powers(attempt, len(data))
         sums = np.zeros(len(data) + 1, _u)
-        np.cumsum((data.astype(_u) + _u(1)) * up, out=sums[1:])
-        up[0] = 1
-        down = np.full(len(data), _u(pow(base, -1, 1 << 64)))
-        down[0] = 1
-        np.multiply.accumulate(down, out=down)
+        np.cumsum((data + np.uint16(1)) * up, out=sums[1:])
         name = mix64((sums[begin + size] - sums[begin]) * down[begin] ^ size.astype(_u) << _u(40))
         _, unique, which = np.unique(name, return_index=True, return_inverse=True)
         # Chunks of one name must be the same bytes; if not, another base.
