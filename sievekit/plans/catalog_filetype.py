@@ -110,6 +110,14 @@ def yaml_schema_conformance_q(spark, sf_dir):
     return _flat(rows, {"file_type": [f"yaml-with-schema:{SCHEMA_TEXT}"]})
 
 
+YAML_SCHEMA_SQL = f"""
+WITH j AS (SELECT event_id, event_id % 5 AS shape, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k, {JSON_FIXTURE_SQL} AS text FROM events)
+SELECT event_id, 0 AS ord, 0 AS "start", CAST(length(text) AS INT) AS "end", text,
+       CASE WHEN shape IN (1, 3) THEN 'invalid_yaml' ELSE 'yaml_schema_mismatch' END AS detection,
+       'file_type' AS detection_type, CAST(1.0 AS DOUBLE) AS score
+FROM j WHERE shape IN (1, 3, 4) OR k NOT BETWEEN 0 AND 90"""
+
+
 def xml_validity_q(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("event_id"), F.col("html").alias("text"))
     return _flat(pages, {"file_type": ["xml"]})
@@ -136,7 +144,7 @@ def build() -> dict:
         "json_schema_conformance": (json_schema_conformance_q, JSON_SCHEMA_SQL),
         "file_type_multi": (file_type_multi_q, FILE_TYPE_MULTI_SQL),
         "yaml_validity": (yaml_validity_q, None),
-        "yaml_schema_conformance": (yaml_schema_conformance_q, None),
+        "yaml_schema_conformance": (yaml_schema_conformance_q, YAML_SCHEMA_SQL),
         "xml_validity": (xml_validity_q, None),
         "xml_schema_conformance": (xml_schema_conformance_q, None),
     }

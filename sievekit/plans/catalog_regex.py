@@ -9,10 +9,13 @@ same matches (checked by the differential tests against Python ``re``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.plans.detect import detect
+from sievekit.session import scratch_path
 from sievekit.sources.tables import scan_input, scan_input_sql, table
 
 FLAT = ["doc_id", "ord", "start", "end", "text", "detection", "detection_type", "score"]
@@ -270,10 +273,35 @@ FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 
 def response_json_sink_q(spark, sf_dir):
-    """The nested response serialised as JSON (one line per content)."""
+    """Nested responses written as JSON lines, one per content, and read back from there."""
     df = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = detect(df, {"regex": ["email", "us-phone-number"]}, on_error="failfast")
-    return d.select("doc_id", F.to_json("detections").alias("response_json"))
+    d = detect(df, {"regex": SINK_NAMES}, on_error="failfast")
+    out = scratch_path(spark, f"responses/{uuid.uuid4().hex}")
+    response_json_sink(d, ["doc_id"], out)
+    back = spark.read.schema("doc_id long, response array<struct<start:int,end:int,detection:string>>").json(out)
+    spans = F.transform("response", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["detection"]))
+    return back.select("doc_id", F.size("response").alias("n_detections"), F.array_join(spans, ";").alias("spans"))
+
+
+def response_json_sink(detected, key_cols: list[str], path: str) -> None:
+    """Writes (keys, response) as JSON lines; ``response`` is the content's list of detections."""
+    detected.select(*key_cols, F.col("detections").alias("response")).write.mode("overwrite").json(path)
+
+
+def response_json_sink_sql() -> str:
+    parts = []
+    for k, name in enumerate(SINK_NAMES):
+        det, typ = NAMES[name]
+        parts.append(f"SELECT {k} AS fk, * FROM ({spans_sql('SELECT doc_id, text FROM documents', RE2[name], det, typ)})")
+    return f"""
+WITH u AS ({' UNION ALL '.join(parts)}),
+a AS (SELECT doc_id, count(*) AS n, string_agg(CAST("start" AS VARCHAR) || ':' || CAST("end" AS VARCHAR) || ':' || detection, ';' ORDER BY fk, ord) AS spans
+      FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a.n, 0) AS INT) AS n_detections, coalesce(a.spans, '') AS spans
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
+SINK_NAMES = ["email", "us-phone-number"]
 
 
 def build() -> dict:
@@ -297,5 +325,5 @@ def build() -> dict:
     q["multi_detector_fanout"] = (multi_detector_fanout_q, multi_detector_fanout_sql())
     q["detections_table"] = (detections_table_q, detections_table_sql())
     q["response_assembly"] = (response_assembly_q, response_assembly_sql())
-    q["response_json_sink"] = (response_json_sink_q, None)
+    q["response_json_sink"] = (response_json_sink_q, response_json_sink_sql())
     return q
