@@ -440,7 +440,12 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         named = ranked.where(F.col("size") > low + 1).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = named.withColumn("least", F.min("root").over(group)).withColumn("most", F.max("root").over(group))
-        still = cut(named.where("least != most and nth >= " + str(low)).select("sig", "node", "nth", "root"))
+        named = named.where(F.col("least") != F.col("most")).where(F.col("nth") >= low)
+        # Later members matter only where one of the round's first members is in another component.
+        early = F.when(F.col("nth") < high, F.col("root"))
+        named = named.withColumn("one", F.min(early).over(group)).withColumn("other", F.max(early).over(group))
+        matters = (F.col("nth") < high) | (F.col("root") != F.col("one")) | (F.col("one") != F.col("other"))
+        still = cut(named.where(matters).select("sig", "node", "nth", "root"))
         if still.isEmpty():
             break
         new = cut(meetings(still, nodes, high).join(near, ["a", "b"], "left_anti"))
