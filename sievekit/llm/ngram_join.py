@@ -28,6 +28,12 @@ candidates, but no group is expanded into pairs: each node is first verified aga
 node of its groups that shares most with others. Groups whose nodes are then all connected
 are done. In the others, members meet the first few not yet connected to them, then the next
 few, until all have met; only pairs whose bins leave a link possible come out and are verified.
+That finds the components, and may leave out links between nodes already known to be in one.
+
+Links. ``components`` ends there. ``join`` and ``links`` then compare every two nodes of each
+component: no link leaves a component, so these are all links. A component is dealt into blocks
+by a hash of the node, and every two blocks meet in a group of their own, so a large component
+is spread over many tasks; only pairs that link, or their number for each node, come out.
 
 Edge cases: null text, or text without words, has an empty set: no links, a component of
 its own. Fewer words than ``WIDTH`` form one shingle. Repeated rows are equal sets. An
@@ -55,6 +61,8 @@ TINY = 5  # sets up to this size differ from a linked one in one shingle at most
 OWN, BELOW, SINGLE, WHOLE = range(4)  # schemes of a signature
 ID_BYTES = 16  # of a node and a doc_id
 LEAST_BINS, PER_BIN = 16, 2
+BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 17  # of a component's block, about
+COMPARED = 4096  # distinct shingles compared at once
 RANKS = 8  # members of a group met by all others in a round, times as many in each further round
 
 _u = np.uint64
@@ -413,8 +421,8 @@ def separate(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts of every document, root of every node that is linked to a smaller one)."""
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(facts of every document, root of every node that is linked to a smaller one, seed of the hashes)."""
     for seed in range(1 << 16):
         known = cut(facts(docs, seed))
         sets = known.where(F.col("node").isNotNull())
@@ -457,13 +465,133 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         low, high = high, RANKS * high
     if found_later is not None and not found_later.isEmpty():
         root = joined_roots(root, found_later)
-    return known, root
+    return known, root, seed
+
+
+def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` has in common with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    if not len(both):
+        return out
+    sides = []
+    for sets in (a, b):
+        value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, value), len(both) - 1)
+        hit = both[at] == value
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], row[hit][order]))
+    for first in range(0, len(both), COMPARED):
+        marks = []
+        for (at, row), sets in zip(sides, (a, b), strict=True):
+            i, j = np.searchsorted(at, [first, first + COMPARED])
+            mark = np.zeros((len(sets), COMPARED), np.float32)
+            mark[row[i:j], at[i:j] - first] = 1
+            marks.append(mark)
+        out += (marks[0] @ marks[1].T).astype(np.int64)
+    return out
+
+
+def _blocks(known: DataFrame, root: DataFrame) -> DataFrame:
+    """(doc_id, node, root, copies, blocks) of every node of a component of several nodes."""
+    family = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    every = known.where(F.col("node").isNotNull()).groupBy("node")
+    every = every.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    members = cut(every.join(family, "node"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
+    return cut(members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root").drop("n"))
+
+
+def _all_links(docs: DataFrame, members: DataFrame, seed: int, counted: bool) -> DataFrame:
+    """All links of nodes: as (a, b) with a < b, or if ``counted`` as parts of (node, linked), the
+    number of documents of other sets that a node's documents link with."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in _texts(batches):
+            row, value = shingle_sets(data, offsets, seed)
+            # A repeated doc_id may bring texts of other sets.
+            meant = part.column("node").to_numpy() == set_keys(row, value, part.num_rows, 0).view(np.int64)
+            at = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+            column = pa.array([value[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
+            yield part.select(["node", "root", "copies", "blocks"]).append_column("set", column).filter(pa.array(meant))
+
+    def compared(group: tuple, held: dict) -> pa.RecordBatch:
+        _, low, high = group
+        sides = [held.get(k, {}) for k in (low, high)]
+        nodes = [np.array(list(side), np.int64) for side in sides]
+        if not all(map(len, nodes)):
+            link = np.zeros((len(nodes[0]), len(nodes[1])), bool)
+        else:
+            a, b = ([s for _, s in side.values()] for side in sides)
+            both = common_shingles(a, b)
+            union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - both
+            link = (both > 0) & (100 * both >= 75 * union)
+            if low == high:
+                link = np.triu(link, 1)
+        if not counted:
+            i, j = np.nonzero(link)
+            ends = nodes[0][i], nodes[1][j]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
+        copies = [np.array([c for c, _ in side.values()], np.int64) for side in sides]
+        number = np.concatenate([link @ copies[1], link.T @ copies[0]])
+        some = number > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)[some]), pa.array(number[some])], ["node", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("root", "low", "high", "block", "node", "copies", "set"))
+            for *key, block, node, copies, values in zip(*columns, strict=True):
+                if key != group:
+                    if group is not None:
+                        yield compared(group, held)
+                    group, held = key, {}
+                held.setdefault(block, {})[node] = (copies, np.frombuffer(values, _u))
+        if group is not None:
+            yield compared(group, held)
+
+    found = docs.select("doc_id", "text").join(members, "doc_id").select("node", "root", "copies", "blocks", "text")
+    found = found.mapInArrow(sets, "node long, root long, copies long, blocks int, set binary")
+    found = found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = found.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "set")
+    met = found.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    return met.mapInArrow(run, "node long, linked long" if counted else "a long, b long")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every two distinct sets that link, as nodes a < b; the node of every document: doc_id, node).
+
+    Documents of one node have equal sets and link as well. A document without words has no node.
+    """
+    with shuffles_dropped(docs.sparkSession):
+        known, root, seed = linked_sets(docs)
+        members = _blocks(known, root)
+    return _all_links(docs, members, seed, False), known.select("doc_id", "node")
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least doc_id of its component)."""
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id of its component),
+    n_links (the number of other documents it links with)."""
+    with shuffles_dropped(docs.sparkSession):
+        known, root, seed = linked_sets(docs)
+        linked_to = cut(_all_links(docs, _blocks(known, root), seed, True).groupBy("node").agg(F.sum("linked").alias("linked")))
+        every = known.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        every = every.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(linked_to, "node", "left")
+        every = cut(every.select("node", "root", "least", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    named = every.join(every.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "n_links")
+    named = known.select("doc_id", "n", "node").join(named, "node", "left")
+    n_links = F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), n_links)
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id of its component).
+
+    Looks at no more links than the components need.
+    """
     with shuffles_dropped(docs.sparkSession):
-        known, root = linked_sets(docs)
+        known, root, _ = linked_sets(docs)
     named = known.select("doc_id", "n", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.select("doc_id", F.col("n").alias("n_shingles"), "root"))
     first = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
@@ -477,7 +605,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows of one doc_id are one document, of which the least row stays. Rows without a doc_id
     can't be named and all stay.
     """
-    found = join(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    found = components(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
     is_first = F.max(F.col("doc_id") == F.col("component_id"))
     ids = cut(found.groupBy("doc_id").agg(is_first.alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated")))
     apart = sized(cut(ids.where("repeated or not stays").select("doc_id")), ID_BYTES)

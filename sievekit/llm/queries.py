@@ -55,7 +55,7 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents linked by five-word shingles at a Jaccard similarity of 0.75."""
+    """Component and number of links of all documents, linked by five-word shingles at a Jaccard similarity of 0.75."""
     bound_batches(spark)
     return ngram_join.join(table(spark, sf_dir, "documents"))
 

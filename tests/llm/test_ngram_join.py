@@ -77,6 +77,52 @@ def test_join_equals_brute_force(spark):
     assert got == brute(rows)
 
 
+def brute_links(rows):
+    """Unordered pairs of documents that link, as positions in ``rows``."""
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j)]
+    return [(i, j) for i, j in pairs if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+
+
+def family(seed=11, members=40):
+    """Edits of one text, some linked directly and some only by way of others, and copies of them."""
+    rng = random.Random(seed)
+    base = words(rng, 120)
+    texts = []
+    for _ in range(members):
+        changed = list(base)
+        for at in rng.sample(range(len(base)), rng.choice([0, 1, 2, 3, 4])):
+            changed[at] = "new" + str(rng.random())
+        texts += [" ".join(changed)] * rng.choice([1, 1, 3])
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("block", [7, N.BLOCK_SETS])
+def test_all_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK_SETS", block)
+    rows = corpus() + [(100_000 + i, t) for i, t in family()]
+    want = brute_links(rows)
+    n_links = dict.fromkeys((i for i, _ in rows), 0)
+    for pair in want:
+        for end in pair:
+            n_links[rows[end][0]] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in N.join(docs).collect()}
+    assert got == {i: (*v, n_links[i]) for i, v in brute(rows).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in N.components(docs).collect()} == brute(rows)
+    pairs, membership = N.links(docs)
+    node = {r.doc_id: r.node for r in membership.collect()}
+    found = [(r.a, r.b) for r in pairs.collect()]
+    ends = [sorted((node[rows[i][0]], node[rows[j][0]])) for i, j in want]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in ends if a != b}
+
+
+def test_links_count_rows_of_a_repeated_doc_id(spark):
+    text = " ".join(words(random.Random(6), 40))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "some other words here now"), (2, text + " end")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_links) for r in N.join(docs).collect()) == [(1, 0), (1, 2), (1, 2), (2, 2)]
+
+
 def test_representatives_keep_one_of_each_group(spark):
     text = " ".join(words(random.Random(5), 30))
     rows = [(2, text), (1, text + " more"), (7, "something else"), (7, "something else"), (9, None), (None, text), (8, "")]
