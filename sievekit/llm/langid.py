@@ -8,8 +8,8 @@ feeds a softmax over the languages seen in training. A text's probabilities are
 the mean over its windows, weighted by their bytes.
 
 Training is plain numpy (Adam) on the driver, over a bounded sample: windows of
-about ``SAMPLE_DOCS`` labelled texts of each language, chosen by a hash of the
-text, ``SAMPLE_WINDOWS`` windows of each, at hashed places of the text. For
+``SAMPLE_DOCS`` distinct labelled texts of each language (all, if it has fewer), those of the
+smallest hash, ``SAMPLE_WINDOWS`` windows of each, at hashed places of the text. For
 prediction, embedding and filters are multiplied out into tables by pairs of codes,
 so a window costs a few table reads per byte, in blocks that bound memory.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.llm.common import text_buffer
@@ -184,19 +184,26 @@ def train(texts: list[bytes], labels: list[str], seed: int = 4) -> ByteCnn | Non
     return ByteCnn(languages, p["E"], [p[f"F{w}"] for w in WIDTHS], p["b"], p["W"], p["c"])
 
 
-def labelled_windows(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> DataFrame:
-    """(piece, lang): the bounded training sample, from rows where ``use`` holds and lang is known.
-
-    A text is taken if its hash falls below its language's share, so a sample is spread
-    over the table and copies of one text count once.
-    """
-    known = docs.where(use & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+def labelled_texts(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS) -> DataFrame:
+    """(text, lang): of each language the ``docs_per_lang`` distinct texts of smallest hash, from
+    rows where ``use`` holds, lang is known and the text has a letter; copies count once."""
+    known = docs.where(use & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = known.select("text", "lang", F.xxhash64("text", F.lit("sample")).alias("h"))
+    counts = {r["lang"]: r["count"] for r in known.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not counts:
-        return known.select(F.col("text").alias("piece"), "lang")
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, docs_per_lang / n))])
-    unit = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(unit < share[F.col("lang")]).dropDuplicates(["text", "lang"])
+        return known.select("text", "lang")
+    # Twice the hashes that are needed, so that no task has to order all texts of a language.
+    shares = {lang: min(1.0, (2 * docs_per_lang + 100) / n) for lang, n in counts.items()}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    place = F.pmod("h", F.lit(1 << 30))
+    few = known.where(place / float(1 << 30) < share[F.col("lang")]).dropDuplicates(["text", "lang"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h", "text"))
+    return few.withColumn("nth", nth).where(F.col("nth") <= docs_per_lang).select("text", "lang")
+
+
+def labelled_windows(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> DataFrame:
+    """(piece, lang): the bounded training sample, windows of the ``labelled_texts``."""
+    chosen = labelled_texts(docs, use, docs_per_lang)
     place = F.pmod(F.xxhash64("text", "nth"), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
     pieces = chosen.withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(windows))))
     return pieces.select(F.substring("text", place.cast("int"), WINDOW).alias("piece"), "lang")

@@ -154,3 +154,12 @@ def test_the_sample_is_bounded_and_avoids_held_out_rows(spark):
     empty = docs.withColumn("lang", F.lit(None).cast("string"))
     assert langid.fit(empty, use) is None
     assert json.dumps([list(r) for r in sorted(rows)]) == json.dumps([list(r) for r in sorted(langid.labelled_windows(docs.repartition(3), use, docs_per_lang=20).collect())])
+
+
+def test_copies_take_no_places_in_the_sample(spark):
+    rows = [("xx", f"copied text {i % 4}") for i in range(560)] + [("xx", f"own text {i}") for i in range(40)] + [("yy", f"other {i}") for i in range(600)]
+    rows += [("zz", "the only text")] * 500
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got = [tuple(r) for r in langid.labelled_windows(docs, F.lit(True), docs_per_lang=30, windows=1).collect()]
+    assert len(got) == len(set(got)) and {t for t, lang in got if lang == "zz"} == {"the only text"}
+    assert [sum(lang == x for _, lang in got) for x in ("xx", "yy", "zz")] == [30, 30, 1]
