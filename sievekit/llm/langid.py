@@ -13,6 +13,11 @@ smallest hash, ``SAMPLE_WINDOWS`` windows of each, at hashed places of the text.
 prediction, embedding and filters are multiplied out into tables by pairs of codes,
 so a window costs a few table reads per byte, in blocks that bound memory.
 
+Rejection. With ``reject`` the network learns one more class, from made-up windows of digits,
+hashes, keys, marks, random letters and scripts that no label stands for (``junk``). A text whose
+mean probability of that class is above ``limit`` gets ``und``. The limit is calibrated on the
+labelled sample: at most ``FALSE_REJECT`` of its texts are lost, and none below ``LEAST_LIMIT``.
+
 Edge cases: a text that is null or has no letter gets ``und`` with score 0; texts of
 any length are read whole; with no labelled text, every text is ``und``; repeated
 rows get equal results; an empty table gives no rows.
@@ -20,7 +25,7 @@ rows get equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,11 @@ SAMPLE_WINDOWS = 2
 STEPS, BATCH, RATE = 700, 64, 4e-3
 BLOCK = 64
 UNKNOWN = "und"
+FALSE_REJECT = 0.005
+LEAST_LIMIT = 0.5
+JUNK_WINDOWS = 3000
+# First and last letter of scripts; one that labelled texts use is no junk.
+SCRIPTS = ((0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x30FE), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
 
 def byte_codes() -> np.ndarray:
@@ -80,6 +90,7 @@ class ByteCnn:
     bias: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
+    limit: float = 1.0  # of the probability of UNKNOWN, if that is a class
     _tables: tuple | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
@@ -115,10 +126,9 @@ class ByteCnn:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def classify(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language index, score) of every text; a text without bytes scores 0."""
-        n = len(offsets) - 1
-        total = np.zeros((n, len(self.languages)))
+    def mean_probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(texts, languages): means over the windows of each text, by bytes; 0 without bytes."""
+        total = np.zeros((len(offsets) - 1, len(self.languages)))
         step = 4096  # texts are taken in groups of whole windows, a long text over several
         codes, owner, held = to_windows(data, offsets)
         for at in range(0, len(codes), step):
@@ -126,8 +136,40 @@ class ByteCnn:
             mine = owner[at : at + step]
             first = np.flatnonzero(np.diff(mine, prepend=-1))
             total[mine[first]] += np.add.reduceat(p, first, axis=0)
-        best = total.argmax(axis=1)
-        return best, np.minimum(1.0, total[np.arange(n), best] / np.maximum(np.diff(offsets), 1))
+        return total / np.maximum(np.diff(offsets), 1)[:, None]
+
+    def classify(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language index, score, probability of UNKNOWN) of every text; a text without bytes scores 0."""
+        p = self.mean_probabilities(data, offsets)
+        own = np.array([x == UNKNOWN for x in self.languages])
+        rejected = np.minimum(1.0, p[:, own].sum(axis=1))
+        best = np.where(own, -1.0, p).argmax(axis=1)
+        return best, np.minimum(1.0, p[np.arange(len(p)), best]), rejected
+
+
+def junk(pieces: list[bytes], n: int = JUNK_WINDOWS, seed: int = 5) -> list[bytes]:
+    """Windows of no language: digits, hashes, keys, marks and random letters, alone and mixed,
+    and letters of scripts that hardly any of the labelled ``pieces`` use."""
+    rng = np.random.default_rng(seed)
+    digits, marks = list("0123456789"), list("!\"#$%&'()*+,-./:;<=>?@[]^_{|}~")
+    small = list("abcdefghijklmnopqrstuvwxyz")
+    alphabets = [(digits, 3), (digits + small[:6], 3), (small + [c.upper() for c in small] + digits + list("+/_-"), 3), (marks, 2), (digits + marks, 2), (small, 1)]
+    texts = [t.decode(errors="ignore") for t in pieces]
+    for low, high in SCRIPTS:
+        if sum(sum(low <= ord(c) <= high for c in t) >= 10 for t in texts) <= len(texts) // 200:
+            alphabets.append(([chr(low + int(k)) for k in rng.integers(0, high - low + 1, 200)], 1))
+    weight = np.array([w for _, w in alphabets], float)
+    out = []
+    for _ in range(n):
+        kinds = rng.choice(len(alphabets), rng.integers(1, 4), p=weight / weight.sum())
+        longest = int(rng.choice([4, 8, 16, 40, WINDOW]))
+        words, size = [], 0
+        while size < WINDOW:
+            word = "".join(rng.choice(alphabets[rng.choice(kinds)][0], rng.integers(max(1, longest // 2), longest + 1)))
+            words.append(word)
+            size += len(word.encode()) + 1
+        out.append(str(rng.choice([" ", " ", "\n", ", "])).join(words).encode()[:WINDOW])
+    return out
 
 
 def train(texts: list[bytes], labels: list[str], seed: int = 4) -> ByteCnn | None:
@@ -209,25 +251,42 @@ def labelled_windows(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_D
     return pieces.select(F.substring("text", place.cast("int"), WINDOW).alias("piece"), "lang")
 
 
-def fit(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS) -> ByteCnn | None:
+def fit(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS, reject: bool = False) -> ByteCnn | None:
+    """The network of the labelled sample; with ``reject`` it has UNKNOWN as a class, and a limit."""
     rows = sorted(map(tuple, labelled_windows(docs, use, docs_per_lang).collect()))
-    return train([r[0].encode()[:WINDOW] for r in rows], [r[1] for r in rows])
+    pieces, labels = [r[0].encode()[:WINDOW] for r in rows], [r[1] for r in rows]
+    if not reject or not rows:
+        return train(pieces, labels)
+    more = junk(pieces)
+    model = train(pieces + more, labels + [UNKNOWN] * len(more))
+    rejected = judged(F.col("text"), model)["rejected"]
+    sample = labelled_texts(docs, use, docs_per_lang).select(rejected.alias("rejected"))
+    most = sample.agg(F.percentile_approx("rejected", 1 - FALSE_REJECT, 100_000)).first()[0]
+    # A little more, since sums of floats depend on what else is in a batch.
+    return replace(model, limit=min(1.0, max(LEAST_LIMIT, most + 1e-4)))
+
+
+def judged(text: Column, model: ByteCnn | None) -> Column:
+    """struct(lang, score, rejected) of a text by the network alone."""
+
+    @F.arrow_udf("lang string, score double, rejected double")
+    def guess(texts: pa.Array) -> pa.Array:
+        names = ["lang", "score", "rejected"]
+        if model is None:
+            zero = pa.array(np.zeros(len(texts)))
+            return pa.StructArray.from_arrays([pa.nulls(len(texts), pa.string()), zero, zero], names)
+        best, score, rejected = model.classify(*text_buffer(texts))
+        langs = pa.array(model.languages, pa.string()).take(pa.array(best))
+        return pa.StructArray.from_arrays([langs, pa.array(score), pa.array(rejected)], names)
+
+    return guess(text)
 
 
 def predict(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> DataFrame:
     """Adds lang_pred and score; columns of these names are replaced."""
-
-    @F.arrow_udf("lang string, score double")
-    def guess(texts: pa.Array) -> pa.Array:
-        if model is None:
-            return pa.StructArray.from_arrays([pa.nulls(len(texts), pa.string()), pa.array(np.zeros(len(texts)))], ["lang", "score"])
-        best, score = model.classify(*text_buffer(texts))
-        names = pa.array(model.languages, pa.string()).take(pa.array(best))
-        return pa.StructArray.from_arrays([names, pa.array(score)], ["lang", "score"])
-
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = docs.drop("lang_pred", "score").withColumn("_guess", guess(F.col(text)))
-    sure = lettered & F.col("_guess.lang").isNotNull()
+    out = docs.drop("lang_pred", "score").withColumn("_guess", judged(F.col(text), model))
+    sure = lettered & F.col("_guess.lang").isNotNull() & (F.col("_guess.rejected") <= (model.limit if model else 1.0))
     return (
         out.withColumn("lang_pred", F.when(sure, F.col("_guess.lang")).otherwise(UNKNOWN))
         .withColumn("score", F.when(sure, F.col("_guess.score")).otherwise(0.0))

@@ -3,6 +3,7 @@
 import json
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -156,6 +157,24 @@ def test_the_sample_is_bounded_and_avoids_held_out_rows(spark):
     assert json.dumps([list(r) for r in sorted(rows)]) == json.dumps([list(r) for r in sorted(langid.labelled_windows(docs.repartition(3), use, docs_per_lang=20).collect())])
 
 
+def test_junk_is_rejected_and_the_limit_decides(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    use = ~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
+    model = langid.fit(docs, use, reject=True)
+    clean = docs.where(langid.held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    lost = lambda limit, of: langid.predict(of, replace(model, limit=limit)).where("lang_pred = 'und'").count()
+    n = clean.count()
+    assert lost(model.limit, clean) <= 0.02 * n and lost(1.0, clean) == 0 and lost(-1.0, clean) == n
+    rng = np.random.default_rng(8)
+    rows = [
+        " ".join(map(str, rng.integers(0, 10**9, 40))) + " a", "".join(rng.choice(list("0123456789abcdef"), 300)),
+        "x $%& ### ** !! " * 20, " ".join("".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(8)), "Привет мир, это текст о погоде и людях. " * 6,
+    ]
+    bad = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(bad, model).orderBy("doc_id").collect()] == ["und"] * len(rows)
+    assert lost(1.0, bad) == 0
+
+
 def test_copies_take_no_places_in_the_sample(spark):
     rows = [("xx", f"copied text {i % 4}") for i in range(560)] + [("xx", f"own text {i}") for i in range(40)] + [("yy", f"other {i}") for i in range(600)]
     rows += [("zz", "the only text")] * 500

@@ -92,3 +92,9 @@ def test_empty_table_goes_through(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_language_drops_what_the_network_rejects(spark, results):
+    junk = [(9000 + i, f"{k * 7919 % 10**9:09d} {k * 104729 % 16**8:08x} " * 12, None, "s1") for i, k in enumerate((3**15, 5**9, 7**8))]
+    docs = spark.createDataFrame(rows() + [(*r, len(r[1]), 1, "x") for r in junk], SCHEMA)
+    assert texts(P.language(spark, docs, "")) == texts(results[0])
