@@ -95,6 +95,17 @@ def test_probabilities_of_a_model_add_up():
     assert total == pytest.approx(1)
 
 
+def test_the_models_see_the_whole_url(spark):
+    rows = [f"https://site{i % 9}.com/news/{i}?page={i}#top" for i in range(300)] + [f"https://site{i % 9}.net/es/{i}?win=casino{i}#free" for i in range(300)]
+    asked = ["https://a.org/news/1?page=2#top", "https://a.org/news/1?win=casino2#free", "win=casino7#free", "HTTP://A.ORG\n/x\n", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(asked + rows)], "page_id long, url string")
+    got = url_filter.judge(pages, url_filter.fit_on_rules(pages)).orderBy("page_id").limit(len(asked)).collect()
+    assert got[0].lm_score > got[1].lm_score and got[2].lm_score < 0 == got[4].lm_score
+    assert [r.verdict for r in got[:3]] == ["allow", "block", "block"]
+    whole = pages.select("page_id", url_filter.whole_of(F.col("url")).alias("w")).orderBy("page_id").limit(len(asked)).collect()
+    assert [r.w for r in whole] == [*asked[:3], "HTTP://a.org\n/x\n", ""]
+
+
 def test_url_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(pages, url_filter.fit_on_rules(pages)).count() == 0
