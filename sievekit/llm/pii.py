@@ -13,7 +13,11 @@ Kinds: ``email`` (letters and digits of the local part; of the domain as well, w
 its last label, if the local part is short), ``card`` (13 to 19 digits with a right check
 digit; the first digit stays, the check digit is made anew), ``ssn``, ``phone`` (North
 American, or + and 8 to 15 digits, whose first two stay), ``ipv4``, ``date`` (from
-1700-03-01, 400 years; year-month-day, day.month.year, month/day/year). Separators stay.
+1700-03-01, 400 years; year-month-day, day.month.year, month/day/year, or day/month/year if the
+day is above 12; a time may follow after a T, and stays). Separators stay.
+
+Left in clear text: dates with the name of a month or a year of two digits, and account numbers
+(IBAN).
 
 Edge cases: null text stays null and empty text empty; values that fail their check stay;
 texts of any length are treated whole; repeated rows get equal results; other columns are
@@ -37,12 +41,13 @@ CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)"
 ABROAD = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d)"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!(?!T\d\d)[\w/-]|\.\d)"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, CARD, SSN, PHONE, ABROAD, DATE))
 HINT = "[0-9@]"
 
 FIRST_DAY = "1700-03-01"
 DAY_UNITS = (27, 5411)  # their product is the days of 400 years
+LATE_UNITS = (9, 9833)  # of those, the days after the twelfth of a month
 SSN_UNITS = (898, 99, 9999)  # areas 001 to 899 without 666, groups, serials
 PHONE_UNITS = (8, 10, 10, 8, 10, 10, 10, 10, 10, 10)
 SHORT_LOCAL = 4
@@ -249,6 +254,39 @@ def _write_date(m: Column, units: Column) -> Column:
     return _let(new, write)
 
 
+# Date with the day first and above 12, which can't be read as month/day/year: the number of its day
+# among such days, so that these dates are permuted among themselves.
+
+
+def _late_before(month: Column) -> Column:
+    """Days after the twelfth in all months before, counted from that of FIRST_DAY."""
+    first = F.lit(FIRST_DAY).cast("date")
+    return F.datediff(F.add_months(first, month), first) - 12 * month
+
+
+def _read_late(m: Column) -> tuple[Column, Column]:
+    day, month, year = (F.get(F.split(m, "/"), F.lit(i)) for i in range(3))
+    real = F.try_to_date(F.concat_ws("-", year, _padded(month, 2), _padded(day, 2)), "yyyy-MM-dd")
+    nth_month = (F.year(real) - int(FIRST_DAY[:4])) * 12 + F.month(real) - int(FIRST_DAY[5:7])
+    count = _late_before(nth_month) + F.dayofmonth(real) - 13
+    holds = m.rlike(r"^\d+/\d+/\d+$") & (F.dayofmonth(real) > 12) & nth_month.between(0, 4799)
+    return _units(holds, "date", _let(count, lambda c: F.array(F.floor(c / LATE_UNITS[1]).cast("int"), c % LATE_UNITS[1])), _ints(LATE_UNITS), F.lit("day/month"))
+
+
+def _write_late(m: Column, units: Column) -> Column:
+    def date_of(count: Column) -> Column:
+        near = F.floor(count * 4800 / (LATE_UNITS[0] * LATE_UNITS[1])).cast("int")  # or the month before or after
+
+        def written(month: Column) -> Column:
+            new = F.date_add(F.add_months(F.lit(FIRST_DAY).cast("date"), month), (12 + count - _late_before(month)).cast("int"))
+            return F.when(m.rlike(r"/\d/"), F.date_format(new, "dd/M/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+
+        month = F.when(_late_before(near + 1) <= count, near + 1).when(_late_before(near) <= count, near).otherwise(near - 1)
+        return _let(month, written)
+
+    return _let(F.get(units, F.lit(0)) * LATE_UNITS[1] + F.get(units, F.lit(1)), date_of)
+
+
 # In the order in which they are tried.
 RULES = (
     ("email", _read_email, _write_email),
@@ -258,6 +296,7 @@ RULES = (
     ("phone", _read_phone, _write_phone),
     ("abroad", _read_abroad, _write_abroad),
     ("date", _read_date, _write_date),
+    ("late", _read_late, _write_late),
 )
 _READ = "struct<kind:string,units:array<int>,moduli:array<int>,tweak:string>"
 

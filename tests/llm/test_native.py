@@ -193,6 +193,32 @@ def test_feistel_is_a_permutation(spark):
     assert got == {(a, b) for a in range(27) for b in range(11)}
 
 
+def test_dates_with_a_time_or_the_day_first(spark):
+    late = [datetime.date(1700, 3, 13) + datetime.timedelta(days=k) for k in range(146097 - 12)]
+    late = [d for d in late if d.day > 12]
+    assert len(late) == pii.LATE_UNITS[0] * pii.LATE_UNITS[1]
+    some = late[:400] + late[::97] + late[-400:]
+    texts = ["am 2024-05-01T10:00:00Z um", "le 31/12/1980.", "31/02/1980 32/12/1980 13/13/1980 31/12/1699 2024-05-01Tx", *[d.strftime("%d/%m/%Y") for d in some]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = pii.pseudonymise(docs, "k").cache()
+    got = [r.text for r in new.orderBy("doc_id").collect()]
+    assert re.fullmatch(r"am \d{4}-\d\d-\d\dT10:00:00Z um", got[0]) and got[0] != texts[0] and got[2] == texts[2]
+    assert re.fullmatch(r"le \d\d/\d\d/\d{4}\.", got[1]) and got[1] != texts[1]
+    dates = [datetime.datetime.strptime(x, "%d/%m/%Y").date() for x in got[3:]]
+    assert set(dates) <= set(late) and len(set(dates)) == len(set(some)) and dates != some
+    back = pii.pseudonymise(new.select("doc_id", "text"), "k", undo=True).orderBy("doc_id").collect()
+    assert [r.text for r in back] == texts
+
+
+def test_day_first_dates_are_written_as_they_are_read(spark):
+    late = [datetime.date(1700, 3, 1) + datetime.timedelta(days=k) for k in range(146097)]
+    late = [d.strftime("%d/%m/%Y") for d in late if d.day > 12]
+    rows = spark.createDataFrame([(d,) for d in late], "d string")
+    read = pii._read_late(rows.d)
+    out = rows.select("d", read[0].alias("holds"), read[1].alias("r")).select("d", "holds", pii._write_late(F.col("d"), F.col("r.units")).alias("w"))
+    assert out.where("not holds or w is null or w != d").count() == 0
+
+
 def test_pii_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
