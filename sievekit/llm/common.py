@@ -116,3 +116,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_BASE = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) modulo 2^64, kept between calls."""
+    have = _powers.get(int(base))
+    if have is None or len(have) < n:
+        out = np.full(max(n, 1 << 16), base)
+        out[0] = 1
+        have = _powers[int(base)] = np.multiply.accumulate(out)
+    return have[:n]
+
+
+def token_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the slices of a byte buffer: polynomials of their bytes, from prefix sums."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER.take(data) * _power(_BASE, len(data)), out=sums[1:])
+    word = (sums[end] - sums[start]) * _power(_INVERSE, len(data))[start]
+    return mix64(word ^ ((end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))

@@ -68,3 +68,33 @@ def merkle_sql(levels: int = 8, source_levels: int = 4) -> str:
     return ",\n".join(parts) + (
         f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM f{at}"
     )
+
+COLLOCATIONS_SQL = rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {LOWERED.format("coalesce(text, '')")} AS t FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs)),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 100),
+kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS longer WHERE longer.lang = c.lang AND longer.k > c.k AND longer.f >= c.f
+      AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT lang, phrase, f, j, array_to_string(string_split(phrase, ' ')[:j], ' ') AS head,
+    array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS rest
+  FROM kept, (SELECT unnest([1, 2, 3, 4]) AS j) WHERE j < k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.f AS a, j, l.f AS l, r.f AS r, n.n AS n,
+    (1000::HUGEINT * cuts.f * n.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts JOIN n USING (lang) JOIN f AS l ON l.lang = cuts.lang AND l.phrase = head
+    JOIN f AS r ON r.lang = cuts.lang AND r.phrase = rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
