@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import cut, mix64, sliced, text_buffer, token_hashes
+from sievekit.llm.common import cut, mix64, sliced, text_buffer, token_hashes, word_spans
 
 LONGEST = 5
 LEAST = 100  # occurrences of a candidate
@@ -57,14 +57,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(lower-cased bytes, start, end, row, whether the piece ends with it) of every word in order."""
     data = _LOWER.take(data)
     stop = _STOP.take(data)
-    inside = ~(stop | _BLANK.take(data))
-    head, tail = inside.copy(), inside.copy()
-    head[1:] &= ~inside[:-1]
-    tail[:-1] &= ~inside[1:]
-    edge = offsets[(offsets > 0) & (offsets < len(data))]
-    head[edge], tail[edge - 1] = inside[edge], inside[edge - 1]
-    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    row = np.searchsorted(offsets, start, side="right") - 1
+    start, end, row = word_spans(~(stop | _BLANK.take(data)), offsets)
     piece = np.cumsum(stop)[start] if len(start) else start
     last = np.ones(len(start), bool)
     last[:-1] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])

@@ -134,6 +134,17 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the runs of bytes that are ``inside``; a run ends where its row does."""
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    tail[:-1] &= ~inside[1:]
+    edge = offsets[(offsets > 0) & (offsets < len(inside))]
+    head[edge], tail[edge - 1] = inside[edge], inside[edge - 1]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
 def token_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the slices of a byte buffer: polynomials of their bytes, from prefix sums."""
     sums = np.zeros(len(data) + 1, np.uint64)

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import ann, chat, collocations, fingerprint, langid, merkle, mixing, ngram_join, pii, sharding, sptokens, url_filter
+from sievekit.llm import ann, chat, collocations, fingerprint, langid, merkle, minhash, mixing, ngram_join, pii, sharding, sptokens, url_filter
 from sievekit.llm.common import bound_batches, cut, table, word_count
 from sievekit.llm.sql import COLLOCATIONS_SQL, merkle_sql
 
@@ -137,6 +137,12 @@ def op10_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"), buckets)
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, by two-word shingles at a Jaccard similarity of 0.8."""
+    bound_batches(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_de_bruijn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of each language, from the counts of all texts."""
     bound_batches(spark)
@@ -161,6 +167,7 @@ QUERIES: dict = {
     "op8_systematic_mix": (op8_systematic_mix, MIX_SQL),
     "op9_budgeted_windows": (op9_budgeted_windows, None),
     "op10_consistent_parsing": (op10_consistent_parsing, None),
+    "op11_circulant_minhash": (op11_circulant_minhash, None),
     "op12_de_bruijn_phrases": (op12_de_bruijn_phrases, COLLOCATIONS_SQL),
     "op13_postorder_manifest": (op13_postorder_manifest, merkle_sql()),
 }
