@@ -42,8 +42,8 @@ LEAST = 100  # occurrences of a candidate
 FIRST = 2000  # phrases reported for each language
 CODES = (1 << 16) - 1
 UNKNOWN = "und"
-SLICE_BYTES = 4 << 20
-HELD_GRAMS = 1 << 21  # grams a task holds before it sums equal ones
+SLICE_BYTES = 1 << 20
+HELD_GRAMS = 1 << 20  # grams a task holds before it sums equal ones
 
 _u = np.uint64
 _STOP, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -220,18 +220,18 @@ def counted(grams: DataFrame, form: type, least: int) -> DataFrame:
     flow = grams.repartition(*form.node).groupBy(*form.names).agg(total).withColumn("level", F.lit(0))
     for n in range(LONGEST, 0, -1):
         out = [c for c in form.names if c not in form.node] if n == LONGEST else list(form.names)
-        found = (F.col("level") > 0) | (form.has(n) & (F.col("f") >= least))
-        level = F.when(F.col("level") > 0, F.col("level")).otherwise(F.lit(n))
-        rows = [F.when(found, F.struct(*out, level.alias("level"), "f"))]
-        if n > 1:
-            shorter = [c for c, name in zip(form.first(n - 1), form.names, strict=True) if name in out]
-            rows.append(F.when(F.col("level") == 0, F.struct(*shorter, F.lit(0).alias("level"), "f")))
+        deep, found = F.col("level") > 0, form.has(n) & (F.col("f") >= least)
         # The nodes of edges keep their column, so that the first step down needs no shuffle.
         stay = [c for c in form.names if c not in out]
-        flow = flow.select(*stay, F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
-        if n > 1:
-            flow = flow.groupBy(*form.names, "level").agg(total)
-    return flow.where("level > 0")
+        whole = F.struct(*out, F.when(deep, F.col("level")).otherwise(F.lit(n)).alias("level"), "f")
+        if n == 1:
+            flow = flow.where(deep | found).select(F.inline(F.array(whole)))
+            break
+        shorter = [c for c, name in zip(form.first(n - 1), form.names, strict=True) if name in out]
+        shorter = F.struct(*shorter, F.lit(0).alias("level"), "f")
+        rows = F.when(deep, F.array(whole)).when(found, F.array(whole, shorter)).otherwise(F.array(shorter))
+        flow = flow.select(*stay, F.inline(rows)).groupBy(*form.names, "level").agg(total)
+    return flow
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most_codes: int = CODES) -> tuple[DataFrame, DataFrame]:
