@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import cut, mix64, shuffles_dropped, sized, sliced, text_buffer, token_hashes, word_spans
+from sievekit.llm.common import cut, likely_in, mix64, shuffles_dropped, sized, sliced, text_buffer, token_hashes, word_spans
 from sievekit.llm.components import components
 from sievekit.llm.ngram_join import common_shingles, set_keys
 
@@ -148,7 +148,8 @@ def texts_of(docs: DataFrame, known: DataFrame, members: DataFrame, seed: int) -
 
     nodes = known.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     ids = cut(nodes.join(members.select("node").distinct(), "node"))
-    found = docs.select("doc_id", "text").join(sized(ids, ID_BYTES + 8), docs["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "n", "text")
+    texts = likely_in(docs.select("doc_id", "text"), ids, "doc_id")
+    found = texts.join(sized(ids, ID_BYTES + 8), texts["doc_id"].eqNullSafe(ids["doc_id"])).select("node", "n", "text")
     return cut(found.mapInArrow(meant, "node long, n long, text string").dropDuplicates(["node"]))
 
 
