@@ -13,7 +13,7 @@ for each task.
 
 Words in grams. A word is the 64-bit hash of its language and letters; the vocabulary shows that no
 two words share one (else the seed changes), so counts are exact. If the words that occur often enough
-to be in a phrase are at most ``CODES``, grams hold their two-byte codes instead, four in one long,
+to be in a phrase are at most ``CODES``, grams hold their 21-bit codes instead (a broadcast of at most 16 MB),
 and other words, which no phrase can hold, end a run of words as a mark does. Both forms give the same rows.
 
 Compacting. Where all flow of a phrase runs along one edge to a longer phrase, the two are one unary
@@ -40,7 +40,8 @@ from sievekit.llm.common import cut, mix64, sliced, text_buffer, token_hashes, w
 LONGEST = 5
 LEAST = 100  # occurrences of a candidate
 FIRST = 2000  # phrases reported for each language
-CODES = (1 << 16) - 1
+CODE_BITS = 21
+CODES = (1 << CODE_BITS) - 1
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
 HELD_GRAMS = 1 << 20  # grams a task holds before it sums equal ones
@@ -106,33 +107,36 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 class Packed:
-    """Grams of two-byte codes: four in ``head``, the first in the highest bits, the fifth in ``next``."""
+    """Grams of codes of ``CODE_BITS`` bits: three in ``head``, the first in the highest bits, then
+    the fourth and the fifth word."""
 
-    names, node = ("head", "next"), ("head",)
-    schema = "head long, next int, f long"
-    kinds = (np.int64, np.int32)
+    names, node = ("head", "fourth", "fifth"), ("head", "fourth")
+    schema = "head long, fourth int, fifth int, f long"
+    kinds = (np.int64, np.int32, np.int32)
 
     @staticmethod
     def pack(words: list[np.ndarray]) -> list[np.ndarray]:
-        head = words[0].astype(_u)
-        for w in words[1:4]:
-            head = (head << _u(16)) | w.astype(_u)
-        return [head.view(np.int64), words[4].astype(np.int32)]
+        shift = _u(CODE_BITS)
+        head = (((words[0] << shift) | words[1]) << shift) | words[2]
+        return [head.view(np.int64), words[3].astype(np.int32), words[4].astype(np.int32)]
 
     @staticmethod
     def unpack(columns: list[np.ndarray]) -> list[np.ndarray]:
         head = columns[0].view(_u)
-        return [(head >> _u(16 * k)) & _u(CODES) for k in (3, 2, 1, 0)] + [columns[1].astype(_u)]
+        return [(head >> _u(CODE_BITS * k)) & _u(CODES) for k in (2, 1, 0)] + [c.astype(_u) for c in columns[1:]]
 
     @staticmethod
     def has(nth: int) -> Column:
-        return F.col("next") != 0 if nth == 5 else F.shiftright("head", 16 * (4 - nth)).bitwiseAND(CODES) != 0
+        if nth > 3:
+            return F.col(Packed.names[nth - 3]) != 0
+        return F.shiftright("head", CODE_BITS * (3 - nth)).bitwiseAND(CODES) != 0
 
     @staticmethod
     def first(n: int) -> list[Column]:
         """The first n words of a gram of n + 1."""
-        head = F.col("head") if n == 4 else F.col("head").bitwiseAND(F.lit(-(1 << (16 * (4 - n)))))
-        return [head.alias("head"), F.lit(0).alias("next")]
+        head = F.col("head") if n >= 3 else F.col("head").bitwiseAND(F.lit(-(1 << (CODE_BITS * (3 - n)))))
+        fourth = F.col("fourth") if n >= 4 else F.lit(0)
+        return [head.alias("head"), fourth.alias("fourth"), F.lit(0).alias("fifth")]
 
 
 class Wide:
