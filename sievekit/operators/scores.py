@@ -6,11 +6,10 @@ Inputs are long-form score tables, the contract a batch scorer emits:
 * token:    ``(content_id, token_idx, char_start, char_end, label_idx, label, logit)``
 * candidates: ``(content_id, risk, step, token, logprob)``
 
-Every window and aggregate here is keyed on ``content_id`` first, so one hash
-partitioning on ``content_id`` serves the whole chain (softmax per token,
-best label per token, run merge per content) without re-shuffling. Groups are
-bounded by one content's labels/tokens; map-side partial aggregation keeps hot
-keys cheap in the plain aggregates.
+Scores of one unit may also come as an array, one element per label. Softmax and
+the best label then stay inside the row, and the token chain shuffles only tokens
+that have a label: once by (content, range of tokens) to fold runs, and the runs at
+the edges of ranges once more to stitch them.
 """
 
 from __future__ import annotations
@@ -52,12 +51,23 @@ def softmax_long(df: DataFrame, group_cols: list[str], logit_col: str = "logit",
     return df.withColumn("_e", shifted).withColumn(out_col, F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once. Spark evaluates what a lambda captures again for
+    every element, so whatever is used inside one is bound to a lambda's variable first."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax_array(logits: Column) -> Column:
     """Softmax of an array column, row-local (no shuffle)."""
-    m = F.array_max(logits)
-    ex = F.transform(logits, lambda x: F.exp(x - m))
-    s = F.aggregate(ex, F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return F.transform(ex, lambda x: x / s)
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0).cast("double"), lambda a, x: a + x)
+        return bound(total, lambda s: F.transform(powers, lambda x: x / s))
+
+    def powers(values: Column) -> Column:
+        return bound(F.array_max(values), lambda m: F.transform(values, lambda x: F.exp(x - m)))
+
+    return bound(logits, lambda values: bound(powers(values), shares))
 
 
 # --- thresholds and safe labels ------------------------------------------------------
@@ -127,46 +137,104 @@ def token_best_label(token_probs: DataFrame, threshold, label_thresholds, safe_k
     return out.select(*keys, F.col("b.label").alias("label"), F.col("b.prob").alias("prob"), F.col("b.char_start").alias("char_start"), F.col("b.char_end").alias("char_end"))
 
 
-def token_span_merge(best: DataFrame, texts: DataFrame | None = None, text_col: str = "text", problem_type: str | None = None) -> DataFrame:
-    """Merge runs of adjacent token indices with the same label (gaps and islands).
+def label_limits(labels: list[str], threshold, label_thresholds, safe_keys) -> Column:
+    """Effective threshold of every label as one array; null where the label is safe.
+
+    Made once for a content, so its tokens carry a few numbers and no parameters.
+    """
+    limits = [
+        F.when(~is_safe(F.lit(i), F.lit(x), safe_keys), effective_threshold(F.lit(x), threshold, label_thresholds))
+        for i, x in enumerate(labels)
+    ]
+    return F.array(*limits)
+
+
+def best_labels(tokens: DataFrame, logits: Column, limits: Column, labels: list[str]) -> DataFrame:
+    """M2 and M4 without a shuffle: the tokens that have a label over its limit, with ``label`` and
+    ``prob`` of the likeliest one, the first on ties. ``logits`` and ``limits`` are arrays.
 
-    span = first start .. last end, score = mean prob. Span text comes from
-    ``texts`` (substring, a join on content_id) or, when the tokens tile the
-    text with single spaces, from the tokens themselves (no join).
+    Each step is a projection over scalars, which Spark compiles and computes once per row.
     """
-    w = Window.partitionBy("content_id", "label").orderBy("token_idx")
-    g = best.withColumn("grp", F.col("token_idx") - F.row_number().over(w))
-    aggs = [
-        F.min("token_idx").alias("first_token"),
-        F.min("char_start").alias("start"),
-        F.max("char_end").alias("end"),
-        F.avg("prob").alias("score"),
+    every, n = tokens.columns, range(len(labels))
+    step = tokens.select(*every, logits.alias("_l"), limits.alias("_limits")).select("*", F.array_max("_l").alias("_m"))
+    step = step.select(*every, "_limits", *[F.exp(F.col("_l")[i] - F.col("_m")).alias(f"_e{i}") for i in n])
+    step = step.select("*", sum((F.col(f"_e{i}") for i in n), F.lit(0.0)).alias("_s"))
+    share = [F.col(f"_e{i}") / F.col("_s") for i in n]
+    step = step.select(*every, *[F.when(share[i] >= F.col("_limits")[i], share[i]).alias(f"_p{i}") for i in n])
+    first = F.coalesce(*[F.when(F.col(f"_p{i}") == F.col("_best"), F.lit(labels[i])) for i in n])
+    step = step.select("*", F.greatest(*[F.col(f"_p{i}") for i in n]).alias("_best"))
+    # A filter on the best would be pushed below, and all of it computed twice.
+    kept = F.explode(F.when(F.col("_best").isNotNull(), F.array(F.struct(first.alias("label"), F.col("_best").alias("prob")))))
+    return step.select(*every, kept.alias("_b")).select(*every, "_b.label", "_b.prob")
+
+
+# A run's state: what two neighbouring runs of one label need to become one.
+RUN_CHUNK = 1024
+
+
+def _run_state(first: str, last: str, start: str, end: str, total: str, n: str) -> list[Column]:
+    return [
+        F.min_by(start, first).alias("start"),
+        F.max_by(end, last).alias("end"),
+        F.min(first).alias("first_token"),
+        F.max(last).alias("last_token"),
+        F.sum(total).alias("total"),
+        F.sum(n).alias("n"),
     ]
-    if texts is None:
-        aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]), " ").alias("text"))
-    spans = g.groupBy("content_id", "label", "grp").agg(*aggs)
-    if texts is not None:
-        spans = spans.join(texts.select(F.col("content_id"), F.col(text_col).alias("_t")), "content_id").withColumn(
-            "text", F.expr("substring(_t, start + 1, `end` - start)")
-        ).drop("_t")
+
+
+def token_runs(best: DataFrame, chunk: int = RUN_CHUNK) -> DataFrame:
+    """Runs of adjacent tokens of one label: (content_id, label, first_token, last_token, start,
+    end, total, n), folded inside chunks of tokens and stitched at their edges.
+
+    A chunk is a range of ``chunk`` tokens of one content, so a long content is spread over tasks.
+    Only runs that touch an edge of their chunk meet again, by content and label; a run over
+    whole chunks is one of them for each chunk. All others are finished in the first pass.
+    """
+    inside = Window.partitionBy("content_id", "chunk", "label").orderBy("token_idx")
+    tokens = best.withColumn("chunk", F.floor(F.col("token_idx") / chunk)).withColumn("n", F.lit(1))
+    tokens = tokens.withColumn("grp", F.col("token_idx") - F.row_number().over(inside))
+    runs = tokens.groupBy("content_id", "chunk", "label", "grp").agg(*_run_state("token_idx", "token_idx", "char_start", "char_end", "prob", "n")).drop("chunk", "grp")
+    at_edge = (F.col("first_token") % chunk == 0) | (F.col("last_token") % chunk == chunk - 1)
+    # Both branches read the one shuffle of tokens.
+    along = Window.partitionBy("content_id", "label").orderBy("first_token")
+    edge = runs.where(at_edge).withColumn("new", F.coalesce((F.lag("last_token").over(along) + 1 != F.col("first_token")).cast("int"), F.lit(1)))
+    edge = edge.withColumn("grp", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stitched = edge.groupBy("content_id", "label", "grp").agg(*_run_state("first_token", "last_token", "start", "end", "total", "n")).drop("grp")
+    return runs.where(~at_edge).unionByName(stitched)
+
+
+def token_span_merge(best: DataFrame, texts: DataFrame, text_col: str = "text", problem_type: str | None = None, chunk: int = RUN_CHUNK) -> DataFrame:
+    """M5: one detection for each run of adjacent tokens with the same label.
+
+    span = first start .. last end, score = mean prob, text = that slice of the content in
+    ``texts`` (content_id and ``text_col``), whatever the tokenizer.
+    """
+    text = texts.select("content_id", F.col(text_col).alias("_t"))
+    spans = token_runs(best, chunk).join(text, "content_id")
     return spans.select(
         "content_id",
         "first_token",
         F.col("start").cast("int").alias("start"),
         F.col("end").cast("int").alias("end"),
-        "text",
+        F.expr("substring(_t, start + 1, `end` - start)").alias("text"),
         F.lit(problem_type or "detection").alias("detection"),
         F.col("label").alias("detection_type"),
-        "score",
+        (F.col("total") / F.col("n")).alias("score"),
     )
 
 
-def truncate_tokens(tokens: DataFrame, max_length: Column | int, model_max: int | None = None) -> DataFrame:
-    """Only the first ``max_length`` tokens are scored; model max >= 1e6 means unbounded."""
+def is_scored(max_length: Column | int, model_max: int | None = None) -> Column:
+    """Whether a token is among the first ``max_length``; a model max of 1e6 or more means unbounded."""
     n = max_length if isinstance(max_length, Column) else F.lit(int(max_length))
     if model_max and model_max < UNBOUNDED_MODEL_MAX:
         n = F.least(n, F.lit(int(model_max)))
-    return tokens.where(F.col("token_idx") < n)
+    return F.col("token_idx") < n
+
+
+def truncate_tokens(tokens: DataFrame, max_length: Column | int, model_max: int | None = None) -> DataFrame:
+    """The tokens that are scored."""
+    return tokens.where(is_scored(max_length, model_max))
 
 
 # --- M7 / M8 / M9 / M10 generation-based risk --------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievekit.operators import custom as C
 from sievekit.operators import user_examples
 from sievekit.operators.codescan import code_safety_scan
+from sievekit.operators.wordlist import find_words
 from sievekit.plans.detect import detect
 from sievekit.sources.tables import table
 
@@ -52,16 +53,26 @@ def over_100_characters_q(spark, sf_dir):
     return _flat(_docs(spark, sf_dir), {"custom": ["over_100_characters"]})
 
 
+def _word_list(spark, sf_dir):
+    """Words to look for: those of the benchmark passages, customers' names, and the example's word."""
+    passages = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("word"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("word"))
+    return passages.unionByName(names).unionByName(spark.sql(f"SELECT '{C.FORBIDDEN_WORD}' AS word"))
+
+
 def contains_word_q(spark, sf_dir):
-    """U4: first 'apple' in the lower-cased text (native), over documents and conversation turns."""
+    """U4: the first place of every listed word in documents and conversation turns."""
     conv = table(spark, sf_dir, "conversations").select((-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("doc_id"), "text")
-    return _flat(_docs(spark, sf_dir).unionByName(conv), {"custom": ["contains_word"]})
+    found = find_words(_docs(spark, sf_dir).unionByName(conv), _word_list(spark, sf_dir))
+    return found.select("doc_id", "word", "start", "end", "detection", "detection_type", "score")
 
 
-CONTAINS_WORD_SQL = """WITH s AS (SELECT doc_id, text FROM documents UNION ALL SELECT -(conv_id * 1000 + turn) - 1, text FROM conversations)
-SELECT doc_id, 0 AS ord, CAST(strpos(lower(text), 'apple') - 1 AS INT) AS "start", CAST(strpos(lower(text), 'apple') + 4 AS INT) AS "end",
-       text, 'forbidden_word: apple' AS detection, 'content_check' AS detection_type, CAST(1.0 AS DOUBLE) AS score
-FROM s WHERE strpos(lower(text), 'apple') > 0"""
+CONTAINS_WORD_SQL = """WITH s AS (SELECT doc_id, lower(text) AS t FROM documents UNION ALL SELECT -(conv_id * 1000 + turn) - 1, lower(text) FROM conversations),
+w AS (SELECT DISTINCT lower(word) AS word FROM (
+  SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS word FROM benchmark UNION ALL SELECT c_name FROM customer UNION ALL SELECT 'apple'))
+SELECT doc_id, word, CAST(strpos(t, word) - 1 AS INT) AS "start", CAST(strpos(t, word) - 1 + length(word) AS INT) AS "end",
+       'forbidden_word: ' || word AS detection, 'content_check' AS detection_type, CAST(1.0 AS DOUBLE) AS score
+FROM s JOIN w ON contains(t, word)"""
 
 
 def custom_with_headers_q(spark, sf_dir):
@@ -96,26 +107,44 @@ SELECT doc_id, CAST(n_errors AS INT) AS n_errors, CAST(row_number() OVER (PARTIT
        CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end" FROM f"""
 
 
+# Shapes of module code, chosen by doc_id: (source, findings as (line within it, rule, name)).
+CODE_SHAPES = [
+    ("x = 1; import os", [(1, "import", "os")]),
+    ("if x: import json, \\\n  subprocess", [(1, "import", "subprocess")]),
+    ("s = \"\"\"\nimport os\neval(1)\n\"\"\"\nexec(s)", [(5, "call", "exec")]),
+    ("def open(x): return x", []),
+    ("class A:\n    def eval(self):\n        return self.eval(1)", []),
+    ("from os import environ as e", []),
+    ("from os import (\n    environ,\n    path)", [(1, "import", "os")]),
+    ("import os.path as p, sys # shutil", [(1, "import", "os.path"), (1, "import", "sys")]),
+    ("y = f\"{eval(x)} {{exec(x)}}\"", [(1, "call", "eval")]),
+    ("z = [open(\n  'a'), compile\n  ('b', '', 'exec')]", [(1, "call", "open"), (2, "call", "compile")]),
+    ("def broken(:", None),
+]
+
+
 def code_safety_scan_q(spark, sf_dir):
-    """U8: a Python module per document (imports and calls chosen by doc_id, the text as a literal)."""
+    """U8: a Python module per document: its text as literals of two kinds, a shape of code before and after."""
+    shapes = F.array(*[F.lit(source) for source, _ in CODE_SHAPES])
+    shape = F.element_at(shapes, (F.pmod("doc_id", F.lit(len(CODE_SHAPES))) + 1).cast("int"))
+    inner = F.regexp_replace("text", r"[\"\\\\\x00]", "")
+    src = F.concat(F.lit("x = "), F.to_json(F.array("text")), F.lit("\n"), shape, F.lit('\ny = """'), inner, F.lit('"""\neval(y)\n'))
     docs = _docs(spark, sf_dir)
-    mods = F.array(*[F.lit(m) for m in ("os", "json", "subprocess", "re")])
-    fns = F.array(*[F.lit(f) for f in ("print", "eval", "len", "open", "exec")])
-    src = F.concat_ws(
-        "\n",
-        F.concat(F.lit("import "), F.element_at(mods, (F.col("doc_id") % 4 + 1).cast("int"))),
-        F.when(F.col("doc_id") % 3 == 0, F.lit("from os import environ")).otherwise(F.lit("from os import path")),
-        F.concat(F.element_at(fns, (F.col("doc_id") % 5 + 1).cast("int")), F.lit("("), F.to_json(F.array("text")), F.lit(")")),
-        F.when(F.col("doc_id") % 7 == 0, F.lit("def broken(:")).otherwise(F.lit("x = 1")),
-    )
     return code_safety_scan(docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), src.alias("source")))
 
 
-CODE_SAFETY_SQL = """WITH d AS (SELECT doc_id, 'doc_' || doc_id || '.py' AS path FROM documents)
-SELECT path, 1::INT AS line, 'import' AS rule, CASE doc_id % 4 WHEN 0 THEN 'os' ELSE 'subprocess' END AS name FROM d WHERE doc_id % 4 IN (0, 2)
-UNION ALL SELECT path, 2::INT, 'import', 'os' FROM d WHERE doc_id % 3 <> 0
-UNION ALL SELECT path, 3::INT, 'call', CASE doc_id % 5 WHEN 1 THEN 'eval' WHEN 3 THEN 'open' ELSE 'exec' END FROM d WHERE doc_id % 5 IN (1, 3, 4)
-UNION ALL SELECT path, NULL::INT, 'syntax', NULL FROM d WHERE doc_id % 7 = 0"""
+def _code_safety_sql() -> str:
+    """Findings by shape; ``lines`` places the call after the shape and the quoted text."""
+    n, rows = len(CODE_SHAPES), []
+    for k, (source, found) in enumerate(CODE_SHAPES):
+        if found is None:
+            rows.append(f"SELECT path, NULL::INT AS line, 'syntax' AS rule, NULL AS name FROM d WHERE k = {k}")
+            continue
+        rows += [f"SELECT path, {1 + line}::INT AS line, '{rule}' AS rule, '{name}' AS name FROM d WHERE k = {k}" for line, rule, name in found]
+        rows.append(f"SELECT path, ({4 + source.count(chr(10))} + breaks)::INT AS line, 'call' AS rule, 'eval' AS name FROM d WHERE k = {k}")
+    breaks = "length(text) - length(replace(text, chr(10), ''))"
+    return f"""WITH d AS (SELECT 'doc_' || doc_id || '.py' AS path, doc_id % {n} AS k, {breaks} AS breaks FROM documents)
+""" + "\nUNION ALL ".join(rows)
 
 
 def user_metrics_q(spark, sf_dir):
@@ -155,7 +184,7 @@ def build() -> dict:
         "custom_with_headers": (custom_with_headers_q, _whole_text_sql("function_that_needs_headers", "CAST(doc_id % 250 AS VARCHAR) <> '123'")),
         "custom_with_kwargs": (custom_with_kwargs_q, _whole_text_sql("function_that_needs_kwargs", "TRUE")),
         "custom_registry": (custom_registry_q, CUSTOM_REGISTRY_SQL),
-        "code_safety_scan": (code_safety_scan_q, CODE_SAFETY_SQL),
+        "code_safety_scan": (code_safety_scan_q, _code_safety_sql()),
         "user_metrics": (user_metrics_q, USER_METRICS_SQL),
         "side_output": (side_output_q, SIDE_OUTPUT_SQL),
     }

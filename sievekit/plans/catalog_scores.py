@@ -105,10 +105,10 @@ FROM q"""
 
 
 def sequence_classification_q(spark, sf_dir):
+    """Row-local: softmax over the array of a document's logits, then its labels over their thresholds."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text", _resolved_for("content_id", RQ.CLS_DEFAULTS).alias("p"))
-    ex = docs.select("content_id", "text", "p", F.posexplode(F.array(*[F.lit(x) for x in SS.SEQ_LABELS])).alias("label_idx", "label"))
-    ex = ex.withColumn("logit", SS.md5_logit(F.concat(F.col("text"), F.lit("#"), F.col("label_idx").cast("string"))))
-    probs = S.softmax_long(ex, ["content_id"])
+    probs = docs.select("content_id", "p", F.posexplode(S.softmax_array(SS.sequence_logits_array(F.col("text")))).alias("label_idx", "prob"))
+    probs = probs.withColumn("label", F.element_at(F.array(*[F.lit(x) for x in SS.SEQ_LABELS]), F.col("label_idx") + 1))
     out = S.sequence_classification(probs, F.col("p.threshold"), F.col("p.label_thresholds"), F.col("p.safe_keys"))
     return out.select("content_id", "label_idx", "detection", "detection_type", F.round("score", R6).alias("score"))
 
@@ -137,15 +137,19 @@ FROM t WHERE prob >= thr AND NOT list_contains(safe, CAST(label_idx AS VARCHAR))
 TOKEN_PARAMS = S.Params(threshold=0.5, label_thresholds={}, safe_labels=("O",))
 
 
-def _token_probs(spark, sf_dir, docs=None):
-    # One hash partitioning on content_id, taken on token rows (before the 5x label
-    # fan-out), serves the softmax window, the best-label aggregate and the run merge.
-    tok = SS.tokens(spark, sf_dir, docs).repartition("content_id")
-    return S.softmax_long(SS.token_logits(tok), ["content_id", "token_idx"])
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
 
 
-def _token_best(spark, sf_dir):
-    return S.token_best_label(_token_probs(spark, sf_dir), TOKEN_PARAMS.threshold, TOKEN_PARAMS.label_thresholds, S.safe_label_keys(TOKEN_PARAMS.safe_labels))
+def _token_best(spark, sf_dir, threshold=TOKEN_PARAMS.threshold, label_thresholds=TOKEN_PARAMS.label_thresholds, safe_keys=None, docs=None):
+    """Best label of every token that has one. The limits are made per document, the rest stays in the token's row."""
+    safe = S.safe_label_keys(TOKEN_PARAMS.safe_labels) if safe_keys is None else safe_keys
+    docs = _documents(spark, sf_dir) if docs is None else docs
+    limits = S.label_limits(SS.TOKEN_LABELS, threshold, label_thresholds, safe)
+    tok = SS.tokens(spark, sf_dir, docs.select("content_id", "text", limits.alias("limits")))
+    tok = tok.where(~((F.col("char_start") == 0) & (F.col("char_end") == 0)))
+    best = S.best_labels(tok, SS.token_logits_array(F.col("token")), F.col("limits"), SS.TOKEN_LABELS)
+    return best.select("content_id", "token_idx", "char_start", "char_end", "label", "prob")
 
 
 def token_best_label_q(spark, sf_dir):
@@ -176,8 +180,7 @@ SELECT content_id, token_idx, label, round(prob, {R6}) AS prob, char_start, char
 
 
 def token_span_merge_q(spark, sf_dir):
-    best = _token_best(spark, sf_dir)
-    spans = S.token_span_merge(best)
+    spans = S.token_span_merge(_token_best(spark, sf_dir), _documents(spark, sf_dir))
     return spans.select("content_id", "first_token", "start", "end", "text", "detection", "detection_type", F.round("score", R6).alias("score"))
 
 
@@ -198,11 +201,9 @@ WITH {_token_probs_sql()},
 
 def token_classification_q(spark, sf_dir):
     """M6: softmax + best label + run merge with per-document params (label thresholds, safe labels)."""
-    # params are resolved per document before tokenising, so every token row carries them (no join)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text", _resolved_for("content_id", RQ.TOKEN_DEFAULTS).alias("p"))
-    probs = _token_probs(spark, sf_dir, docs)
-    best = S.token_best_label(probs, F.col("p.threshold"), F.col("p.label_thresholds"), F.col("p.safe_keys"))
-    spans = S.token_span_merge(best)
+    docs = _documents(spark, sf_dir).withColumn("p", _resolved_for("content_id", RQ.TOKEN_DEFAULTS))
+    best = _token_best(spark, sf_dir, F.col("p.threshold"), F.col("p.label_thresholds"), F.col("p.safe_keys"), docs)
+    spans = S.token_span_merge(best, _documents(spark, sf_dir))
     return spans.select("content_id", "first_token", "start", "end", "text", "detection", "detection_type", F.round("score", R6).alias("score"))
 
 
@@ -223,10 +224,9 @@ def truncate_tokens_q(spark, sf_dir):
         F.col("doc_id").alias("content_id"), "text", _resolved_for("content_id", RQ.CLS_DEFAULTS)["max_length"].alias("max_length")
     )
     tok = SS.tokens(spark, sf_dir, docs)
-    scored = S.truncate_tokens(tok, F.col("max_length"), RQ.CLS_DEFAULTS["model_max_length"])
-    kept = scored.groupBy("content_id").agg(F.count(F.lit(1)).alias("n_scored"))
-    every = tok.groupBy("content_id", "max_length").agg(F.count(F.lit(1)).alias("n_tokens"))
-    return every.join(kept, "content_id", "left").select("content_id", "max_length", "n_tokens", F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
+    scored = S.is_scored(F.col("max_length"), RQ.CLS_DEFAULTS["model_max_length"])
+    counts = [F.count(F.lit(1)).alias("n_tokens"), F.count_if(scored).alias("n_scored")]
+    return tok.groupBy("content_id", "max_length").agg(*counts).select("content_id", "max_length", "n_tokens", "n_scored")
 
 
 def truncate_tokens_sql() -> str:

@@ -99,6 +99,15 @@ def token_logits(tok: DataFrame) -> DataFrame:
     return ex.withColumn("logit", md5_logit(F.concat(F.col("token"), F.lit("#"), F.col("label_idx").cast("string"))))
 
 
+def token_logits_array(token: Column) -> Column:
+    """The logits of one token, one element per label."""
+    return F.array(*[md5_logit(F.concat(token, F.lit(f"#{i}"))) for i in range(len(TOKEN_LABELS))])
+
+
+def sequence_logits_array(text: Column) -> Column:
+    return F.array(*[md5_logit(F.concat(text, F.lit(f"#{i}"))) for i in range(len(SEQ_LABELS))])
+
+
 def token_logits_sql() -> str:
     labels = ", ".join(f"'{x}'" for x in TOKEN_LABELS)
     return f"""SELECT t.*, CAST(l.label_idx AS INT) AS label_idx, ([{labels}])[l.label_idx + 1] AS label,

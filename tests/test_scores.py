@@ -68,23 +68,89 @@ def test_max_length_clamped(spark):
     assert resolve(spark, '{"max_length": 100000}', model_max_length=10**30)["max_length"] == 100000
 
 
-def test_token_spans_merge_and_properties(spark):
-    text = "Alice Smith went to Paris"
-    toks = text.split(" ")
-    starts = [0, 6, 12, 17, 20]
-    labels = ["O", "B-PER", "I-PER", "B-LOC", "I-LOC"]
-    best = {0: 1, 1: 1, 2: 0, 3: 0, 4: 3}  # token -> label idx
-    rows = []
-    for i, (t, s) in enumerate(zip(toks, starts)):
-        for j, lab in enumerate(labels):
-            rows.append((1, i, s, s + len(t), j, lab, 5.0 if j == best[i] else 0.0, t))
-    df = spark.createDataFrame(rows, "content_id long, token_idx int, char_start int, char_end int, label_idx int, label string, logit double, token string")
-    probs = S.softmax_long(df, ["content_id", "token_idx"])
-    b = S.token_best_label(probs, 0.5, {}, S.safe_label_keys(["O"]))
-    spans = sorted((r["start"], r["end"], r["text"], r["detection_type"]) for r in S.token_span_merge(b).collect())
-    assert spans == [(0, 11, "Alice Smith", "B-PER"), (20, 25, "Paris", "B-LOC")]
-    for s, e, t, _ in spans:
-        assert text[s:e] == t
+LABELS = ["O", "B-PER", "I-PER", "B-LOC", "I-LOC"]
+
+
+def plain_spans(text, tokens):
+    """Runs by a plain loop over (token_idx, start, end, label, prob) in order."""
+    runs = []
+    for idx, start, end, label, prob in tokens:
+        if runs and runs[-1]["label"] == label and runs[-1]["last"] + 1 == idx:
+            runs[-1]["end"], runs[-1]["last"] = end, idx
+            runs[-1]["probs"].append(prob)
+        else:
+            runs.append({"first": idx, "last": idx, "start": start, "end": end, "label": label, "probs": [prob]})
+    return [(r["first"], r["start"], r["end"], text[r["start"] : r["end"]], r["label"], round(sum(r["probs"]) / len(r["probs"]), 9)) for r in runs]
+
+
+def merged(spark, contents, **kw):
+    """token_span_merge of {content_id: (text, tokens)} -> the same form as plain_spans."""
+    tokens = [(c, *t) for c, (_, ts) in contents.items() for t in ts]
+    best = spark.createDataFrame(tokens, "content_id long, token_idx int, char_start int, char_end int, label string, prob double").repartition(5)
+    texts = spark.createDataFrame([(c, t) for c, (t, _) in contents.items()], "content_id long, text string")
+    got = {c: [] for c in contents}
+    for r in S.token_span_merge(best, texts, **kw).orderBy("content_id", "first_token").collect():
+        got[r["content_id"]].append((r["first_token"], r["start"], r["end"], r["text"], r["detection_type"], round(r["score"], 9)))
+    return got
+
+
+def test_subword_tokens_cut_the_text_itself(spark):
+    """Pieces of words, accents, an emoji and doubled blanks: the text is a slice, not a join of tokens."""
+    text = "Ünal  Özdemir😀 lives in San\nFrancisco."
+    pieces = ["Ün", "al", "Öz", "dem", "ir", "😀", "lives", "in", "San", "Fran", "cisco", "."]
+    labels = ["B-PER"] * 6 + [None, None] + ["B-LOC"] * 3 + [None]
+    tokens, at = [], 0
+    for i, (piece, label) in enumerate(zip(pieces, labels, strict=True)):
+        start = text.index(piece, at)
+        at = start + len(piece)
+        if label:
+            tokens.append((i, start, at, label, 0.9))
+    got = merged(spark, {1: (text, tokens)})[1]
+    assert [g[3] for g in got] == ["Ünal  Özdemir😀", "San\nFrancisco"] and got == plain_spans(text, tokens)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1024])
+def test_runs_stitched_at_chunk_edges_equal_a_plain_loop(spark, chunk):
+    import random
+
+    rng = random.Random(chunk)
+    contents = {}
+    for c in range(12):
+        text, tokens = "ab " * 60, []
+        label = None
+        for i in range(60):
+            if rng.random() < 0.35:
+                label = rng.choice([None, "A", "A", "B"])
+            if label:
+                tokens.append((i, 3 * i, 3 * i + 2, label, rng.random()))
+        contents[c] = (text, tokens)
+    contents[50] = ("x " * 40, [(i, 2 * i, 2 * i + 1, "A", 0.5) for i in range(40)])  # one run over many chunks
+    assert merged(spark, contents, chunk=chunk) == {c: plain_spans(*v) for c, v in contents.items()}
+
+
+def test_no_content_is_gathered(spark):
+    best = spark.createDataFrame([(1, 0, 0, 2, "A", 0.5)], "content_id long, token_idx int, char_start int, char_end int, label string, prob double")
+    plan = S.token_runs(best)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_best_label_in_the_row(spark):
+    rows = [(1, [0.0, 1.0, 1.0, 0.0, -3.0]), (2, [9.0, 1.0, 0.0, 0.0, 0.0]), (3, [0.0, 0.0, 0.0, 5.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, logits array<double>")
+    limits = S.label_limits(LABELS, 0.1, {"B-LOC": 2.0}, S.safe_label_keys(["O", 4]))
+    got = {r["id"]: r for r in S.best_labels(df, F.col("logits"), limits, LABELS).collect()}
+    # A tie goes to the first label; the safe one wins no token; a limit over 1 is never met.
+    assert got[1]["label"] == "B-PER" and got[1]["prob"] == pytest.approx(math.e / (2 * math.e + 2 + math.exp(-3)))
+    assert set(got) == {1}
+
+
+def test_best_label_equals_the_long_form(spark):
+    rows = [(1, i, 1, 2, j, lab, float((i * 7 + j * 5) % 4)) for i in range(20) for j, lab in enumerate(LABELS)]
+    long = spark.createDataFrame(rows, "content_id long, token_idx int, char_start int, char_end int, label_idx int, label string, logit double")
+    want = S.token_best_label(S.softmax_long(long, ["content_id", "token_idx"]), 0.2, {"I-PER": 0.4}, S.safe_label_keys(["O"]))
+    arrays = spark.createDataFrame([(i, [float((i * 7 + j * 5) % 4) for j in range(5)]) for i in range(20)], "token_idx int, logits array<double>")
+    got = S.best_labels(arrays, F.col("logits"), S.label_limits(LABELS, 0.2, {"I-PER": 0.4}, S.safe_label_keys(["O"])), LABELS)
+    assert {(r["token_idx"], r["label"], round(r["prob"], 9)) for r in want.collect()} == {(r["token_idx"], r["label"], round(r["prob"], 9)) for r in got.collect()}
 
 
 def test_sequence_threshold_inclusive_and_safe(spark):
