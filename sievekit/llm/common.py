@@ -54,13 +54,14 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= jconf.autoBroadcastJoinThreshold() else df
 
 
-def likely_in(df: DataFrame, ids: DataFrame, key: str, buckets: int = 1 << 20) -> DataFrame:
+def likely_in(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", buckets: int = 1 << 20) -> DataFrame:
     """The rows of ``df`` whose key falls into a bucket of some key in ``ids``: all that join with it,
     and few others while it is small, so that a join after it need not shuffle wide rows for
-    nothing. At most ``buckets`` integers are broadcast, whatever the tables' sizes."""
+    nothing. With ``left_anti`` the rest. At most ``buckets`` integers are broadcast, whatever the
+    tables' sizes."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     wanted = F.broadcast(ids.select(bucket.alias("_bucket")).distinct())
-    return df.join(wanted, bucket == F.col("_bucket"), "left_semi")
+    return df.join(wanted, bucket == F.col("_bucket"), how)
 
 
 @contextmanager

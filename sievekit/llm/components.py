@@ -58,6 +58,13 @@ def joined_roots(forest: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(above.join(forest, "node", "left_anti")).where("node != root"))
 
 
+def moved_roots(root: DataFrame, above: DataFrame) -> DataFrame:
+    """(node, root) after roots were linked with each other; ``above`` has the (node, root) of those links."""
+    mid = above.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+    moved = root.join(mid, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(moved.unionByName(above.join(root, "node", "left_anti")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge other than its component's least node.
 

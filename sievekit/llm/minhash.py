@@ -29,6 +29,7 @@ kept if its whole group has none. An empty table gives no rows. Other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import count
 
 import numpy as np
@@ -37,15 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm.common import cut, likely_in, mix64, shuffles_dropped, sized, sliced, text_buffer, token_hashes, word_spans
-from sievekit.llm.components import components
-from sievekit.llm.ngram_join import common_shingles, set_keys
+from sievekit.llm.components import components, moved_roots
+from sievekit.llm.groups import later_links, set_keys, similar, unsettled
 
 WIDTH = 2
 LEAST = 80  # percent
 BANDS, ROWS = 32, 4
 SLICE_BYTES = 1 << 20
 ID_BYTES = 16
-MINOR_BLOCK, BLOCK = 128, 512  # members of a group in a task, on either side
 
 _u = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -153,10 +153,6 @@ def texts_of(docs: DataFrame, known: DataFrame, members: DataFrame, seed: int) -
     return cut(found.mapInArrow(meant, "node long, n long, text string").dropDuplicates(["node"]))
 
 
-def _similar(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return (both > 0) & (100 * both >= LEAST * (n + m - both))
-
-
 def verified(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
     """The pairs (a, b) that link, on full sets. Cuts the lineage."""
 
@@ -170,7 +166,7 @@ def verified(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
                 same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
                 both = np.bincount(row[1:][same], minlength=part.num_rows)
                 n, m = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
-                yield part.select(["a", "b"]).filter(pa.array(_similar(both, n, m)))
+                yield part.select(["a", "b"]).filter(pa.array(similar(both, n, m, LEAST)))
 
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
@@ -180,81 +176,6 @@ def verified(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
     return cut(pairs.select("a", "b", "n_a", "n_b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
-def unsettled(members: DataFrame, root: DataFrame) -> DataFrame:
-    """(key, node, root, minor, minors, others) of groups whose members, without the one all have been
-    compared with, are in several components. ``minor`` marks members outside the largest one;
-    ``minors`` and ``others`` are the blocks that either side is dealt into. Cuts the lineage."""
-    rest = members.where("node != lead").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    sizes = sizes.where("n > most").select(
-        "key", "main", F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK).cast("int").alias("minors"), F.ceil(F.col("n") / BLOCK).cast("int").alias("others")
-    )
-    return cut(rest.join(sizes, "key").select("key", "node", "root", (F.col("root") != F.col("main")).alias("minor"), "minors", "others"))
-
-
-def joined(group: list, other: list) -> Iterator[tuple[int, int]]:
-    """Links between components, by their roots, between the minor members of a block and another
-    block; members are (root, set). No link comes twice by way of those before it."""
-    top: dict = {}
-
-    def find(x: int) -> int:
-        while (above := top.get(x, x)) != x:
-            top[x] = x = top.get(above, above)
-        return x
-
-    roots = [np.array([r for r, _ in side], np.int64) for side in (group, other)]
-    size = [np.array([len(s) for _, s in side], np.int64) for side in (group, other)]
-    apart = roots[0][:, None] != roots[1][None, :]
-    low, high = np.minimum(size[0][:, None], size[1][None, :]), np.maximum(size[0][:, None], size[1][None, :])
-    if not (apart & (100 * low >= LEAST * high)).any():
-        return
-    both = common_shingles([s for _, s in group], [s for _, s in other])
-    link = apart & _similar(both, size[0][:, None], size[1][None, :])
-    for i, j in zip(*(x.tolist() for x in np.nonzero(link)), strict=True):
-        a, b = find(group[i][0]), find(other[j][0])
-        if a != b:
-            top[max(a, b)] = min(a, b)
-            yield a, b
-
-
-def later_links(rows: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
-    """Links (a, b) between roots, found among the members of unsettled groups."""
-
-    def sets(part: pa.RecordBatch) -> list[np.ndarray]:
-        row, value = shingle_sets(*text_buffer(part.column("text")), seed)
-        return np.split(value, np.searchsorted(row, np.arange(1, part.num_rows)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
-        for batch in batches:
-            found = []
-            for part in sliced(batch, "text", SLICE_BYTES):
-                columns = (part.column(c).to_pylist() for c in ("key", "low", "high", "side", "root"))
-                for key, low, high, side, root, values in zip(*columns, sets(part), strict=True):
-                    if (key, low, high) != now:
-                        found += joined(*sides)
-                        now, sides = (key, low, high), ([], [])
-                    sides[side].append((root, values))
-            yield links(found)
-        yield links(list(joined(*sides)))
-
-    def links(found: list) -> pa.RecordBatch:
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def dealt(by: str, over: str, side: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("node"), F.col(by)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col(over) - 1))
-        low, high = (block, other) if side == 0 else (other, block)
-        picked = rows.where("minor") if side == 0 else rows
-        return picked.select("key", "node", "root", low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
-
-    met = dealt("minors", "others", 0).unionByName(dealt("others", "minors", 1)).join(texts.select("node", "text"), "node")
-    met = met.select("key", "low", "high", "side", "root", "text").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return cut(met.mapInArrow(run, "a long, b long").distinct())
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     with shuffles_dropped(docs.sparkSession):
@@ -270,10 +191,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         root = components(verified(pairs, texts, seed))
         rows = unsettled(members, root)
         if not rows.isEmpty():
-            above = components(later_links(rows, texts, seed))
-            mid = above.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-            moved = root.join(mid, F.col("root") == F.col("mid"), "left").select("node", F.coalesce("top", "root").alias("root"))
-            root = cut(moved.unionByName(above.join(root, "node", "left_anti")))
+            links = later_links(rows, texts, partial(shingle_sets, seed=seed), LEAST)
+            root = moved_roots(root, components(links))
         named = known.select("doc_id", "n", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = cut(named.select("doc_id", F.col("n").alias("n_shingles"), "root"))
     first = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))

@@ -25,9 +25,8 @@ lower end of its band also takes part in the band below, where smaller partners
 
 Search. Equal sets become one node first. Nodes that emit a common signature are
 candidates, but no group is expanded into pairs: each node is first verified against the
-node of its groups that shares most with others. Groups whose nodes are then all connected
-are done. In the others, members meet the first few not yet connected to them, then the next
-few, until all have met; only pairs whose bins leave a link possible come out and are verified.
+node of its groups that shares most with others. Groups whose other nodes are then all connected
+are done. The others go to tasks whole, with their texts, and are settled there (see ``groups``).
 That finds the components, and may leave out links between nodes already known to be in one.
 
 Links. ``components`` ends there. ``join`` and ``links`` then compare every two nodes of each
@@ -43,16 +42,20 @@ empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import cut, mix64, shuffles_dropped, sized, sliced, text_buffer
-from sievekit.llm.components import joined_roots, roots_of_forest
+from sievekit.llm.common import cut, likely_in, mix64, shuffles_dropped, sized, sliced, text_buffer
+from sievekit.llm.components import components as components_of
+from sievekit.llm.components import joined_roots, moved_roots, roots_of_forest
+from sievekit.llm.groups import common_shingles, later_links, set_keys, unsettled
 
 WIDTH = 5
+LEAST = 75  # percent
 SLICE_BYTES = 1 << 20
 BAND_RATIO = 4
 PER_SEGMENT = 1.6  # shingles of the largest set of a band in each segment, on average
@@ -61,9 +64,7 @@ TINY = 5  # sets up to this size differ from a linked one in one shingle at most
 OWN, BELOW, SINGLE, WHOLE = range(4)  # schemes of a signature
 ID_BYTES = 16  # of a node and a doc_id
 LEAST_BINS, PER_BIN = 16, 2
-BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 17  # of a component's block, about
-COMPARED = 4096  # distinct shingles compared at once
-RANKS = 8  # members of a group met by all others in a round, times as many in each further round
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19  # of a component's block, about
 
 _u = np.uint64
 _BASE = _u(0xD1342543DE82EF95)
@@ -144,15 +145,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[
     return owner[new], value[new]
 
 
-def set_keys(row: np.ndarray, value: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """A 64-bit key of each row's set, whatever its order."""
-    out = np.zeros(n, _u)
-    if len(row):
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[first]] = mix64(np.add.reduceat(mix64(value ^ mix64(np.array([salt + 1], _u))[0]), first))
-    return out
-
-
 def most_different(n: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
     """The most shingles in which a set of size n and a linked one can differ: over partners
     of any size, or over partners smaller than ``below``."""
@@ -357,34 +349,6 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(_beside(pairs, nodes, "n", "bins").mapInArrow(run, "a long, b long"))
 
 
-def meetings(members: DataFrame, nodes: DataFrame, high: int) -> DataFrame:
-    """Pairs within groups that sizes and bins don't rule out: members of rank below ``high``
-    against all later ones in other components.
-
-    ``members`` has (sig, node, nth, root). Each group is read once in order of rank; only its
-    first members are held, and only pairs that may link leave the task.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for batch in batches:
-            left, right = [], []
-            columns = (batch.column(c).to_pylist() for c in ("sig", "node", "nth", "root", "n", "bins"))
-            for sig, node, nth, root, n, bins in zip(*columns, strict=True):
-                if sig != group:
-                    group, held = sig, []
-                for other, other_root, m, other_bins in held:
-                    if other_root != root and not far_apart(other_bins, m, bins, n):
-                        left.append(other)
-                        right.append(node)
-                if nth < high:
-                    held.append((node, root, n, bins))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    full = members.join(nodes.select("node", "n", "bins"), "node").select("sig", "node", "nth", "root", "n", "bins")
-    return full.repartition("sig").sortWithinPartitions("sig", "nth").mapInArrow(run, "a long, b long").distinct()
-
-
 def verified(pairs: DataFrame, texts: DataFrame, seed: int = 0) -> DataFrame:
     """The pairs that link, by comparing their sets. ``texts`` has (node, text)."""
 
@@ -397,11 +361,13 @@ def verified(pairs: DataFrame, texts: DataFrame, seed: int = 0) -> DataFrame:
     return cut(_beside(pairs, texts, "text").mapInArrow(run, "a long, b long"))
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, have: DataFrame | None = None) -> DataFrame:
-    """(node, text) of every node in the pairs beyond those in ``have``."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    if have is not None:
-        wanted = wanted.join(have, "node", "left_anti")
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """(node, text) of every wanted node."""
 
     def meant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A repeated doc_id may bring texts of other sets.
@@ -409,8 +375,8 @@ def texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, seed: int, hav
             key = set_keys(*shingle_sets(data, offsets, seed), part.num_rows, 0).view(np.int64)
             yield part.select(["node", "text"]).filter(pa.array(part.column("node").to_numpy() == key))
 
-    ids = sized(cut(nodes.join(wanted, "node").select("doc_id", "node")), ID_BYTES)
-    found = docs.select("doc_id", "text").join(ids, "doc_id").select("node", "text")
+    ids = cut(nodes.join(wanted, "node").select("doc_id", "node"))
+    found = likely_in(docs.select("doc_id", "text"), ids, "doc_id").join(sized(ids, ID_BYTES), "doc_id").select("node", "text")
     return cut(found.mapInArrow(meant, "node long, text string").dropDuplicates(["node"]))
 
 
@@ -430,7 +396,6 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         clash = sets.groupBy("node").agg(F.min("proof").alias("p"), F.max("proof").alias("q")).where("p != q")
         if clash.isEmpty():
             break
-    group = Window.partitionBy("sig")
     live = allocated(signatures(docs, seed))
     nodes = cut(
         sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
@@ -438,60 +403,19 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     )
     # The first node of each group against all others; of these pairs, one of each node before the rest.
     near = possible(live.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), nodes)
-    texts = texts_of(docs, nodes, near, seed)
+    texts = texts_of(docs, nodes, ends_of(near), seed)
     best = near.join(nodes.select(F.col("node").alias("a"), "place"), "a").groupBy("b").agg(F.min(F.struct("place", "a"))["a"].alias("a"))
     first = verified(best.select("a", "b"), texts, seed)
     forest = roots_of_forest(first)
-    root, found_later = joined_roots(forest, verified(separate(near, forest), texts, seed)), None
-    ranked = cut(live.select("sig", "node", (F.row_number().over(group.orderBy("place", "node")) - 1).alias("nth"), F.count(F.lit(1)).over(group).alias("size")))
-    low, high = 1, RANKS
-    while True:
-        named = ranked.where(F.col("size") > low + 1).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = named.withColumn("least", F.min("root").over(group)).withColumn("most", F.max("root").over(group))
-        named = named.where(F.col("least") != F.col("most")).where(F.col("nth") >= low)
-        # Later members matter only where one of the round's first members is in another component.
-        early = F.when(F.col("nth") < high, F.col("root"))
-        named = named.withColumn("one", F.min(early).over(group)).withColumn("other", F.max(early).over(group))
-        matters = (F.col("nth") < high) | (F.col("root") != F.col("one")) | (F.col("one") != F.col("other"))
-        still = cut(named.where(matters).select("sig", "node", "nth", "root"))
-        if still.isEmpty():
-            break
-        new = cut(meetings(still, nodes, high).join(near, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            near = near.unionByName(new)
-            texts = texts.unionByName(texts_of(docs, nodes, new, seed, texts.select("node")))
-            found = verified(new, texts, seed)
-            found_later = found if found_later is None else found_later.unionByName(found)
-        low, high = high, RANKS * high
-    if found_later is not None and not found_later.isEmpty():
-        root = joined_roots(root, found_later)
+    root = joined_roots(forest, verified(separate(near, forest), texts, seed))
+    # Members of groups that are still in several components are compared inside the group's tasks.
+    rows = unsettled(live.select(F.col("sig").alias("key"), "node", F.col("low").alias("lead")), root)
+    if not rows.isEmpty():
+        later = texts_of(docs, nodes, rows.select("node").distinct(), seed)
+        root = moved_roots(root, components_of(later_links(rows, later, partial(shingle_sets, seed=seed), LEAST)))
     return known, root, seed
 
 
-def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each set of ``a`` has in common with each of ``b``."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
-    if not len(both):
-        return out
-    sides = []
-    for sets in (a, b):
-        value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(both, value), len(both) - 1)
-        hit = both[at] == value
-        order = np.argsort(at[hit], kind="stable")
-        sides.append((at[hit][order], row[hit][order]))
-    for first in range(0, len(both), COMPARED):
-        marks = []
-        for (at, row), sets in zip(sides, (a, b), strict=True):
-            i, j = np.searchsorted(at, [first, first + COMPARED])
-            mark = np.zeros((len(sets), COMPARED), np.float32)
-            mark[row[i:j], at[i:j] - first] = 1
-            marks.append(mark)
-        out += (marks[0] @ marks[1].T).astype(np.int64)
-    return out
-
-
 def _blocks(known: DataFrame, root: DataFrame) -> DataFrame:
     """(doc_id, node, root, copies, blocks) of every node of a component of several nodes."""
     family = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
@@ -550,7 +474,7 @@ def _all_links(docs: DataFrame, members: DataFrame, seed: int, counted: bool) ->
         if group is not None:
             yield compared(group, held)
 
-    found = docs.select("doc_id", "text").join(members, "doc_id").select("node", "root", "copies", "blocks", "text")
+    found = likely_in(docs.select("doc_id", "text"), members, "doc_id").join(members, "doc_id").select("node", "root", "copies", "blocks", "text")
     found = found.mapInArrow(sets, "node long, root long, copies long, blocks int, set binary")
     found = found.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -609,7 +533,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     is_first = F.max(F.col("doc_id") == F.col("component_id"))
     ids = cut(found.groupBy("doc_id").agg(is_first.alias("stays"), (F.count(F.lit(1)) > 1).alias("repeated")))
     apart = sized(cut(ids.where("repeated or not stays").select("doc_id")), ID_BYTES)
-    kept = docs.join(apart, "doc_id", "left_anti")
+    near = likely_in(docs, apart, "doc_id").join(apart, "doc_id", "left_anti")
+    kept = likely_in(docs, apart, "doc_id", "left_anti").select(*docs.columns).unionByName(near.select(*docs.columns))
     several = ids.where("repeated and stays").select("doc_id")
     if several.isEmpty():
         return kept

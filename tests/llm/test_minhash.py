@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievekit.llm import groups as G
 from sievekit.llm import minhash as M
 from sievekit.llm.common import text_buffer
 
@@ -84,8 +85,8 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_blocks_of_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(M, "MINOR_BLOCK", 3)
-    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(G, "MINOR_BLOCK", 3)
+    monkeypatch.setattr(G, "BLOCK", 4)
     rows = corpus(5)
     assert run(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
