@@ -7,13 +7,16 @@ document is taken once per integer that its own step crosses. So a document is
 taken floor or ceil of its expectation, and a source's total misses its target by
 about one document.
 
-The running sum is a rank times the expectation, and the rank is found in two
-steps (counts per cell, then ranks inside a cell), so a source with a third of
-all rows is spread over many tasks. Cells are ordered by size, which stratifies
-the sample by document length and keeps the words taken near the target.
+The running sum is a rank times the expectation. The order is that of size, which
+stratifies the sample by document length and keeps the words taken near the target;
+then of a bucket, three hex digits of the id's md5; then of the id and of a column that
+breaks ties, if given. The rank is found in steps: counts for each size of a source, for each bucket
+of a size, and ranks inside a bucket. So a source with a third of all rows, or one size with as
+many, is spread over many tasks, and the order is one and the same for any number of rows.
 
 Edge cases: null source is a source of its own, last in order; null text has
-size 0; repeated rows get ranks of their own; an empty table gives no rows.
+size 0; a null id is one that comes first in a bucket of its own; repeated rows get ranks of their
+own, and rows of one id and size go by the tie column; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ from pyspark.sql import functions as F
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
-ROWS_PER_BUCKET = 100_000
 SEED = 8
 
 
@@ -59,8 +61,8 @@ def _key(source: Column) -> Column:
 
 
 def systematic_copies(
-    rows: DataFrame, size: str = "size", source: str = "source", row_id: str = "doc_id",
-    n_rows: int | None = None, seed: int = SEED, most: int = MOST, weights: tuple[int, ...] = WEIGHTS,
+    rows: DataFrame, size: str = "size", source: str = "source", row_id: str = "doc_id", tie: str | None = None,
+    seed: int = SEED, most: int = MOST, weights: tuple[int, ...] = WEIGHTS,
 ) -> DataFrame:
     """All rows with ``source_size``, ``target`` and ``copies`` (0 to ``most``) added.
 
@@ -68,12 +70,11 @@ def systematic_copies(
     every other column is carried along.
     """
     rows = rows.drop("source_size", "target", "copies", *[c for c in rows.columns if c.startswith("_")])
-    n_rows = rows.count() if n_rows is None else n_rows
-    buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
+    bucket = F.substring(F.md5(F.col(row_id).cast("string")), 1, 3)
     placed = (
         rows.withColumn("_key", _key(F.col(source)))
-        .withColumn("_bin", F.floor(F.log2(F.col(size) + 1) * 8).cast("int"))
-        .withColumn("_bucket", F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(buckets)).cast("int"))
+        .withColumn("_bin", F.col(size))
+        .withColumn("_bucket", F.coalesce(bucket, F.lit("")))
     )
     cells = placed.groupBy("_key", "_bin", "_bucket").agg(
         F.first(source).alias("source"), F.sum(size).alias("cell_size"), F.count(F.lit(1)).alias("cell_rows")
@@ -81,7 +82,7 @@ def systematic_copies(
     targets = source_targets(
         cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), most, weights
     ).withColumn("_key", _key(F.col("source"))).drop("source", "weight")
-    # Rows before a cell: those of smaller bins of its source, and of earlier buckets of its bin.
+    # Rows before a cell: those of smaller sizes of its source, and of earlier buckets of its size.
     smaller = Window.partitionBy("_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("_key", "_bin").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bins = cells.groupBy("_key", "_bin").agg(F.sum("cell_rows").alias("bin_rows"))
@@ -91,7 +92,7 @@ def systematic_copies(
         .join(bins, ["_key", "_bin"])
         .select("_key", "_bin", "_bucket", (F.col("_smaller") + F.col("_earlier")).alias("_before"), "source_size", "target")
     )
-    inside = Window.partitionBy("_key", "_bin", "_bucket").orderBy(size, row_id)
+    inside = Window.partitionBy("_key", "_bin", "_bucket").orderBy(row_id, *([F.xxhash64(tie)] if tie else []))
     # Five hex digits: a multiple of 2^-20, so that sums with whole numbers stay exact.
     digits = F.substring(F.md5(F.concat(F.col("_key"), F.lit(f"#{seed}"))), 1, 5)
     offset = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 20))

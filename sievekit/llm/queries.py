@@ -32,7 +32,7 @@ t AS (
     CASE WHEN level > ratio THEN cap ELSE weight * (SELECT max(level) FROM l WHERE level <= ratio) END AS target
   FROM l),
 r AS (
-  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY key ORDER BY size, doc_id) AS nth,
+  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY key ORDER BY size, coalesce(substr(md5(doc_id::VARCHAR), 1, 3), ''), doc_id) AS nth,
     ('0x' || substr(md5(key || '#8'), 1, 5))::INT / 1048576::DOUBLE AS start,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM d JOIN t USING (key))

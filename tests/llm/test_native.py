@@ -103,8 +103,7 @@ def mixed(spark, rows, **kw):
     return mixing.systematic_copies(df, **kw)
 
 
-def test_mix_takes_floor_or_ceiling_and_meets_targets(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 200)  # several buckets, as on a large table
+def test_mix_takes_floor_or_ceiling_and_meets_targets(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", 20 + i * 37 % 900, "old") for i in range(3000)]
     out = mixed(spark, rows)
     assert python_free(out)
@@ -123,6 +122,41 @@ def test_mix_takes_floor_or_ceiling_and_meets_targets(spark, monkeypatch):
     assert {r.doc_id: r["count"] for r in copies} == {r.doc_id: r.copies for r in got if r.copies}
 
 
+def plain_mix(rows):
+    """(doc_id, source, size) -> copies, by one running rank per source in the documented order."""
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append(r)
+    targets, out = fair_targets({s: sum(r[2] for r in rs) for s, rs in by_source.items()}), Counter()
+    for source, rs in by_source.items():
+        key = "0" if source is None else "1" + source
+        start = int(hashlib.md5(f"{key}#8".encode()).hexdigest()[:5], 16) / (1 << 20)
+        total = sum(r[2] for r in rs)
+        rate = targets[source] / total if total else 0.0
+        order = sorted(rs, key=lambda r: (r[2], "" if r[0] is None else hashlib.md5(str(r[0]).encode()).hexdigest()[:3], r[0] is not None, r[0] or 0))
+        for nth, r in enumerate(order, 1):
+            out[r[:3]] += min(math.floor(start + rate * nth) - math.floor(start + rate * (nth - 1)), 3)
+    return out
+
+
+def test_mix_has_one_order_at_every_size(spark):
+    """Many documents of few sizes, one of them with a third of all rows, and a hot source."""
+    rows = [(i, "hot" if i % 3 else None, 10 if i % 2 else 10 + i % 4, "") for i in range(4000)] + [(None, "a", 4, ""), (7, "hot", 10, "")]
+    got = Counter()
+    for r in mixed(spark, rows).collect():
+        got[(r.doc_id, r.source, r.size)] += r.copies
+    want = plain_mix(rows)
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_mix_breaks_ties_by_the_text(spark):
+    """Rows of one doc_id and size with other texts: the same texts are taken however rows are dealt."""
+    rows = [(1, "a", 5, f"text {i}") for i in range(200)] + [(2, "b", 900, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, text string")
+    taken = [sorted(mixing.emit_copies(mixing.systematic_copies(d, tie="text")).select("text").toPandas()["text"]) for d in (df, df.orderBy(F.desc("text")).repartition(7))]
+    assert taken[0] == taken[1] and len(set(taken[0])) > 1
+
+
 def test_mix_edges(spark):
     got = mixed(spark, [(1, None, 0, ""), (1, None, 0, ""), (2, "a", 5, ""), (None, "a", 7, "")]).collect()
     assert len(got) == 4 and {r.source for r in got} == {None, "a"}
