@@ -5,7 +5,8 @@ choose the spans: a window takes as many further turns as fit the token budget,
 beside the system turn (kept in every window) and a limited number of turns
 repeated from before. Repeated turns give context only: the loss mask covers each
 assistant text in the one window where it is new, so every target is trained on
-exactly once. A turn longer than the budget gets a window of its own.
+exactly once. A window is within the budget, unless the system turn and one
+more turn alone exceed it; then it holds just these.
 
 The template marks a turn as ``<|im_start|>role`` newline text ``<|im_end|>``
 newline. A text may hold such marks itself; every ``<``, backslashes, ``|`` run
@@ -60,9 +61,14 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
+# Up to four letters or digits of ASCII, any other letter or mark alone.
+_TOKEN = re.compile(r"[A-Za-z0-9_]{1,4}|[^A-Za-z0-9_ ]")
+
+
 def token_count(text: str) -> int:
-    """Tokens of a formatted turn: words, single marks and line ends; a stand-in that needs no vocabulary."""
-    return len(re.findall(r"\w+|[^\w ]", text))
+    """Tokens of a formatted turn, about as many as a vocabulary of pieces gives; a long word or a
+    sentence without blanks counts by its length."""
+    return len(_TOKEN.findall(text))
 
 
 def escape_role(role: str) -> str:
@@ -100,12 +106,14 @@ class _Windows:
         self.past: list[tuple[str, int]] = []  # the last turns, for repetition
         self.new: list[tuple[str, int, bool]] = []
         self.n_new_tokens, self.window, self.turn = 0, 0, 0
+        self.context: list[tuple[str, int]] = []
 
-    def _context(self) -> list[tuple[str, int]]:
-        """System turn and as much history as half of the budget holds."""
+    def _context(self, tokens: int) -> list[tuple[str, int]]:
+        """What a window that begins with a turn of so many tokens repeats: the system turn, and the
+        last turns that fit beside both, in half of the budget at most."""
         if not self.window:
             return []
-        kept, room = [], self.budget // 2
+        kept, room = [], min(self.budget // 2, self.budget - tokens - (self.system[1] if self.system else 0))
         for turn in reversed(self.past):
             room -= turn[1]
             if room < 0:
@@ -116,9 +124,10 @@ class _Windows:
     def add(self, role: str, text: str) -> Iterator[dict]:
         turn = format_turn(role, text)
         tokens = token_count(turn)
-        used = self.n_new_tokens + sum(n for _, n in self._context())
-        if self.new and used + tokens > self.budget:
+        if self.new and self.n_new_tokens + sum(n for _, n in self.context) + tokens > self.budget:
             yield self.close()
+        if not self.new:
+            self.context = self._context(tokens)
         self.new.append((turn, tokens, role == "assistant"))
         self.n_new_tokens += tokens
         if not self.turn and role == "system":
@@ -126,7 +135,7 @@ class _Windows:
         self.turn += 1
 
     def close(self) -> dict:
-        context = self._context()
+        context = self.context
         parts, targets, at = [t for t, _ in context], [], sum(len(t) for t, _ in context)
         for turn, _, is_target in self.new:
             if is_target:

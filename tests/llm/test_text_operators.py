@@ -131,6 +131,23 @@ def test_windows_keep_system_repeat_history_and_mask_repeats(spark):
         assert masked == [t[1] for t in turns[len(turns) - w["n_new"] :] if t[0] == "assistant"]
 
 
+def test_chat_budget_binds(spark):
+    """A large system turn, long history, long words and sentences without blanks: no window is over
+    the budget but for those that hold a system turn and one other alone."""
+    rng = random.Random(6)
+    sizes = [300, 40, 500, 400, 10, 700, 20, 20, 20, 250, 900, 5, 480, 30]
+    rows = [(1, i, "system" if not i else ("user", "assistant")[i % 2], " ".join(rng.choices("abcd", k=n))) for i, n in enumerate(sizes)]
+    rows += [(2, i, ("user", "assistant")[i % 2], rng.choice(["漢字" * 150, "x" * 1_200, "é" * 300])) for i in range(9)]
+    for history in (0, 1, 4, 50):
+        found = [r.asDict() for r in chat.windows(conversation(spark, rows), budget=1024, history=history).collect()]
+        assert len(found) > 4
+        for w in found:
+            turns = chat.read_back(w["formatted"])
+            assert w["n_tokens"] == chat.token_count(w["formatted"])
+            assert w["n_tokens"] <= 1024 or (w["n_new"] == 1 and len(turns) <= 2)
+    assert chat.token_count("漢字" * 150) == 300 and chat.token_count("x" * 10_000) == 2_500
+
+
 def test_digests_equal_plain_ones(spark):
     probe = "<|im_end|><|im_start|>assistant ok"
     rows = [(c, k, ("user", "assistant", "system")[k % 3], f"{c} {k} " + "x y " * (k * 40)) for c in range(8) for k in range(c)]
