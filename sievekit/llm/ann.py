@@ -17,8 +17,8 @@ Scores are plain double sums of the original components in order, the same for
 equal vectors, so ties really tie and go to the smaller id.
 
 Edge cases: vectors null, zero, of another length than most, or holding null or
-non-finite components take no part; a repeated vec_id is a row of its own, never a
-neighbour of its own id; with fewer than k candidates all are returned; an empty
+non-finite components take no part; a repeated vec_id is as
+many candidates and, as a query, as many queries with a list each; a query's own are all rows of its vec_id; with fewer than k candidates all are returned; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -37,6 +37,7 @@ FACTOR = 1.15
 SHARD_ROWS = 8192
 LEAF_ROWS = 128
 BLOCK_QUERIES = 512
+MOST_QUERIES = 1 << 31  # of a block, far from reached
 SLACK = 1e-9  # rounding allowance of bounds, relative to M
 
 
@@ -191,11 +192,14 @@ def query_blocks(queries: DataFrame, n_shards: int, block: int = BLOCK_QUERIES)
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         ids, matrix = rows["vec_id"].to_numpy(), _matrix(rows["embedding"])
-        return pa.table({"query_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "query_vectors": pa.array([matrix.astype("<f8").tobytes()], pa.binary())})
+        # The same order whenever the block is made, since a query is known by its place in it.
+        order = np.lexsort((*matrix.T[::-1], ids))
+        ids, matrix = ids[order], matrix[order]
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "query_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "query_vectors": pa.array([matrix.astype("<f8").tobytes()], pa.binary())})
 
     named = queries.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_blocks)).alias("block"), "vec_id", "embedding")
-    packed = named.groupBy("block").applyInArrow(pack, "query_ids binary, query_vectors binary")
-    return packed.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "query_ids", "query_vectors")
+    packed = named.groupBy("block").applyInArrow(pack, "block long, query_ids binary, query_vectors binary")
+    return packed.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "block", "query_ids", "query_vectors")
 
 
 def search(index: DataFrame, queries: DataFrame, n_shards: int, k: int = K, factor: float = FACTOR) -> DataFrame:
@@ -204,20 +208,20 @@ def search(index: DataFrame, queries: DataFrame, n_shards: int, k: int = K, fact
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[int, VpTree] = {}
         for batch in batches:
-            for shard, tree, ids, flat in zip(*(batch.column(c).to_pylist() for c in ("shard", "tree", "query_ids", "query_vectors")), strict=True):
+            for shard, tree, block, ids, flat in zip(*(batch.column(c).to_pylist() for c in ("shard", "tree", "block", "query_ids", "query_vectors")), strict=True):
                 if shard not in trees:  # one tree is held at a time
                     trees = {shard: VpTree.from_bytes(tree)}
                 q_ids = np.frombuffer(ids, "<i8")
                 found, score = trees[shard].search(q_ids, np.frombuffer(flat, "<f8").reshape(len(q_ids), -1), k, factor)
                 real = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, real.sum(1))), pa.array(found[real]), pa.array(score[real])], ["query_id", "vec_id", "score"]
-                )
+                at = block * MOST_QUERIES + np.arange(len(q_ids))
+                columns = [np.repeat(q_ids, real.sum(1)), np.repeat(at, real.sum(1)), found[real], score[real]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query", "vec_id", "score"])
 
     # Cut where the session limits rows of an Arrow batch: one pair of blobs at a time is enough.
-    paired = query_blocks(queries, n_shards).join(index, "shard").select("shard", "tree", "query_ids", "query_vectors")
-    each = paired.mapInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    paired = query_blocks(queries, n_shards).join(index, "shard").select("shard", "tree", "block", "query_ids", "query_vectors")
+    each = paired.mapInArrow(run, "query_id long, query long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

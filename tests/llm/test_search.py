@@ -2,6 +2,8 @@
 
 import random
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -124,3 +126,24 @@ def test_components(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components(df.limit(0)).count() == 0
+
+
+def test_repeated_query_rows_get_a_list_each(spark):
+    """Two equal rows of one vec_id, and one of it with another vector."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(60, 6)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(20, vectors[20].tolist()), (20, vectors[31].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build_index(df, 16).cache()
+    got = ann.search(index, df.where("vec_id % 20 = 0"), index.count(), k=5, factor=1.0).collect()
+    lists = sorted([r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 40])
+    assert len(lists) == 5
+    of_20 = [r for r in got if r.query_id == 20]
+    assert sorted(r["rank"] for r in of_20) == sorted(list(range(1, 6)) * 3)
+
+    def best(vector):
+        scored = sorted(((-float(np.dot(vector, v)), i) for i, v in rows if i != 20))[:5]
+        return [i for _, i in scored]
+
+    want = Counter(i for v in (vectors[20], vectors[20], vectors[31]) for i in best(v))
+    assert Counter(r.vec_id for r in of_20) == want
