@@ -66,28 +66,36 @@ def build_map(loads: DataFrame, shards: int, slots: int = SLOTS, version: int =
 
 
 def grow_map(current: DataFrame, shards: int) -> DataFrame:
-    """Next version with one more shard (number ``shards``): each old shard hands over
-    slots until it holds no more than its share of shards + 1; no other slot moves."""
+    """Next version with one more shard (number ``shards``): each old shard hands over slots, in an
+    order of their own, as long as it keeps its share of shards + 1. A slot too heavy for what is
+    left is passed over for the next; no other slot moves."""
     total = current.agg(F.sum("slot_bytes").alias("all_bytes"))
-    held = Window.partitionBy("shard")
-    running = held.orderBy(F.xxhash64("vslot"), "vslot").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        current.join(F.broadcast(total))
-        .withColumn("surplus", F.sum("slot_bytes").over(held) - F.col("all_bytes") / (shards + 1))
-        .withColumn("given", F.sum("slot_bytes").over(running))
-        .select(
-            (F.col("version") + 1).alias("version"),
-            "vslot",
-            F.when(F.col("given") <= F.col("surplus"), F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("shard"),
-            "slot_bytes",
-            "slot_rows",
+    slot = F.struct(F.xxhash64("vslot").alias("at"), "vslot", "slot_bytes", "slot_rows")
+    held = current.groupBy("version", "shard").agg(F.sort_array(F.collect_list(slot)).alias("held"), F.sum("slot_bytes").alias("bytes"))
+    held = held.join(F.broadcast(total)).withColumn("surplus", F.col("bytes") - F.col("all_bytes") / (shards + 1))
+    start = F.struct(F.lit(0).cast("long").alias("given"), F.array().cast("array<int>").alias("picked"))
+
+    def give(state: Column, x: Column) -> Column:
+        fits = state["given"] + x["slot_bytes"] <= F.col("surplus")
+        return F.struct(
+            F.when(fits, state["given"] + x["slot_bytes"]).otherwise(state["given"]).alias("given"),
+            F.when(fits, F.array_append(state["picked"], x["vslot"])).otherwise(state["picked"]).alias("picked"),
         )
+
+    moved = held.withColumn("picked", F.aggregate("held", start, give, lambda s: s["picked"]))
+    each = moved.select("version", "shard", "picked", F.explode("held").alias("x"))
+    return each.select(
+        (F.col("version") + 1).alias("version"),
+        F.col("x.vslot").alias("vslot"),
+        F.when(F.array_contains("picked", F.col("x.vslot")), F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("shard"),
+        F.col("x.slot_bytes").alias("slot_bytes"),
+        F.col("x.slot_rows").alias("slot_rows"),
     )
 
 
 def store_map(slot_map: DataFrame, path: str) -> None:
-    """Appends a version; earlier versions stay readable."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Writes a version, in place of one of the same number; earlier versions stay readable."""
+    slot_map.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

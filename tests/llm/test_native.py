@@ -63,6 +63,21 @@ def test_growing_moves_slots_only_into_the_new_shard(spark, tmp_path):
     assert {r.vslot: r.shard for r in sharding.load_map(spark, path, 1).collect()} == old
 
 
+def test_growing_passes_over_heavy_slots(spark, tmp_path):
+    """Six heavy documents in 64 slots: the new shard still gets its share, from lighter slots."""
+    rows = rows_of_slots(spark, [(i, 50_000 if i < 6 else 1 + i % 900, "x") for i in range(2000)])
+    first = sharding.build_map(sharding.slot_loads(rows, "size"), 4, 64).cache()
+    second = sharding.grow_map(first, 4)
+    load = Counter()
+    for r in second.collect():
+        load[r.shard] += r.slot_bytes
+    assert load[4] > 0.5 * sum(load.values()) / 5 and len(load) == 5
+    path = str(tmp_path / "map")
+    for _ in range(2):
+        sharding.store_map(second, path)
+    assert sharding.load_map(spark, path).count() == 64
+
+
 def test_sharding_edges(spark):
     rows = rows_of_slots(spark, [(None, 1, "x"), (5, 1, None), (5, 1, None)])
     slot_map = sharding.build_map(sharding.slot_loads(rows, "size"), 2, 64)
