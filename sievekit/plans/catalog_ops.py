@@ -14,7 +14,7 @@ from sievekit.plans.catalog_regex import CUSTOM_PATTERN, RE2, spans_sql
 from sievekit.plans.detect import detect
 from sievekit.plans.dispatch import FAILED, detect_per_row, per_row_calls
 from sievekit.plans.params import names_column
-from sievekit.plans.quarantine import quarantine
+from sievekit.plans.quarantine import checked
 from sievekit.sources import requests as RQ
 from sievekit.sources.tables import table
 
@@ -274,11 +274,9 @@ FROM documents"""
 
 
 def request_quarantine_q(spark, sf_dir):
-    bodies = RQ.request_bodies(spark, sf_dir)
-    ok, bad = quarantine(bodies)
-    good = ok.select("doc_id", F.lit(True).alias("valid"), F.lit(None).cast("int").alias("code"), F.lit(None).cast("string").alias("message"), F.size("contents").alias("n_contents"))
-    rejected = bad.select("doc_id", F.lit(False).alias("valid"), F.col("code").cast("int").alias("code"), "message", F.lit(None).cast("int").alias("n_contents"))
-    return good.unionByName(rejected)
+    """Every body checked in one pass; rejected ones have a code and a message."""
+    rows = checked(RQ.request_bodies(spark, sf_dir))
+    return rows.select("doc_id", "valid", F.col("code").cast("int").alias("code"), "message", F.when(F.col("valid"), F.size("contents")).alias("n_contents"))
 
 
 def request_quarantine_sql() -> str:

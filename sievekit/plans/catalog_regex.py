@@ -14,8 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievekit.plans import requests as RB
 from sievekit.plans.detect import detect
 from sievekit.session import scratch_path
+from sievekit.sources import requests as RQ
 from sievekit.sources.tables import scan_input, scan_input_sql, table
 
 FLAT = ["doc_id", "ord", "start", "end", "text", "detection", "detection_type", "score"]
@@ -196,13 +198,20 @@ SELECT doc_id, digits, CAST({luhn_sql('digits')} AS INT) AS checksum, ({luhn_sql
 
 
 def contents_source_q(spark, sf_dir):
-    """Positioned content rows; non-null text only (null text goes to quarantine)."""
-    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("content_id"), "lang", "source", F.length("text").alias("n_chars")
-    )
+    """JSON requests of 1 to 50 texts as positioned content rows; a rejected request is one row with its message."""
+    requests = RB.checked(RQ.batched_requests(spark, sf_dir))
+    rows = requests.select("request_id", "code", "message", F.posexplode_outer("contents").alias("position", "text"))
+    return rows.select("request_id", F.col("position").cast("int").alias("position"), F.length("text").alias("n_chars"), F.col("code").cast("int").alias("code"), "message")
+
 
+_REQUEST, _POSITION = RQ.request_of("duckdb")
+_REQUESTS_SQL = f"""d AS (SELECT doc_id, {_REQUEST} AS request_id, {_POSITION} AS position, text FROM documents),
+q AS (SELECT request_id, max(position) >= 1 AND request_id % 11 = 3 AS rejected FROM d GROUP BY request_id)"""
 
-CONTENTS_SOURCE_SQL = "SELECT doc_id AS content_id, lang, source, length(text) AS n_chars FROM documents WHERE text IS NOT NULL"
+CONTENTS_SOURCE_SQL = f"""WITH {_REQUESTS_SQL}
+SELECT request_id, CAST(position AS INT) AS position, CAST(length(text) AS INT) AS n_chars, NULL::INT AS code, NULL::VARCHAR AS message
+FROM d JOIN q USING (request_id) WHERE NOT rejected
+UNION ALL SELECT request_id, NULL, NULL, 422, 'Parameters with invalid type: [1]' FROM q WHERE rejected"""
 
 FANOUT_PARAMS = {"regex": ["email", "us-phone-number", "ipv4"], "custom": ["over_100_characters"]}
 
@@ -233,9 +242,12 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY fk, ord) - 1
 
 
 def detections_table_q(spark, sf_dir):
-    """The flat detections table of the PII scan, with the scanned document's language."""
+    """The flat detections of the PII scan with the document's language, written by type in one job and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return detect(docs, {"regex": MULTI}, output="flat", on_error="failfast").select("doc_id", "lang", *FLAT[1:])
+    flat = detect(docs, {"regex": MULTI}, output="flat", on_error="failfast").select("doc_id", "lang", *FLAT[1:])
+    path = scratch_path(spark, f"detections/{uuid.uuid4().hex}")
+    RB.write_detections(flat, path)
+    return spark.read.schema(flat.schema).parquet(path).where(F.col("detection_type") == "pii").select("doc_id", "lang", *FLAT[1:])
 
 
 def detections_table_sql() -> str:
@@ -251,25 +263,20 @@ FROM u JOIN documents d ON d.doc_id = u.doc_id"""
 
 
 def response_assembly_q(spark, sf_dir):
-    """One ordered detection array per content; contents with no hit keep []."""
-    df = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = detect(df, FANOUT_PARAMS, on_error="failfast")
-    return d.select(
-        "doc_id",
-        F.size("detections").alias("n_detections"),
-        F.array_join(
-            F.transform("detections", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["detection"])), ";"
-        ).alias("spans"),
-    )
+    """One answer per request: a list of detections for each of its texts, in order, empty where nothing fired."""
+    found = RB.answers(RB.checked(RQ.batched_requests(spark, sf_dir)), FANOUT_PARAMS, on_error="failfast")
+    spans = lambda one: F.array_join(F.transform(one, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["detection"])), ";")
+    return found.select("request_id", F.size("response").alias("n_contents"), F.array_join(F.transform("response", spans), "|").alias("response"))
 
 
 def response_assembly_sql() -> str:
     return f"""
 WITH u AS ({_fanout_union_sql()}),
-a AS (SELECT doc_id, count(*) AS n, string_agg(CAST("start" AS VARCHAR) || ':' || CAST("end" AS VARCHAR) || ':' || detection, ';' ORDER BY fk, ord) AS spans
-      FROM u GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(a.n, 0) AS INT) AS n_detections, coalesce(a.spans, '') AS spans
-FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
+a AS (SELECT doc_id, string_agg(CAST("start" AS VARCHAR) || ':' || CAST("end" AS VARCHAR) || ':' || detection, ';' ORDER BY fk, ord) AS spans
+      FROM u GROUP BY doc_id),
+{_REQUESTS_SQL}
+SELECT request_id, CAST(count(*) AS INT) AS n_contents, string_agg(coalesce(a.spans, ''), '|' ORDER BY position) AS response
+FROM d JOIN q USING (request_id) LEFT JOIN a ON a.doc_id = d.doc_id WHERE NOT rejected GROUP BY request_id"""
 
 
 def response_json_sink_q(spark, sf_dir):

@@ -8,7 +8,7 @@ of that branch, formatted like a Python list (``['contents']``, ``[0, 1]``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ERR_ARRAY = "array<struct<type:string,loc:string>>"
@@ -62,15 +62,27 @@ def error_message(errs: Column) -> Column:
     )
 
 
-def quarantine(df: DataFrame, body_col: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(valid requests with parsed contents, rejected requests with code 422 + message)."""
-    errs = validation_errors(F.col(body_col))
-    checked = df.withColumn("_errs", errs)
-    ok = checked.where(F.size("_errs") == 0).select(
-        *[c for c in df.columns],
-        F.try_variant_get(F.try_parse_json(F.col(body_col)), "$.contents", "array<string>").alias("contents"),
-    )
-    bad = checked.where(F.size("_errs") > 0).select(
-        *[c for c in df.columns], F.lit(422).alias("code"), error_message(F.col("_errs")).alias("message")
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Lets bodies repeat a key, as JSON does, the last one counting; Spark rejects them by default."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def checked(df: DataFrame, body_col: str = "body") -> DataFrame:
+    """All rows with valid, code, message and contents, from one pass over the bodies."""
+    allow_repeated_keys(df.sparkSession)
+    rows = df.select("*", validation_errors(F.col(body_col)).alias("_errs"))
+    valid = F.size("_errs") == 0
+    texts = F.try_variant_get(F.try_parse_json(F.col(body_col)), "$.contents", "array<string>")
+    return rows.select(
+        *df.columns,
+        valid.alias("valid"),
+        F.when(~valid, F.lit(422)).alias("code"),
+        error_message(F.col("_errs")).alias("message"),
+        F.when(valid, texts).alias("contents"),
     )
-    return ok, bad
+
+
+def quarantine(df: DataFrame, body_col: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(valid requests with their contents, rejected requests with code 422 and message)."""
+    rows = checked(df, body_col)
+    return rows.where("valid").select(*df.columns, "contents"), rows.where("NOT valid").select(*df.columns, "code", "message")

@@ -86,6 +86,34 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", body_expr_spark().alias("body"))
 
 
+# --- requests of 1 to 50 texts for S1 and S5 --------------------------------------
+# Every 1,275 documents in order of doc_id make 50 requests, the k-th with k texts; every eleventh
+# request has a null among its texts, and every thirteenth repeats the key of its contents.
+
+BATCH = 1275
+
+
+def request_of(engine: str) -> tuple[str, str]:
+    """(request_id, position) of a document, in the SQL of either engine."""
+    within = f"(doc_id % {BATCH})"
+    kind = "BIGINT"
+    nth = f"CAST(floor((sqrt(8.0 * {within} + 1) - 1) / 2) AS {kind})"
+    whole = f"CAST(floor(doc_id / {BATCH}.0) AS {kind})"
+    return f"({whole} * 50 + {nth})", f"({within} - {nth} * ({nth} + 1) {'div' if engine == 'spark' else '//'} 2)"
+
+
+def batched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, body): JSON requests of several documents each."""
+    request, position = request_of("spark")
+    docs = table(spark, sf_dir, "documents").select(F.expr(request).alias("request_id"), F.expr(position).alias("position"), "text")
+    spelled = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    text = F.when((F.col("request_id") % 11 == 3) & (F.col("position") == 1), F.lit("null")).otherwise(spelled)
+    listed = docs.select("request_id", F.struct("position", text.alias("json")).alias("one")).groupBy("request_id").agg(F.sort_array(F.collect_list("one")).alias("ones"))
+    texts = F.array_join(F.transform("ones", lambda x: x["json"]), ",")
+    twice = F.when(F.col("request_id") % 13 == 5, F.lit('"contents": 7, ')).otherwise(F.lit(""))
+    return listed.select("request_id", F.concat(F.lit("{"), twice, F.lit('"contents": ['), texts, F.lit('], "detector_params": {}}')).alias("body"))
+
+
 def generation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(prompt, generated_text) = a user turn and the conversation's next turn, if an assistant's."""
     return next_turns(table(spark, sf_dir, "conversations"))
