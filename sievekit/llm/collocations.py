@@ -14,7 +14,10 @@ for each task.
 Words in grams. A word is the 64-bit hash of its language and letters; the vocabulary shows that no
 two words share one (else the seed changes), so counts are exact. If the words that occur often enough
 to be in a phrase are at most ``CODES``, grams hold their 21-bit codes instead (a broadcast of at most 16 MB),
-and other words, which no phrase can hold, end a run of words as a mark does. Both forms give the same rows.
+and other words, which no phrase can hold, end a run of words as a mark does. Then pairs of words are
+counted first, the edges of the graph whose nodes are words; a pair that occurs too seldom ends a run as
+well, if the others are at most ``CODES``. No phrase that counts is cut by that, so all forms give the
+same rows.
 
 Compacting. Where all flow of a phrase runs along one edge to a longer phrase, the two are one unary
 path and the shorter is absorbed: it lies inside a longer candidate that occurs as often. One more
@@ -32,10 +35,10 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import cut, mix64, sliced, text_buffer, token_hashes, word_spans
+from sievekit.llm.common import cut, mix64, shuffles_dropped, sliced, text_buffer, token_hashes, word_spans
 
 LONGEST = 5
 LEAST = 100  # occurrences of a candidate
@@ -191,18 +194,43 @@ def summed(form: type, held: list[tuple[list[np.ndarray], np.ndarray]]) -> pa.Re
     return pa.RecordBatch.from_arrays([*(pa.array(c[at].astype(k)) for c, k in zip(columns, form.kinds, strict=True)), pa.array(np.add.reduceat(f, at))], [*form.names, "f"])
 
 
-def edges(docs: DataFrame, form: type, codes, seed: int) -> DataFrame:
-    """The longest grams of all texts, summed within tasks; ``codes`` has the sorted keys of
-    words that have codes (a broadcast of at most ``CODES`` longs), or is None."""
+def within(known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of values in a sorted list that is not empty."""
+    at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+    return at, known[at] == value
+
+
+class Pairs:
+    """Grams of two coded words in one long; 0 at the end of a run."""
+
+    names, schema, kinds = ("pair",), "pair long, f long", (np.int64,)
+
+    @staticmethod
+    def of(word: np.ndarray, last: np.ndarray) -> np.ndarray:
+        follows = np.concatenate([word[1:], np.zeros(1, _u)])
+        return np.where(last | (word == 0) | (follows == 0), 0, (word << _u(CODE_BITS)) | follows).astype(_u)
+
+
+def edges(docs: DataFrame, form: type, codes, pairs, seed: int) -> DataFrame:
+    """The grams of all texts in a form, summed within tasks; ``codes`` has the sorted keys of
+    words that have codes (a broadcast of at most ``CODES`` longs), ``pairs`` the sorted pairs that
+    occur often enough (as many at most). Either may be None."""
+
+    def grams_of(word: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        if form is Pairs:
+            pair = Pairs.of(word, last)
+            return [pair[pair > 0].view(np.int64)]
+        if pairs is not None:
+            last = ~within(pairs.value, Pairs.of(word, last))[1]
+        return form.pack(longest_grams(word, last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for *_, last, word in _tokens(batches, seed):
             if codes is not None:
-                known = codes.value
-                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                word = np.where(known[at] == word, at + 1, 0).astype(_u)
-            grams = form.pack(longest_grams(word, last))
+                at, there = within(codes.value, word)
+                word = np.where(there, at + 1, 0).astype(_u)
+            grams = grams_of(word, last)
             held.append((grams, np.ones(len(grams[0]), np.int64)))
             size += len(grams[0])
             if size >= HELD_GRAMS:
@@ -238,14 +266,23 @@ def counted(grams: DataFrame, form: type, least: int) -> DataFrame:
     return flow
 
 
+def _broadcast(spark: SparkSession, values: DataFrame, most: int):
+    """The longs of a column, sorted, as a broadcast; None if there are more than ``most``."""
+    if values.count() > most:
+        return None
+    known = np.sort(np.array([r[0] for r in values.collect()], np.int64).view(_u))
+    return spark.sparkContext.broadcast(known if len(known) else np.zeros(1, _u))
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most_codes: int = CODES) -> tuple[DataFrame, DataFrame]:
     """(words (array of keys), f) of all phrases that occur ``least`` times, and the vocabulary. Cuts the lineage."""
     words, seed = vocabulary(docs)
-    often = words.where(F.col("n") >= least)
-    spark, codes, form = docs.sparkSession, None, Wide
-    if often.count() <= most_codes:
-        known = np.sort(np.array([r[0] for r in often.select("key").collect()], np.int64).view(_u))
-        codes, form = spark.sparkContext.broadcast(known if len(known) else np.zeros(1, _u)), Packed
+    spark = docs.sparkSession
+    codes, pairs, form = _broadcast(spark, words.where(F.col("n") >= least).select("key"), most_codes), None, Wide
+    if codes is not None:
+        form = Packed
+        often = edges(docs, Pairs, codes, None, seed).groupBy("pair").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        pairs = _broadcast(spark, cut(often.select("pair")), most_codes)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +294,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_codes: int = CODE
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(level)]), pa.int32()), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([lists, batch.column("f")], ["words", "f"])
 
-    found = counted(edges(docs, form, codes, seed), form, least)
+    found = counted(edges(docs, form, codes, pairs, seed), form, least)
     return cut(found.mapInArrow(named, "words array<long>, f long")), words
 
 
@@ -272,7 +309,8 @@ def compacted(candidates: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, most_codes: int = CODES) -> DataFrame:
     """The first ``first`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    phrases, vocab = frequent_phrases(docs, least, most_codes)
+    with shuffles_dropped(docs.sparkSession):
+        phrases, vocab = frequent_phrases(docs, least, most_codes)
     kept = compacted(phrases.where(F.size("words") > 1))
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
     cuts = cuts.withColumn("head", F.slice("words", F.lit(1), F.col("k")))
