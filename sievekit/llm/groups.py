@@ -63,10 +63,10 @@ def common_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def unsettled(members: DataFrame, root: DataFrame) -> DataFrame:
     """(key, node, root, minor, minors, others) of groups whose members, without the one all have been
-    compared with, are in several components. ``members`` has (key, node, lead). ``minor`` marks
+    compared with, are in several components. ``members`` has (key, node, lead or null). ``minor`` marks
     members outside the largest component; ``minors`` and ``others`` are the blocks that either side
     is dealt into. Cuts the lineage."""
-    rest = members.where("node != lead").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rest = members.where("lead IS NULL OR node != lead").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
     sizes = sizes.where("n > most").select(

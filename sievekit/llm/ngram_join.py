@@ -26,7 +26,8 @@ lower end of its band also takes part in the band below, where smaller partners
 Search. Equal sets become one node first. Nodes that emit a common signature are
 candidates, but no group is expanded into pairs: each node is first verified against the
 node of its groups that shares most with others. Groups whose other nodes are then all connected
-are done. The others go to tasks whole, with their texts, and are settled there (see ``groups``).
+are done. The others, those with a node in common as one cluster, go to tasks whole, with their
+texts, and are settled there (see ``groups``).
 That finds the components, and may leave out links between nodes already known to be in one.
 
 Links. ``components`` ends there. ``join`` and ``links`` then compare every two nodes of each
@@ -387,6 +388,14 @@ def separate(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def clustered(rows: DataFrame) -> DataFrame:
+    """(key, node, lead) of the nodes of unsettled groups, groups with a node in common taken as one; nothing leads."""
+    first = rows.groupBy("key").agg(F.min("node").alias("a"))
+    near = components_of(rows.join(first, "key").select("a", F.col("node").alias("b")).distinct())
+    nodes = rows.select("node").distinct().join(near, "node", "left")
+    return nodes.select(F.coalesce("root", "node").alias("key"), "node", F.lit(None).cast("long").alias("lead"))
+
+
 def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(facts of every document, root of every node that is linked to a smaller one, seed of the hashes)."""
     for seed in range(1 << 16):
@@ -408,9 +417,10 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     first = verified(best.select("a", "b"), texts, seed)
     forest = roots_of_forest(first)
     root = joined_roots(forest, verified(separate(near, forest), texts, seed))
-    # Members of groups that are still in several components are compared inside the group's tasks.
+    # What groups are still in several components meet in clusters, so a node goes out once however many groups it is in.
     rows = unsettled(live.select(F.col("sig").alias("key"), "node", F.col("low").alias("lead")), root)
     if not rows.isEmpty():
+        rows = unsettled(clustered(rows), root)
         later = texts_of(docs, nodes, rows.select("node").distinct(), seed)
         root = moved_roots(root, components_of(later_links(rows, later, partial(shingle_sets, seed=seed), LEAST)))
     return known, root, seed
