@@ -13,8 +13,26 @@ from pyspark.sql import functions as F
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Tables of texts, on which detectors spend far more time than a scan does.
+TEXTS = ("documents", "conversations")
+WORTH_DEALING, ENOUGH_PER_CORE = 4 << 20, 32 << 20
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A table whose files are too few to give every core a part of the scan, dealt to all cores.
+
+    Spark can't split a row group, so one file of 15 MB is one task for all detectors after it. A table
+    of over ``ENOUGH_PER_CORE`` bytes for each core has parts enough and is left as it is, and so
+    is one that is done before the dealing would be.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if WORTH_DEALING <= size < ENOUGH_PER_CORE * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return dealt_out(df) if name in TEXTS else df
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
