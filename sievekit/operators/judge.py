@@ -48,26 +48,6 @@ def metric_catalogue(spark, scales: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, scale_min double, scale_max double")
 
 
-def validate_params(params: dict | None, scales: dict | None = None) -> dict:
-    """J3 on the driver for a fixed plan: defaults, scale rules, unknown metric -> ValueError.
-
-    A null params object is treated as ``{}`` (the reference would fail on it).
-    """
-    p = dict(params or {})
-    scales = scales or {}
-    if "metric" not in p:
-        if "criteria" not in p:
-            p["metric"] = DEFAULT_METRIC
-        elif "scale" not in p:
-            p["scale"] = DEFAULT_SCALE
-    else:
-        if p["metric"] not in METRIC_NAMES:
-            raise ValueError(f"Metric '{p['metric']}' not found. Available metrics: {', '.join(sorted(METRIC_NAMES))}")
-        if scales.get(p["metric"]) is None:
-            p["scale"] = DEFAULT_SCALE
-    return p
-
-
 def validate_params_column(params_json: Column, scales: dict | None = None) -> Column:
     """J3 per row: struct<metric, criteria, scale_min, scale_max, error> from a params JSON column."""
     scales = scales or {}

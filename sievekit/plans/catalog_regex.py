@@ -22,7 +22,7 @@ from sievekit.sources.tables import scan_input, scan_input_sql, table
 
 FLAT = ["doc_id", "ord", "start", "end", "text", "detection", "detection_type", "score"]
 
-# RE2 spellings for the oracle (same matches as the Python patterns on the test tables).
+# The detectors' patterns, spelled for RE2 (same matches as the Python patterns on the test tables).
 RE2 = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "credit-card": (

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from sievekit.operators import judge as J
 
 
-def test_validate_params_driver():
-    assert J.validate_params({}) == {"metric": "safety"}
-    assert J.validate_params(None) == {"metric": "safety"}
-    assert J.validate_params({"criteria": "c"}) == {"criteria": "c", "scale": (0, 1)}
-    assert J.validate_params({"metric": "safety", "scale": (0, 10)})["scale"] == (0, 1)
-    with pytest.raises(ValueError, match="Metric 'invalid_metric' not found"):
-        J.validate_params({"metric": "invalid_metric"})
+def test_params_by_row(spark):
+    """Defaults, forced scales and unknown metrics; null params are empty ones."""
+    rows = [None, "{}", '{"criteria": "is it kind"}', '{"criteria": "c", "scale": [1, 5]}', '{"metric": "safety", "scale": [2, 9]}', '{"metric": "nope"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p string")
+    got = [tuple(r["v"]) for r in df.select("i", J.validate_params_column(F.coalesce("p", F.lit("{}"))).alias("v")).orderBy("i").collect()]
+    safety = ("safety", None, None, None, None)
+    assert got[:5] == [safety, safety, (None, "is it kind", 0.0, 1.0, None), (None, "c", 1.0, 5.0, None), ("safety", None, 0.0, 1.0, None)]
+    assert got[5][-1] == "Metric 'nope' not found"
 
 
 def test_score_fallback(spark):
