@@ -15,9 +15,9 @@ Words in grams. A word is the 64-bit hash of its language and letters; the vocab
 two words share one (else the seed changes), so counts are exact. If the words that occur often enough
 to be in a phrase are at most ``CODES``, grams hold their 21-bit codes instead (a broadcast of at most 16 MB),
 and other words, which no phrase can hold, end a run of words as a mark does. Then pairs of words are
-counted first, the edges of the graph whose nodes are words; a pair that occurs too seldom ends a run as
-well, if the others are at most ``CODES``. No phrase that counts is cut by that, so all forms give the
-same rows.
+counted first, the edges of the graph whose nodes are words; if those that occur often enough are at most
+``CODES``, any other ends a run as well, and only grams of three words and more are left to count. No
+phrase that counts is cut by that, so all forms give the same rows.
 
 Compacting. Where all flow of a phrase runs along one edge to a longer phrase, the two are one unary
 path and the shorter is absorbed: it lies inside a longer candidate that occurs as often. One more
@@ -220,9 +220,12 @@ def edges(docs: DataFrame, form: type, codes, pairs, seed: int) -> DataFrame:
         if form is Pairs:
             pair = Pairs.of(word, last)
             return [pair[pair > 0].view(np.int64)]
-        if pairs is not None:
-            last = ~within(pairs.value, Pairs.of(word, last))[1]
-        return form.pack(longest_grams(word, last))
+        if pairs is None:
+            return form.pack(longest_grams(word, last))
+        # Words and pairs have their counts; only longer grams are left.
+        words = longest_grams(word, ~within(pairs.value, Pairs.of(word, last))[1])
+        long = words[2] > 0
+        return form.pack([w[long] for w in words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -242,21 +245,21 @@ def edges(docs: DataFrame, form: type, codes, pairs, seed: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, form.schema)
 
 
-def counted(grams: DataFrame, form: type, least: int) -> DataFrame:
-    """(the form's columns, level, f) of every phrase of 1 to ``LONGEST`` words that occurs ``least`` times.
+def counted(grams: DataFrame, form: type, least: int, shortest: int) -> DataFrame:
+    """(the form's columns, level, f) of every phrase of ``shortest`` to ``LONGEST`` words that occurs ``least`` times.
 
     Level 0 is the flow on its way down. A row of level n is a phrase of n words with its whole
     count: it was found, and goes on beside the flow untouched.
     """
     total = F.sum("f").alias("f")
     flow = grams.repartition(*form.node).groupBy(*form.names).agg(total).withColumn("level", F.lit(0))
-    for n in range(LONGEST, 0, -1):
+    for n in range(LONGEST, shortest - 1, -1):
         out = [c for c in form.names if c not in form.node] if n == LONGEST else list(form.names)
         deep, found = F.col("level") > 0, form.has(n) & (F.col("f") >= least)
         # The nodes of edges keep their column, so that the first step down needs no shuffle.
         stay = [c for c in form.names if c not in out]
         whole = F.struct(*out, F.when(deep, F.col("level")).otherwise(F.lit(n)).alias("level"), "f")
-        if n == 1:
+        if n == shortest:
             flow = flow.where(deep | found).select(F.inline(F.array(whole)))
             break
         shorter = [c for c, name in zip(form.first(n - 1), form.names, strict=True) if name in out]
@@ -278,11 +281,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_codes: int = CODE
     """(words (array of keys), f) of all phrases that occur ``least`` times, and the vocabulary. Cuts the lineage."""
     words, seed = vocabulary(docs)
     spark = docs.sparkSession
-    codes, pairs, form = _broadcast(spark, words.where(F.col("n") >= least).select("key"), most_codes), None, Wide
+    often = words.where(F.col("n") >= least)
+    codes, pairs, form = _broadcast(spark, often.select("key"), most_codes), None, Wide
     if codes is not None:
         form = Packed
-        often = edges(docs, Pairs, codes, None, seed).groupBy("pair").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-        pairs = _broadcast(spark, cut(often.select("pair")), most_codes)
+        linked = edges(docs, Pairs, codes, None, seed).groupBy("pair").agg(F.sum("f").alias("f"))
+        linked = cut(linked.where(F.col("f") >= least))
+        pairs = _broadcast(spark, linked.select("pair"), most_codes)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,8 +299,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_codes: int = CODE
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(level)]), pa.int32()), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([lists, batch.column("f")], ["words", "f"])
 
-    found = counted(edges(docs, form, codes, pairs, seed), form, least)
-    return cut(found.mapInArrow(named, "words array<long>, f long")), words
+    shortest = 1 if pairs is None else 3
+    found = counted(edges(docs, form, codes, pairs, seed), form, least, shortest).mapInArrow(named, "words array<long>, f long")
+    if pairs is not None:
+        head, level = F.shiftleft("pair", CODE_BITS), F.lit(2).alias("level")
+        two = linked.select(head.alias("head"), F.lit(0).alias("fourth"), F.lit(0).alias("fifth"), level, "f")
+        found = found.unionByName(two.mapInArrow(named, "words array<long>, f long"))
+        found = found.unionByName(often.select(F.array("key").alias("words"), F.col("n").alias("f")))
+    return cut(found), words
 
 
 def compacted(candidates: DataFrame) -> DataFrame:
