@@ -61,7 +61,7 @@ def running_sum(values: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), values, double)
 
 
-def native_spans(text: Column, java_pattern: str) -> Column:
+def native_spans(text: Column, java_pattern: str | Column) -> Column:
     """array<struct<start,end,text>> of all non-overlapping matches, left to right.
 
     ``java_pattern`` must not be able to match the empty string. Offsets are prefix
@@ -74,7 +74,8 @@ def native_spans(text: Column, java_pattern: str) -> Column:
         ends = F.filter(let(lengths, running_sum), lambda _, i: i % 2 == 1)
         return F.zip_with(matches, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")))
 
-    found = F.struct(F.regexp_extract_all(text, F.lit(java_pattern), 0).alias("matches"), F.split(text, java_pattern, -1).alias("gaps"))
+    pattern = java_pattern if isinstance(java_pattern, Column) else F.lit(java_pattern)
+    found = F.struct(F.regexp_extract_all(text, pattern, 0).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
     return let(found, lambda f: F.when(F.size(f["matches"]) > 0, spans(f)).otherwise(F.array().cast(SPANS)))
 
 
@@ -152,8 +153,9 @@ def _class_item(op, value) -> str:
     raise _NotNative
 
 
-def _java(items, rounds: int) -> str:
-    """Java text of parsed Python items; ``rounds`` multiplies the repeats of enclosing groups."""
+def _java(items, rounds: int, at: dict = _AT) -> str:
+    """Java text of parsed Python items; ``rounds`` multiplies the repeats of enclosing groups,
+    ``at`` has the spelling of places between characters."""
     out = []
     for op, value in items:
         if op is _sre_c.LITERAL:
@@ -170,26 +172,32 @@ def _java(items, rounds: int) -> str:
             single = len(sub) == 1 and sub[0][0] in _ONE_CHARACTER
             if not single and (most is _sre_c.MAXREPEAT or rounds * most > GROUP_ROUNDS):
                 raise _NotNative
-            body = _java(sub, rounds if single else rounds * max(1, most))
+            body = _java(sub, rounds if single else rounds * max(1, most), at)
             bound = "" if most is _sre_c.MAXREPEAT else int(most)
             out.append(f"(?:{body}){{{int(least)},{bound}}}" + ("?" if op is _sre_c.MIN_REPEAT else ""))
             if single:
                 out[-1] = out[-1].replace(f"(?:{body})", body, 1)
         elif op is _sre_c.SUBPATTERN and not value[1] and not value[2]:
-            body = _java(value[3], rounds)
+            body = _java(value[3], rounds, at)
             out.append(f"({body})" if value[0] is not None else f"(?:{body})")
         elif op is _sre_c.BRANCH:
-            out.append("(?:" + "|".join(_java(branch, rounds) for branch in value[1]) + ")")
+            out.append("(?:" + "|".join(_java(branch, rounds, at) for branch in value[1]) + ")")
         elif op is _sre_c.GROUPREF:
             out.append(f"(?:\\{value})")
-        elif op is _sre_c.AT and value in _AT:
-            out.append(_AT[value])
+        elif op is _sre_c.AT and value in at:
+            out.append(at[value])
         else:
             raise _NotNative
     return "".join(out)
 
 
-def to_java(pattern: str, ignore_case: bool = False) -> str | None:
+# Characters on which Java's own idea of a word may differ from Python's: marks, joiners, numbers that
+# are no digits, symbols that count as letters, and connectors. Without them, its own boundary is the same and faster.
+ODD = r"[^\x00-\x7f\p{L}\p{Nd}\p{Zs}\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}\p{Po}\p{Sm}\p{Sc}\p{Sk}]"
+_OWN_AT = _AT | {_sre_c.AT_BOUNDARY: r"(?U:\b)", _sre_c.AT_NON_BOUNDARY: r"(?U:\B)"}
+
+
+def to_java(pattern: str, ignore_case: bool = False, at: dict = _AT) -> str | None:
     """Java pattern with exactly Python's matches, written anew from the parsed pattern, or None.
 
     None for what Java reads otherwise or can't run safely: flags, named groups, lookarounds,
@@ -199,7 +207,7 @@ def to_java(pattern: str, ignore_case: bool = False) -> str | None:
     if compiled.flags != re.UNICODE or compiled.groupindex:
         return None
     try:
-        java = _java(_sre_parse.parse(pattern), 1)
+        java = _java(_sre_parse.parse(pattern), 1, at)
     except _NotNative:
         return None
     return ("(?iu)" if ignore_case else "") + java
@@ -210,6 +218,13 @@ def can_run_natively(pattern: str) -> bool:
     return to_java(pattern) is not None and _sre_parse.parse(pattern).getwidth()[0] > 0
 
 
+def pattern_spans(text: Column, pattern: str) -> Column:
+    """Spans of a Python-syntax pattern that has a Java form. Boundaries of words are spelled out only for
+    texts on which Java's own might differ."""
+    exact, own = to_java(pattern), to_java(pattern, at=_OWN_AT)
+    return native_spans(text, exact if exact == own else F.when(text.rlike(ODD), F.lit(exact)).otherwise(F.lit(own)))
+
+
 def regex_spans(text: Column, pattern: str) -> Column:
     """Spans of a Python-syntax pattern, native where that gives the same matches."""
-    return native_spans(text, to_java(pattern)) if can_run_natively(pattern) else python_spans(text, pattern)
+    return pattern_spans(text, pattern) if can_run_natively(pattern) else python_spans(text, pattern)

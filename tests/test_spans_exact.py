@@ -40,3 +40,22 @@ def test_spans_are_about_linear_in_matches(spark):
 
     took(100)
     assert took(40_000) < 20 * max(took(4_000), 0.3)
+
+
+def test_boundaries_of_words_on_odd_characters(spark):
+    """Every kind of character beside a digit group, in texts that take either spelling of a boundary."""
+    import sys
+    import unicodedata
+
+    kinds = {}
+    for code in range(sys.maxunicode + 1):
+        if not 0xD800 <= code <= 0xDFFF:
+            kinds.setdefault(unicodedata.category(chr(code)), []).append(chr(code))
+    chars = [c for many in kinds.values() for c in many[:: max(1, len(many) // 40)]]
+    texts = [f"{c}123-45-6789{c} x{c}987-65-4321 {c}" for c in chars]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    pattern = r"\b\d{3}[- ]\d{2}[- ]\d{4}\b"
+    # Java's tables may be of an older version of Unicode than Python's, so only characters of an old one are compared.
+    got = {r["i"]: [(s["start"], s["end"]) for s in r["s"]] for r in df.select("i", regex_spans(F.col("t"), pattern).alias("s")).collect()}
+    wrong = [(hex(ord(c)), unicodedata.category(c)) for i, c in enumerate(chars) if unicodedata.ucd_3_2_0.category(c) != "Cn" and got[i] != [m.span() for m in re.finditer(pattern, texts[i])]]
+    assert wrong == []
