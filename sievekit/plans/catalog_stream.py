@@ -53,7 +53,7 @@ def stream_windowed_rate_q(spark, sf_dir):
         "event_id", F.timestamp_seconds(F.unix_timestamp("ts")).alias("event_time"), F.expr(JSON_FIXTURE_SQL).alias("text")
     )
     flagged = ev.withColumn("invalid_json", ~json_ok(F.col("text")))
-    out = ST.stream_windowed_rate(flagged, "invalid_json", "event_time", "1 day", "1 hour", ST.run_folder(spark, "rate"))
+    out = ST.stream_windowed_rate(flagged, "invalid_json", "event_time", "1 day", "1 hour", ST.run_folder(spark, "rate"), slide="8 hours")
     st = ST.latest_state(spark, out, ["window_start"])
     return st.select(
         F.unix_timestamp("window_start").alias("window_start_epoch"),
@@ -63,12 +63,14 @@ def stream_windowed_rate_q(spark, sf_dir):
     )
 
 
+# Each event counts in the three windows of a day that begin every eight hours.
 STREAM_WINDOWED_RATE_SQL = f"""
-WITH e AS (SELECT ts, {JSON_FIXTURE_SQL} AS text FROM events)
-SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start_epoch, count(*) AS events,
+WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS sec, {JSON_FIXTURE_SQL} AS text FROM events),
+w AS (SELECT sec - sec % 28800 - k * 28800 AS window_start_epoch, text FROM e, (SELECT unnest([0, 1, 2]) AS k))
+SELECT window_start_epoch, count(*) AS events,
        count(*) FILTER (WHERE NOT coalesce(json_valid(text), false)) AS flagged,
        round(count(*) FILTER (WHERE NOT coalesce(json_valid(text), false)) / count(*), 6) AS rate
-FROM e GROUP BY 1"""
+FROM w GROUP BY 1"""
 
 
 def stream_side_output_q(spark, sf_dir):
@@ -79,11 +81,14 @@ def stream_side_output_q(spark, sf_dir):
     def side(batch):
         return C.side_output(batch, reg, ["background_multiline"], ["doc_id"]).select("doc_id", "detector_name", F.col("detection.detection").alias("detection"))
 
-    _main, side_path = ST.stream_side_output(docs, {"regex": ["email"]}, side, ST.run_folder(spark, "side"), ["doc_id"])
-    return spark.read.parquet(side_path).select("doc_id", "detector_name", "detection")
+    main, found = ST.stream_side_output(docs, {"regex": ["email"], "custom": ["over_100_characters"]}, side, ST.run_folder(spark, "side"), ["doc_id"])
+    one = lambda path, sink: spark.read.parquet(path).select("doc_id", F.lit(sink).alias("sink"), "detection")
+    return one(main, "main").unionByName(one(found, "side"))
 
 
-STREAM_SIDE_SQL = """SELECT doc_id, 'background_multiline' AS detector_name, 'background_multiline' AS detection FROM documents WHERE contains(text, chr(10))"""
+STREAM_SIDE_SQL = f"""SELECT doc_id, 'side' AS sink, 'background_multiline' AS detection FROM documents WHERE contains(text, chr(10))
+UNION ALL SELECT doc_id, 'main', 'email_address' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{RE2['email']}')) FROM documents)
+UNION ALL SELECT doc_id, 'main', 'over_100_characters' FROM documents WHERE length(text) > 100"""
 
 
 def build() -> dict:

@@ -90,11 +90,14 @@ def stream_counters(stream: DataFrame, params: dict, out_dir: str, text_col: str
     return stream_aggregate(agg, out_dir, timeout_s)
 
 
-def stream_windowed_rate(stream: DataFrame, flag_col: str, ts_col: str, window: str, watermark: str, out_dir: str, timeout_s: int | None = None) -> str:
-    """Share of flagged rows per event-time window, late data bounded by a watermark."""
+def stream_windowed_rate(stream: DataFrame, flag_col: str, ts_col: str, window: str, watermark: str, out_dir: str, timeout_s: int | None = None, slide: str | None = None) -> str:
+    """Share of flagged rows per event-time window, late data bounded by a watermark.
+
+    With ``slide``, windows of that length begin so often and overlap; a row counts in each that it falls into.
+    """
     agg = (
         stream.withWatermark(ts_col, watermark)
-        .groupBy(F.window(ts_col, window).alias("w"))
+        .groupBy(F.window(ts_col, window, slide).alias("w"))
         .agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col(flag_col)).alias("flagged"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "flagged")
     )
