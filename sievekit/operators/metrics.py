@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievekit.operators import custom as C
 from sievekit.operators import filetype as FT
 from sievekit.operators import regex as RX
+from sievekit.schema import flatten
 
 METRIC_COLUMNS = ["detector_kind", "detector_name", "requests", "detections", "errors"]
 
@@ -74,6 +75,59 @@ def detector_metrics(detected: DataFrame, spark: SparkSession | None = None, den
     )
 
 
+def _times(condition: Column) -> Column:
+    return F.count(F.when(condition, F.lit(1)))
+
+
+def write_counted(
+    df: DataFrame,
+    params: dict,
+    path: str,
+    key_cols: list[str],
+    text_col: str = "text",
+    registry: C.CustomRegistry | None = None,
+    user_metrics: dict[str, Column] | None = None,
+) -> DataFrame:
+    """A1/U9 by observation: writes the flat detections by type and returns the counters of that same job.
+
+    The counters are gathered while the rows pass by on their way to the files, so they need no
+    scan, shuffle or second run of a detector. The job has no shuffle, and its one stage counts each
+    partition once, whatever tasks are run again; that is why hot types aren't dealt to writers here
+    as ``write_detections`` does, and each task writes its own file of a type.
+
+    ``user_metrics`` are conditions over the columns of ``df`` by name; rows that meet one are its
+    detections, and its kind is ``user``. A null text is a request without a detection, an empty
+    table gives zeros, calls of one label (two patterns of a user) are added up. Rows come back to the
+    driver for labels only, at most one for each call, registered detector and user metric.
+    """
+    from sievekit.plans.detect import detect, plan
+
+    labels = [(c.kind, c.metric_name) for c in plan(params, F.col(text_col), registry)]
+    user = {f"_user{i}": (name, condition) for i, (name, condition) in enumerate((user_metrics or {}).items())}
+    rows = df.select("*", *[condition.alias(c) for c, (_, condition) in user.items()])
+    detected = detect(rows, params, text_col, registry=registry, with_calls=True)
+    counts = [F.count(F.lit(1)).alias("requests")]
+    for i in range(len(labels)):
+        call = F.col("calls")[i]
+        counts.append(_times(call["hit"] & call["error"].isNull()).alias(f"detections{i}"))
+        counts.append(_times(call["error"].isNotNull()).alias(f"errors{i}"))
+    counts += [_times(F.col(c)).alias(c) for c in user]
+    seen = Observation()
+    passed = detected.observe(seen, *counts).select(*key_cols, "detections")
+    flatten(passed, "detections", key_cols).write.mode("overwrite").partitionBy("detection_type").parquet(path)
+
+    got = seen.get
+    series = {label: [0, 0, 0] for label in metric_label_rows(registry)}
+    for i, label in enumerate(labels):
+        total = series.setdefault(label, [0, 0, 0])
+        for k, n in enumerate((got["requests"], got[f"detections{i}"], got[f"errors{i}"])):
+            total[k] += n
+    for c, (name, _) in user.items():
+        series["user", name] = [got["requests"], got[c], 0]
+    schema = "detector_kind string, detector_name string, requests bigint, detections bigint, errors bigint"
+    return df.sparkSession.createDataFrame([(*label, *total) for label, total in series.items()], schema)
+
+
 def detection_rate(metrics: DataFrame) -> DataFrame:
     """A5: share of requests with a detection."""
     return metrics.withColumn("detection_rate", F.round(F.try_divide(F.col("detections").cast("double"), F.col("requests").cast("double")), 6))

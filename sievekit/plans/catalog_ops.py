@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from sievekit.plans.detect import detect
 from sievekit.plans.dispatch import FAILED, detect_per_row, per_row_calls
 from sievekit.plans.params import names_column
 from sievekit.plans.quarantine import checked
+from sievekit.session import scratch_path
 from sievekit.sources import requests as RQ
 from sievekit.sources.tables import table
 
@@ -226,9 +228,35 @@ SELECT detector_kind, detector_name, count(*) AS calls FROM c GROUP BY ALL"""
 
 # --- A2 / A3 / A6 ----------------------------------------------------------------
 
+O_PARAMS = {"regex": ["email", "us-phone-number", "ipv4"], "custom": ["over_100_characters"]}
 A_PARAMS = {"regex": ["email", "us-phone-number", "ipv4"], "custom": ["over_100_characters", "contains_word"]}
 
 
+def observed_counters_q(spark, sf_dir):
+    """A1 and U9 from the job that writes the detections, with a counter of the user's for texts of several lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scratch_path(spark, f"observed/{uuid.uuid4().hex}")
+    return M.write_counted(docs, O_PARAMS, out, ["doc_id"], user_metrics={"several_lines": F.col("text").contains("\n")})
+
+
+def observed_counters_sql() -> str:
+    hits = {
+        ("regex", "email"): f"len(regexp_extract_all(text, '{RE2['email']}')) > 0",
+        ("regex", "us-phone-number"): f"len(regexp_extract_all(text, '{RE2['us-phone-number']}')) > 0",
+        ("regex", "ipv4"): f"len(regexp_extract_all(text, '{RE2['ipv4']}')) > 0",
+        ("custom", "over_100_characters"): "length(text) > 100",
+        ("user", "several_lines"): "contains(text, chr(10))",
+    }
+    counted = " UNION ALL ".join(
+        f"SELECT '{kind}' AS detector_kind, '{name}' AS detector_name, count(*) AS requests, count(*) FILTER (WHERE {hit}) AS detections FROM documents"
+        for (kind, name), hit in hits.items()
+    )
+    return f"""WITH a AS ({counted}), l AS ({_labels_sql()})
+SELECT coalesce(l.detector_kind, a.detector_kind) AS detector_kind, coalesce(l.detector_name, a.detector_name) AS detector_name,
+       CAST(coalesce(requests, 0) AS BIGINT) AS requests, CAST(coalesce(detections, 0) AS BIGINT) AS detections, CAST(0 AS BIGINT) AS errors
+FROM l FULL OUTER JOIN a ON l.detector_kind = a.detector_kind AND l.detector_name = a.detector_name"""
+
+
 def runtime_metrics_q(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return M.runtime_metrics(spark, docs, A_PARAMS)
@@ -311,6 +339,7 @@ def build() -> dict:
         "error_policy": (error_policy_q, error_policy_sql()),
         "registry_catalogue": (registry_catalogue_q, registry_catalogue_sql()),
         "detector_metrics": (detector_metrics_q, detector_metrics_sql()),
+        "observed_counters": (observed_counters_q, observed_counters_sql()),
         "runtime_metrics": (runtime_metrics_q, None),
         "request_level_metrics": (request_level_metrics_q, request_level_metrics_sql()),
         "bounded_metric_labels": (bounded_metric_labels_q, bounded_metric_labels_sql()),

@@ -10,6 +10,7 @@ from sievekit.operators import custom as C
 from sievekit.operators.filetype import json_ok
 from sievekit.plans.catalog_filetype import JSON_FIXTURE_SQL
 from sievekit.plans.catalog_regex import RE2, spans_sql
+from sievekit.sources.tables import table
 from sievekit.streaming import stream as ST
 
 FLAT = ["doc_id", "ord", "start", "end", "text", "detection", "detection_type", "score"]
@@ -73,6 +74,25 @@ SELECT window_start_epoch, count(*) AS events,
 FROM w GROUP BY 1"""
 
 
+def stream_late_rows_q(spark, sf_dir):
+    """T3 with late rows: events dealt to files without regard to their time; both sinks by window."""
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", F.timestamp_seconds(F.unix_timestamp("ts")).alias("event_time"), F.expr(JSON_FIXTURE_SQL).alias("text")
+    )
+    files = ST.run_folder(spark, "shuffled_events")
+    ev.repartition("event_id").write.parquet(files)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(files)
+    flagged = stream.withColumn("invalid_json", ~json_ok(F.col("text")))
+    on_time, late = ST.stream_windowed_split(flagged, "invalid_json", "event_time", "1 day", "1 hour", ST.run_folder(spark, "split"), slide="8 hours")
+    missed = spark.read.parquet(late).groupBy("window_start").agg(F.count(F.lit(1)).alias("events"), F.count_if("invalid_json").alias("flagged"))
+    both = ST.window_totals(spark, on_time).drop("window_end").unionByName(missed)
+    return both.groupBy(F.unix_timestamp("window_start").alias("window_start_epoch")).agg(F.sum("events").alias("events"), F.sum("flagged").alias("flagged"))
+
+
+# Which rows are late depends on the order of files; both sinks together hold every row once for each window.
+STREAM_LATE_ROWS_SQL = f"SELECT window_start_epoch, events, flagged FROM ({STREAM_WINDOWED_RATE_SQL})"
+
+
 def stream_side_output_q(spark, sf_dir):
     docs = ST.table_stream(spark, sf_dir, "documents").select("doc_id", "text")
     reg = C.example_registry()
@@ -96,5 +116,6 @@ def build() -> dict:
         "stream_detect": (stream_detect_q, stream_detect_sql()),
         "stream_counters": (stream_counters_q, STREAM_COUNTERS_SQL),
         "stream_windowed_rate": (stream_windowed_rate_q, STREAM_WINDOWED_RATE_SQL),
+        "stream_late_rows": (stream_late_rows_q, STREAM_LATE_ROWS_SQL),
         "stream_side_output": (stream_side_output_q, STREAM_SIDE_SQL),
     }

@@ -104,6 +104,53 @@ def stream_windowed_rate(stream: DataFrame, flag_col: str, ts_col: str, window:
     return stream_aggregate(agg, out_dir, timeout_s)
 
 
+def stream_windowed_split(
+    stream: DataFrame, flag_col: str, ts_col: str, window: str, watermark: str, out_dir: str, timeout_s: int | None = None, slide: str | None = None
+) -> tuple[str, str]:
+    """T3 with a sink of its own for what comes too late, so that on-time and late rows together are all rows.
+
+    The watermark of a micro-batch is the greatest event time of all batches before it less
+    ``watermark``. A row is late for a window that ends at or before it; with ``slide`` it may be late
+    for some of its windows only. The first sink holds each batch's counts of its windows, added up by
+    ``window_totals``; no state is kept between batches but one time stamp. The second holds the late
+    rows whole, once for each window missed (``window_start``, ``window_end``). Rows without an event
+    time are late with null windows.
+
+    Every sink has a folder for each batch, written with overwrite, and a batch reads only the
+    watermark of the one before, so a batch that runs again after a failure writes the same rows.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mark = spark.read.parquet(f"{out_dir}/seen/batch_id={batch_id - 1}").first() if batch_id else None
+        before = mark["seen"] if mark else None
+        latest = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {watermark}")
+        batch.persist()
+        try:
+            rows = batch.select("*", F.window(ts_col, window, slide).alias("_w"))
+            rows = rows.select("*", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end")).drop("_w")
+            behind = F.coalesce(F.col("window_end") <= latest, F.lit(False))
+            on_time = rows.where(~behind).groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col(flag_col)).alias("flagged"))
+            on_time.write.mode("overwrite").parquet(f"{out_dir}/on_time/batch_id={batch_id}")
+            late = batch.where(F.col(ts_col).isNull()).unionByName(rows.where(behind), allowMissingColumns=True)
+            late.write.mode("overwrite").parquet(f"{out_dir}/late/batch_id={batch_id}")
+            seen = batch.agg(F.greatest(F.max(ts_col), F.lit(before).cast("timestamp")).alias("seen"))
+            seen.write.mode("overwrite").parquet(f"{out_dir}/seen/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    q = stream.writeStream.option("checkpointLocation", f"{out_dir}/_checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination(timeout_s)
+    _raise_if_failed(q)
+    return f"{out_dir}/on_time", f"{out_dir}/late"
+
+
+def window_totals(spark: SparkSession, on_time: str) -> DataFrame:
+    """(window_start, window_end, events, flagged) over all batches of ``stream_windowed_split``."""
+    counts = spark.read.parquet(on_time)
+    return counts.groupBy("window_start", "window_end").agg(F.sum("events").alias("events"), F.sum("flagged").alias("flagged"))
+
+
 def stream_side_output(stream: DataFrame, main_params: dict, side_fn, out_dir: str, key_cols: list[str], timeout_s: int | None = None) -> tuple[str, str]:
     """T4: one pass per micro-batch, two sinks: main detections and a background detector's findings."""
 
