@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievekit.session import bound_batches as bound_batches
 from sievekit.session import ensure_checkpoint_dir
 
 # Words are runs of anything but space, tab, line feed, vertical tab, form feed and return.
@@ -77,16 +78,6 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
-    """Limits the bytes of an Arrow batch, which Spark bounds only in rows by default.
-
-    Long texts would otherwise make batches of gigabytes. A limit that the user set stays.
-    """
-    key, unset = "spark.sql.execution.arrow.maxBytesPerBatch", (1 << 31) - 1
-    if int(spark.conf.get(key, str(unset)).rstrip("b")) >= unset:
-        spark.conf.set(key, str(most_bytes))
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
