@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievekit.operators import filetype as FT
 from sievekit.plans.detect import detect
-from sievekit.sources.tables import table
+from sievekit.sources.tables import dealt_out, table
 
 FLAT = ["event_id", "ord", "start", "end", "text", "detection", "detection_type", "score"]
 
@@ -44,7 +44,7 @@ PAGE_XSD = """<?xml version="1.0" encoding="UTF-8"?>
 
 
 def json_rows(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.expr(JSON_FIXTURE_SQL).alias("text"))
+    return dealt_out(table(spark, sf_dir, "events")).select("event_id", F.expr(JSON_FIXTURE_SQL).alias("text"))
 
 
 def _flat(df, params):
