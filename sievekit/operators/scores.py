@@ -4,7 +4,7 @@ Inputs are long-form score tables, the contract a batch scorer emits:
 
 * sequence: ``(content_id, label_idx, label, logit)``
 * token:    ``(content_id, token_idx, char_start, char_end, label_idx, label, logit)``
-* candidates: ``(content_id, risk, step, token, logprob)``
+* candidates: ``(content_id, risk, step, token, logprob)``, or an array of (logprob, token) per step
 
 Scores of one unit may also come as an array, one element per label. Softmax and
 the best label then stay inside the row, and the token chain shuffles only tokens
@@ -163,9 +163,10 @@ def best_labels(tokens: DataFrame, logits: Column, limits: Column, labels: list[
     step = step.select(*every, *[F.when(share[i] >= F.col("_limits")[i], share[i]).alias(f"_p{i}") for i in n])
     first = F.coalesce(*[F.when(F.col(f"_p{i}") == F.col("_best"), F.lit(labels[i])) for i in n])
     step = step.select("*", F.greatest(*[F.col(f"_p{i}") for i in n]).alias("_best"))
-    # A filter on the best would be pushed below, and all of it computed twice.
-    kept = F.explode(F.when(F.col("_best").isNotNull(), F.array(F.struct(first.alias("label"), F.col("_best").alias("prob")))))
-    return step.select(*every, kept.alias("_b")).select(*every, "_b.label", "_b.prob")
+    # A filter on the best would be pushed below, and all of it computed twice; so would be what Spark
+    # infers of an inner explode.
+    kept = F.explode_outer(F.when(F.col("_best").isNotNull(), F.array(F.struct(first.alias("label"), F.col("_best").alias("prob")))))
+    return step.select(*every, kept.alias("_b")).where(F.col("_b").isNotNull()).select(*every, "_b.label", "_b.prob")
 
 
 # A run's state: what two neighbouring runs of one label need to become one.
@@ -276,8 +277,13 @@ def verdict_label(decoded: Column, safe_token: str = SAFE_TOKEN, unsafe_token: s
 
 
 def greedy_decode(cands: DataFrame) -> DataFrame:
-    """Greedy answer per (content, risk): the best candidate of every step, in step order."""
-    best = cands.groupBy("content_id", "risk", "step").agg(F.max(F.struct(F.col("logprob"), F.col("token"))).alias("b"))
+    """Greedy answer per (content, risk): the best candidate of every step, in step order.
+
+    The candidates of a step may also come as an array ``candidates`` of (logprob, token): then its best
+    one is found in the row, and that alone is sorted and shuffled.
+    """
+    one = F.array_max("candidates") if "candidates" in cands.columns else F.struct(F.col("logprob"), F.col("token"))
+    best = cands.select("content_id", "risk", "step", one.alias("b")).groupBy("content_id", "risk", "step").agg(F.max("b").alias("b"))
     return best.groupBy("content_id", "risk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", F.col("b.token").alias("token")))), lambda x: x["token"]), "").alias("decoded")
     )

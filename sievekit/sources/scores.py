@@ -9,13 +9,14 @@ Whole texts are hashed (never prefixes).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from sievekit.operators.scores import RISK_NAMES
+from sievekit.schema import posexploded
+from sievekit.session import bound_batches
 from sievekit.sources.tables import table
 
 # Fixed label sets of the synthetic models (ours).
@@ -58,17 +59,19 @@ def embedding_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("content_id"), F.transform("embedding", lambda x: x.cast("double") * 10.0).alias("logits"))
 
 
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def _starts_from_lengths(lengths: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _starts_from_lengths(lengths: pa.Array) -> pa.Array:
     """Start offset of each single-space-separated token: exclusive prefix sum of (length + 1)."""
-    out = []
-    for ls in lengths:
-        a = np.asarray(ls, dtype=np.int64) + 1
-        out.append(np.concatenate(([0], np.cumsum(a)[:-1])).astype(np.int32))
-    return pd.Series(out)
+    flat, rows = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths.offsets.to_numpy().astype(np.int64)
+    rows = rows - rows[0]
+    before = np.concatenate([[0], np.cumsum(flat + 1)])
+    starts = before[:-1] - np.repeat(before[rows[:-1]], np.diff(rows))
+    none = np.append(~lengths.is_valid().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32), mask=none), pa.array(starts.astype(np.int32)))
 
 
 def _doc_tokens(spark: SparkSession, sf_dir: str, docs: DataFrame | None):
+    bound_batches(spark)
     if docs is None:
         docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("content_id"), "text")
     keep = [c for c in docs.columns if c != "text"]
@@ -84,8 +87,8 @@ def tokens(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> D
     in its document's partition.
     """
     keep, toks = _doc_tokens(spark, sf_dir, docs)
-    ex = toks.select(*keep, F.posexplode(F.arrays_zip(F.col("toks").alias("token"), F.col("starts").alias("char_start"))).alias("token_idx", "z"))
-    return ex.select(*keep, "token_idx", F.col("z.token").alias("token"), F.col("z.char_start").alias("char_start"), (F.col("z.char_start") + F.length("z.token")).cast("int").alias("char_end"))
+    ex = posexploded(toks, keep, F.arrays_zip(F.col("toks").alias("token"), F.col("starts").alias("char_start")), "z")
+    return ex.select(*keep, F.col("ord").alias("token_idx"), F.col("z.token").alias("token"), F.col("z.char_start").alias("char_start"), (F.col("z.char_start") + F.length("z.token")).cast("int").alias("char_end"))
 
 
 TOKENS_SQL = """SELECT content_id, token_idx, token,
@@ -115,25 +118,40 @@ def token_logits_sql() -> str:
 FROM ({TOKENS_SQL}) t, (SELECT unnest(range({len(TOKEN_LABELS)})) AS label_idx) l"""
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generation candidates per (conversation turn, risk, step): token and logprob."""
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(content_id, risk, step) of every conversation turn."""
     conv = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("content_id"), "text")
-    ex = conv.select(
+    return conv.select(
         "content_id",
         F.explode(_labels_array(RISK_NAMES)).alias("risk"),
         F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"),
     )
-    ex = ex.select("*", F.explode(F.sequence(F.lit(0), F.lit(CANDIDATES - 1))).alias("cand"))
-    key = F.concat_ws("#", F.col("content_id").cast("string"), F.col("risk"), F.col("step").cast("string"), F.col("cand").cast("string"))
+
+
+def _candidate(cand: Column) -> tuple[Column, Column]:
+    """(token, logprob) of one candidate of a step."""
+    key = F.concat_ws("#", F.col("content_id").cast("string"), F.col("risk"), F.col("step").cast("string"), cand.cast("string"))
     h = F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int")
-    vocab = _labels_array(VOCAB)
-    return ex.select(
-        "content_id",
-        "risk",
-        F.col("step").cast("int").alias("step"),
-        F.element_at(vocab, (h % len(VOCAB) + 1).cast("int")).alias("token"),
-        (F.lit(0.0) - F.conv(F.substring(F.md5(key), 5, 4), 16, 10).cast("double") / F.lit(65535.0) * F.lit(12.0)).alias("logprob"),
-    )
+    token = F.element_at(_labels_array(VOCAB), (h % len(VOCAB) + 1).cast("int"))
+    return token, F.lit(0.0) - F.conv(F.substring(F.md5(key), 5, 4), 16, 10).cast("double") / F.lit(65535.0) * F.lit(12.0)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation candidates per (conversation turn, risk, step): token and logprob."""
+    ex = _steps(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(CANDIDATES - 1))).alias("cand"))
+    token, logprob = _candidate(F.col("cand"))
+    return ex.select("content_id", "risk", F.col("step").cast("int").alias("step"), token.alias("token"), logprob.alias("logprob"))
+
+
+def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``candidates``, one row per step with its candidates as an array of (logprob, token)."""
+
+    def candidate(cand: Column) -> Column:
+        token, logprob = _candidate(cand)
+        return F.struct(logprob.alias("logprob"), token.alias("token"))
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), candidate)
+    return _steps(spark, sf_dir).select("content_id", "risk", F.col("step").cast("int").alias("step"), every.alias("candidates"))
 
 
 def candidates_sql() -> str:

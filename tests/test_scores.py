@@ -3,10 +3,14 @@
 import math
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from sievekit.operators import scores as S
+from sievekit.plans.detect import detect
+from sievekit.plans.dispatch import detect_per_row
 from sievekit.plans.params import resolve_classifier_params
+from sievekit.sources import scores as SS
 
 
 def risk(spark, rows):
@@ -157,3 +161,47 @@ def test_sequence_threshold_inclusive_and_safe(spark):
     df = spark.createDataFrame([(1, 0, "ok", 0.5), (1, 1, "toxic", 0.5), (1, 2, "spam", 0.7)], "content_id long, label_idx int, label string, prob double")
     out = S.sequence_classification(df, 0.5, {"spam": 0.8}, S.safe_label_keys([0]))
     assert [r["detection_type"] for r in out.collect()] == ["toxic"]
+
+
+def test_greedy_decode_takes_lists_of_candidates(spark):
+    rows = [(1, "harm", 1, -0.5, "o"), (1, "harm", 0, -2.0, "x"), (1, "harm", 0, -1.0, "N"), (1, "harm", 0, -1.0, "M"), (2, "harm", 0, -3.0, "Yes")]
+    rows += [(1, "harm", 0, -0.9, "T")]
+    flat = spark.createDataFrame(rows, "content_id long, risk string, step int, logprob double, token string")
+    one = F.struct("logprob", "token")
+    parts = [flat.where(c) for c in (F.col("token") != "T", F.col("token") == "T")]  # a step may be in several rows
+    lists = [p.groupBy("content_id", "risk", "step").agg(F.collect_list(one).alias("candidates")) for p in parts]
+    got = {tuple(r) for r in S.greedy_decode(lists[0].unionByName(lists[1])).collect()}
+    assert got == {tuple(r) for r in S.greedy_decode(flat).collect()} == {(1, "harm", "To"), (2, "harm", "Yes")}
+
+
+def test_candidate_lists_hold_the_candidates(spark):
+    lists = SS.candidate_lists(spark, SMALL).select("content_id", "risk", "step", F.inline("candidates"))
+    flat = SS.candidates(spark, SMALL).select("content_id", "risk", "step", "logprob", "token")
+    assert lists.exceptAll(flat).count() == 0 == flat.exceptAll(lists).count()
+
+
+def test_starts_of_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "é bb  c"), (2, None), (3, ""), (4, " a")], "content_id long, text string").repartition(1)
+    got = sorted((r["content_id"], r["token_idx"], r["token"], r["char_start"], r["char_end"]) for r in SS.tokens(spark, SMALL, docs).collect())
+    assert got == [(1, 0, "é", 0, 1), (1, 1, "bb", 2, 4), (1, 2, "", 5, 5), (1, 3, "c", 6, 7), (3, 0, "", 0, 0), (4, 0, "", 0, 0), (4, 1, "a", 1, 2)]
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.createDataFrame([(1, "a", '{"regex": "email"}')], "doc_id long, text string, detector_params string")
+    plans = [lambda: detect(texts, {"file_type": ["yaml"]}), lambda: detect_per_row(texts, ["doc_id"]), lambda: SS.tokens(spark, SMALL)]
+    before = spark.conf.get(key, None)
+    try:
+        for plan in plans:
+            spark.conf.unset(key)
+            plan()
+            assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_tokens_are_labelled_once(spark):
+    docs = spark.createDataFrame([(1, "a b")], "content_id long, text string")
+    best = S.best_labels(SS.tokens(spark, SMALL, docs), SS.token_logits_array(F.col("token")), F.array(*[F.lit(0.5)] * 5), SS.TOKEN_LABELS)
+    plan = best._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("ArrowEvalPython" in line for line in plan) == 1 and sum("md5(" in line for line in plan) == 1
