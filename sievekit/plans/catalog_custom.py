@@ -9,6 +9,7 @@ from sievekit.operators import user_examples
 from sievekit.operators.codescan import code_safety_scan
 from sievekit.operators.wordlist import find_words
 from sievekit.plans.detect import detect
+from sievekit.schema import posexploded
 from sievekit.sources.tables import table
 
 FLAT = ["doc_id", "ord", "start", "end", "text", "detection", "detection_type", "score"]
@@ -92,7 +93,7 @@ def custom_registry_q(spark, sf_dir):
     df = _docs(spark, sf_dir).withColumn("headers", F.create_map(F.lit("magic-key"), F.lit("777")))
     names = [n for n in reg.names() if n != "function_that_needs_kwargs"]
     d = detect(df, {"custom": names}, registry=reg, headers_col="headers", on_error="quarantine")
-    flat = d.select("doc_id", F.size("errors").alias("n_errors"), F.posexplode("detections").alias("ord", "x"))
+    flat = posexploded(d, ["doc_id", F.size("errors").alias("n_errors")], F.col("detections"), "x")
     return flat.select("doc_id", "n_errors", "ord", F.col("x.detection").alias("detection"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 

@@ -22,6 +22,7 @@ from sievekit.operators import filetype as FT
 from sievekit.operators import regex as RX
 from sievekit.plans.params import KINDS, kwargs_for, normalize_names, parse_params
 from sievekit.schema import DETECTIONS, flatten
+from sievekit.session import bound_batches
 
 CALL = T.StructType(
     [
@@ -102,6 +103,7 @@ def detect(
     ``on_error="quarantine"`` keeps going and records per-row ``errors``;
     ``"failfast"`` raises inside the job like the reference's 500.
     """
+    bound_batches(df.sparkSession)
     text = F.col(text_col)
     headers = F.col(headers_col) if headers_col else None
     calls = plan(params, text, registry, headers, on_error)

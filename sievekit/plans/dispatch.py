@@ -33,7 +33,8 @@ from sievekit.operators import custom as C
 from sievekit.operators import filetype as FT
 from sievekit.operators import regex as RX
 from sievekit.plans.params import KINDS, kwargs_for, normalize_names
-from sievekit.schema import DETECTIONS, FLAT_COLUMNS, SPANS, detection_struct, spans_to_detections, whole_text_detection
+from sievekit.schema import DETECTIONS, FLAT_COLUMNS, SPANS, detection_struct, posexploded, spans_to_detections, whole_text_detection
+from sievekit.session import bound_batches
 
 CALL_FIELDS = "kind_ord int, detector_kind string, name_ord int, name string, metric_name string, code int, message string, arg string, slot int, kwargs string"
 PLAN = f"array<struct<{', '.join(f.replace(' ', ':') for f in CALL_FIELDS.split(', '))}>>"
@@ -139,6 +140,7 @@ def evaluated(
     df: DataFrame, key_cols: list[str], params_col: str, text_col: str, registry: C.CustomRegistry, headers_col: str | None, xsds: tuple[str, ...]
 ) -> DataFrame:
     """(keys, calls): every row's calls up to its first error, each with ``dets`` and ``error``."""
+    bound_batches(df.sparkSession)
     extra = [headers_col] if headers_col else []
     planned = df.select(*key_cols, text_col, *extra, plan_column(F.col(params_col), registry, xsds).alias("_plan"))
     text = F.col(text_col)
@@ -236,10 +238,11 @@ def detect_per_row(
     if on_error == "failfast":
         last = F.element_at("calls", -1)
         done = done.withColumn("calls", F.when(~failed, F.col("calls")).otherwise(F.raise_error(last["message"])))
-    errors = done.where(failed).select(*key_cols, F.element_at("calls", -1).alias("c"))
+    none = F.slice("calls", 1, 0)
+    errors = posexploded(done, key_cols, F.when(failed, F.slice("calls", -1, 1)).otherwise(none), "c")
     errors = errors.select(*key_cols, *[F.col(f"c.{k}").alias(k) for k in ("detector_kind", "name", "code", "message")])
-    entries = done.where(~failed).select(*key_cols, F.explode("calls").alias("c"))
-    flat = entries.select(*key_cols, "c.kind_ord", "c.detector_kind", "c.name_ord", "c.name", F.posexplode("c.dets").alias("ord", "d"))
+    entries = posexploded(done, key_cols, F.when(~failed, F.col("calls")).otherwise(none), "c").drop("ord")
+    flat = posexploded(entries, [*key_cols, "c.kind_ord", "c.detector_kind", "c.name_ord", "c.name"], F.col("c.dets"), "d")
     flat = flat.select(*key_cols, "kind_ord", "detector_kind", "name_ord", "name", "ord", *[F.col("d")[c].alias(c) for c in FLAT_COLUMNS])
     return flat, errors
 
@@ -254,6 +257,6 @@ def per_row_calls(
     move no counter of the rejected call.
     """
     done = evaluated(df, key_cols, params_col, text_col, registry or C.example_registry(), headers_col, xsds)
-    calls = done.select(*key_cols, F.explode("calls").alias("c")).where(F.col("c.code").isNull() | (F.col("c.code") == 500))
+    calls = posexploded(done, key_cols, F.col("calls"), "c").where(F.col("c.code").isNull() | (F.col("c.code") == 500))
     hit = F.col("c.code").isNull() & (F.size("c.dets") > 0)
     return calls.select(*key_cols, "c.detector_kind", "c.metric_name", hit.alias("hit"), "c.code")

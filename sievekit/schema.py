@@ -98,8 +98,16 @@ def whole_text_detection(text: Column, detection: Column | str, detection_type:
     return detection_struct(F.lit(0), F.length(text), text, detection, detection_type, score)
 
 
+def posexploded(df, keep: list, array: Column, name: str):
+    """One row per element of ``array``, with its place ``ord``; its elements are never null.
+
+    Of an inner explode Spark infers a filter on the array's size, which it pushes below the projection
+    that makes the array: every detector would run twice.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias("ord", name)).where(F.col("ord").isNotNull())
+
+
 def flatten(df, detections_col: str = "detections", keep: list[str] | None = None):
     """Nested -> flat: one row per detection, with ``ord`` = position in the array."""
     keep = keep or [c for c in df.columns if c != detections_col]
-    exploded = df.select(*keep, F.posexplode(detections_col).alias("ord", "d"))
-    return exploded.select(*keep, "ord", *[F.col("d")[c].alias(c) for c in FLAT_COLUMNS], F.col("d")["metadata"].alias("metadata"))
+    return posexploded(df, keep, F.col(detections_col), "d").select(*keep, "ord", *[F.col("d")[c].alias(c) for c in FLAT_COLUMNS], F.col("d")["metadata"].alias("metadata"))

@@ -6,6 +6,7 @@ import pytest
 
 from sievekit.operators import user_examples
 from sievekit.operators.custom import CustomRegistry
+from sievekit.plans.detect import detect
 from sievekit.plans.dispatch import detect_per_row, per_row_calls
 
 SCHEMA = "doc_id long, text string, detector_params string, headers map<string,string>"
@@ -94,3 +95,11 @@ def test_a_function_sees_only_its_rows(spark):
     reg.register("noisy", noisy, native=False)
     (flat, errors), _ = dispatched(spark, [("mine", {"custom": ["noisy"]}, None), ("other", {"regex": ["email"]}, None)], registry=reg)
     assert [r.doc_id for r in flat.collect()] == [0] and errors.count() == 0
+
+
+def test_detectors_run_once(spark):
+    texts = spark.createDataFrame([(1, "[1,", '{"file_type": ["json"], "regex": ["[0-9]"]}')], "doc_id long, text string, detector_params string")
+    per_row, errors = detect_per_row(texts, ["doc_id"])
+    for df, udf in ((errors, "pattern_spans"), (detect(texts, {"file_type": ["json"]}, output="flat"), "json_parses"), (per_row, "pattern_spans"), (per_row_calls(texts, ["doc_id"]), "_plan")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("ArrowEvalPython" in line and f"{udf}(" in line for line in plan.splitlines()) == 1, plan
