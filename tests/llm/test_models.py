@@ -193,3 +193,18 @@ def test_copies_take_no_places_in_the_sample(spark):
     got = [tuple(r) for r in langid.labelled_windows(docs, F.lit(True), docs_per_lang=30, windows=1).collect()]
     assert len(got) == len(set(got)) and {t for t, lang in got if lang == "zz"} == {"the only text"}
     assert [sum(lang == x for _, lang in got) for x in ("xx", "yy", "zz")] == [30, 30, 1]
+
+
+def test_url_models_count_every_url_that_rules_decide(spark):
+    rows = [(k, f"https://a{k % 7}.com/p{k * k}") for k in range(23_000)] + [(k, f"http://b{k % 5}.net/es/{k}x") for k in range(400)]
+    known = spark.createDataFrame(rows, "page_id long, url string").repartition(5)
+    model = url_filter.fit_on_rules(known)
+    held = {r["url"] for r in known.where(F.pmod(F.xxhash64("url"), F.lit(url_filter.HELD_OUT)) == 0).collect()}
+    urls = {u for _, u in rows}
+    for side, mine in ((model.accepted, [u for u in urls if ".com/" in u]), (model.rejected, [u for u in urls if ".net/" in u])):
+        want = url_filter.MarkovModel([u.encode() for u in mine if u not in held])
+        for got, full in zip(side.orders, want.orders, strict=True):
+            assert all((a == b).all() for a, b in zip(got[2:], full[2:], strict=True))  # contexts, totals, kinds
+            assert set(zip(got[0], got[1])) <= set(zip(full[0], full[1]))
+    scores = sorted(model.scores([u.encode() for u in held if ".com/" in u]))
+    assert model.threshold == min(0.0, scores[max(0, -(-len(scores) // 100) - 1)]) and len(scores) > 4_000
