@@ -61,8 +61,9 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
-# Up to four letters or digits of ASCII, any other letter or mark alone.
-_TOKEN = re.compile(r"[A-Za-z0-9_]{1,4}|[^A-Za-z0-9_ ]")
+# A mark of the template (texts hold none, as theirs are escaped), up to four letters or digits of ASCII,
+# any other letter or mark alone.
+_TOKEN = re.compile(r"<\|im_(?:start|end)\|>|[A-Za-z0-9_]{1,4}|[^A-Za-z0-9_ ]")
 
 
 def token_count(text: str) -> int:
