@@ -7,16 +7,21 @@ and the high bytes of UTF-8), codes to a small embedding, and filters of widths
 feeds a softmax over the languages seen in training. A text's probabilities are
 the mean over its windows, weighted by their bytes.
 
-Training is plain numpy (Adam) on the driver, over a bounded sample: windows of
-``SAMPLE_DOCS`` distinct labelled texts of each language (all, if it has fewer), those of the
-smallest hash, ``SAMPLE_WINDOWS`` windows of each, at hashed places of the text. For
+Training is plain numpy (Adam), in two parts. A start is trained on the driver, over a bounded sample:
+windows of ``SAMPLE_DOCS`` distinct labelled texts of each language (all, if it has fewer), those of the
+smallest hash, ``SAMPLE_WINDOWS`` windows of each, at hashed places of the text. Then every task goes on
+from there over all windows of its share of all distinct labelled texts (``refine``), some of them once more
+with their ends cut off, and the network is the mean of what the tasks learned, weighted by their windows. A
+window counts inversely to how many its language has, up to ``MOST_WEIGHT``. The driver gets a few kilobytes of
+each task. Shares are by hash and ordered, so a rerun with as many partitions learns the same. For
 prediction, embedding and filters are multiplied out into tables by pairs of codes,
 so a window costs a few table reads per byte, in blocks that bound memory.
 
 Rejection. With ``reject`` the network learns one more class, from made-up windows of digits,
 hashes, keys, marks, random letters and scripts that no label stands for (``junk``). A text whose
-mean probability of that class is above ``limit`` gets ``und``. The limit is calibrated on the
-labelled sample: at most ``FALSE_REJECT`` of its texts are lost, and none below ``LEAST_LIMIT``.
+mean probability of that class is above ``limit`` gets ``und``. The limit is calibrated on all distinct
+labelled texts: at most ``FALSE_REJECT`` of them are lost, and none below ``LEAST_LIMIT``. Whether labelled
+texts use a script is counted over all of them too.
 
 Edge cases: a text that is null or has no letter gets ``und`` with score 0; texts of
 any length are read whole; with no labelled text, every text is ``und``; repeated
@@ -25,14 +30,16 @@ rows get equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import text_buffer
+from sievekit.llm.common import sliced, text_buffer
 
 WINDOW = 256
 CODES = 128
@@ -43,6 +50,10 @@ SAMPLE_DOCS = 1500
 SAMPLE_WINDOWS = 2
 STEPS, BATCH, RATE = 700, 64, 4e-3
 BLOCK = 64
+ALL_BATCH, ALL_RATE = 256, 2e-4  # of the steps in tasks
+CUT_SHARE = 0.125
+SLICE_BYTES = 1 << 20
+MOST_WEIGHT = 20.0
 UNKNOWN = "und"
 FALSE_REJECT = 0.005
 LEAST_LIMIT = 0.5
@@ -108,8 +119,8 @@ class ByteCnn:
             self._tables = tuple(np.ascontiguousarray(t, np.float32) for t in (first, one[1][2], pair(2, 2)))
         return self._tables
 
-    def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Softmax of every window: (windows, languages)."""
+    def pooled(self, codes: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+        """Each filter's maximum over every window: (windows, filters); ``places`` gets where it is."""
         first, third, second_pair = self._by_code()
         pooled = np.empty((len(codes), 3 * FILTERS), np.float32)
         for at in range(0, len(codes), BLOCK):
@@ -121,8 +132,19 @@ class ByteCnn:
             # The last places have no whole triple or quadruple.
             out[:, -1:, FILTERS : 2 * FILTERS] = 0
             out[:, -2:, 2 * FILTERS :] = 0
-            pooled[at : at + BLOCK] = out.max(axis=1)
-        logits = np.maximum(pooled, 0) @ self.weights + self.offset
+            if places is None:
+                pooled[at : at + BLOCK] = out.max(axis=1)
+            else:
+                where = places[at : at + BLOCK] = out.argmax(axis=1)
+                pooled[at : at + BLOCK] = np.take_along_axis(out, where[:, None, :], 1)[:, 0]
+        return pooled
+
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """Softmax of every window: (windows, languages)."""
+        return self.softmax(np.maximum(self.pooled(codes), 0))
+
+    def softmax(self, h: np.ndarray) -> np.ndarray:
+        logits = h @ self.weights + self.offset
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -147,17 +169,31 @@ class ByteCnn:
         return best, np.minimum(1.0, p[np.arange(len(p)), best]), rejected
 
 
-def junk(pieces: list[bytes], n: int = JUNK_WINDOWS, seed: int = 5) -> list[bytes]:
+def foreign_scripts(known: DataFrame) -> list[tuple[int, int]]:
+    """SCRIPTS that at most one in 200 of the distinct texts use: with ten letters, and one in 25."""
+
+    def uses(low: int, high: int) -> Column:
+        letters = F.regexp_count("text", F.lit(f"[{chr(low)}-{chr(high)}]"))
+        return F.when((letters >= 10) & (letters * 25 >= F.length("text")), 1).otherwise(0)
+
+    # Most texts hold no letter of any of them, and are read once.
+    some = F.col("text").rlike(f"[{chr(SCRIPTS[0][0])}-{chr(SCRIPTS[-1][1])}]")
+    flags = [F.when(some, uses(*s)).otherwise(0).alias(f"s{k}") for k, s in enumerate(SCRIPTS)]
+    names = [f"s{k}" for k in range(len(SCRIPTS))]
+    texts = known.select("lang", "h", *flags).groupBy("lang", "h").agg(*[F.max(s).alias(s) for s in names])
+    found = texts.agg(F.count("*").alias("n"), *[F.sum(s).alias(s) for s in names]).first()
+    return [s for s, name in zip(SCRIPTS, names, strict=True) if (found[name] or 0) <= found["n"] // 200]
+
+
+def junk(scripts: list[tuple[int, int]], n: int = JUNK_WINDOWS, seed: int = 5) -> list[bytes]:
     """Windows of no language: digits, hashes, keys, marks and random letters, alone and mixed,
-    and letters of scripts that hardly any of the labelled ``pieces`` use."""
+    and letters of ``scripts`` that labelled texts do not use."""
     rng = np.random.default_rng(seed)
     digits, marks = list("0123456789"), list("!\"#$%&'()*+,-./:;<=>?@[]^_{|}~")
     small = list("abcdefghijklmnopqrstuvwxyz")
     alphabets = [(digits, 3), (digits + small[:6], 3), (small + [c.upper() for c in small] + digits + list("+/_-"), 3), (marks, 2), (digits + marks, 2), (small, 1)]
-    texts = [t.decode(errors="ignore") for t in pieces]
-    for low, high in SCRIPTS:
-        if sum(sum(low <= ord(c) <= high for c in t) >= 10 for t in texts) <= len(texts) // 200:
-            alphabets.append(([chr(low + int(k)) for k in rng.integers(0, high - low + 1, 200)], 1))
+    for low, high in scripts:
+        alphabets.append(([chr(low + int(k)) for k in rng.integers(0, high - low + 1, 200)], 1))
     weight = np.array([w for _, w in alphabets], float)
     out = []
     for _ in range(n):
@@ -226,11 +262,113 @@ def train(texts: list[bytes], labels: list[str], seed: int = 4) -> ByteCnn | Non
     return ByteCnn(languages, p["E"], [p[f"F{w}"] for w in WIDTHS], p["b"], p["W"], p["c"])
 
 
-def labelled_texts(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, lang): of each language the ``docs_per_lang`` distinct texts of smallest hash, from
-    rows where ``use`` holds, lang is known and the text has a letter; copies count once."""
+class Learner:
+    """Steps of Adam from a network on, by the gradient of weighted windows."""
+
+    def __init__(self, model: ByteCnn):
+        self.model = replace(model, embedding=model.embedding.copy(), filters=[f.copy() for f in model.filters], bias=model.bias.copy(), weights=model.weights.copy(), offset=model.offset.copy(), _tables=None)
+        self.m1, self.m2 = ([np.zeros_like(p) for p in parameters(model)] for _ in range(2))
+        self.steps = 0
+
+    def gradient(self, codes: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        model = self.model
+        places = np.empty((len(codes), FILTERS * len(WIDTHS)), np.int64)
+        raw = model.pooled(codes, places)
+        h = np.maximum(raw, 0)
+        gl = model.softmax(h)
+        gl[np.arange(len(codes)), target] -= 1
+        gl *= (weight / weight.sum())[:, None]
+        gh = (gl @ model.weights.T) * (raw > 0)
+        ge, gf = np.zeros_like(model.embedding), [np.zeros_like(f) for f in model.filters]
+        rows, nth = np.arange(len(codes))[:, None], np.arange(FILTERS)
+        for i, f in enumerate(model.filters):
+            mine = slice(i * FILTERS, (i + 1) * FILTERS)
+            for k in range(len(f)):
+                code = codes[rows, np.minimum(places[:, mine] + k, WINDOW - 1)].astype(np.int64)
+                by_code = np.bincount((code * FILTERS + nth).ravel(), gh[:, mine].ravel(), CODES * FILTERS).reshape(CODES, FILTERS)
+                gf[i][k] = model.embedding.T @ by_code
+                ge += by_code @ f[k].T
+        return [ge, *gf, gh.sum(0), h.T @ gl, gl.sum(0)]
+
+    def step(self, codes: np.ndarray, target: np.ndarray, weight: np.ndarray) -> None:
+        self.steps += 1
+        for p, g, m1, m2 in zip(parameters(self.model), self.gradient(codes, target, weight), self.m1, self.m2, strict=True):
+            m1 += 0.1 * (g - m1)
+            m2 += 0.001 * (g**2 - m2)
+            p -= ALL_RATE * (m1 / (1 - 0.9**self.steps)) / (np.sqrt(m2 / (1 - 0.999**self.steps)) + 1e-8)
+        self.model._tables = None
+
+
+def parameters(model: ByteCnn) -> list[np.ndarray]:
+    return [model.embedding, *model.filters, model.bias, model.weights, model.offset]
+
+
+def refine(known: DataFrame, model: ByteCnn, more: list[bytes]) -> ByteCnn:
+    """The mean of the networks that tasks train from ``model`` on, over all windows of the distinct
+    texts of ``known`` (text, lang, h) and as large a share of ``more``, windows of UNKNOWN, as one language has."""
+    size = F.ceil(F.octet_length("text") / WINDOW).alias("size")
+    sizes = known.select("lang", "h", size).groupBy("lang", "h").agg(F.max("size").alias("size")).groupBy("lang").agg(F.sum("size").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
+    mean = sum(sizes.values()) / len(sizes)
+    names = [x for x in model.languages if x in sizes]
+    weights = np.array([min(MOST_WEIGHT, mean / sizes.get(x, mean)) for x in model.languages], np.float32)
+    n_more = -(-ALL_BATCH // len(model.languages)) if more else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, seen = Learner(model), 0
+        rng = np.random.default_rng((6, TaskContext.get().partitionId()))
+        extra = to_windows(np.frombuffer(b"".join(more), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in more])]).astype(np.int64))[0]
+        class_of = {x: k for k, x in enumerate(model.languages)}
+
+        def learn(codes: np.ndarray, target: np.ndarray, held: np.ndarray) -> None:
+            again = rng.choice(len(codes), int(np.ceil(len(codes) * CUT_SHARE)))
+            cut = codes[again]
+            cut[np.arange(WINDOW)[None, :] >= np.maximum(4, np.ceil(held[again] * rng.random(len(again)) ** 2))[:, None]] = 0
+            parts, classes = [codes, cut], [target, target[again]]
+            if n_more:
+                parts.append(extra[rng.choice(len(extra), n_more)])
+                classes.append(np.full(n_more, class_of[UNKNOWN]))
+            classes = np.concatenate(classes)
+            learner.step(np.concatenate(parts), classes, weights[classes])
+
+        held = []
+        for batch in batches:
+            for part in sliced(batch, "text", SLICE_BYTES):
+                codes, owner, size = to_windows(*text_buffer(part.column("text")))
+                target = np.array([class_of[x] for x in part.column("lang").to_pylist()])[owner]
+                # Windows of all texts of a part in any order, so that a step has texts of several languages.
+                mixed = rng.permutation(len(codes))
+                held = [np.concatenate(x) for x in zip(held, (codes[mixed], target[mixed], size[mixed]), strict=True)] if held else [codes[mixed], target[mixed], size[mixed]]
+                whole = len(held[0]) // ALL_BATCH * ALL_BATCH
+                for at in range(0, whole, ALL_BATCH):
+                    learn(*(x[at : at + ALL_BATCH] for x in held))
+                seen += len(codes)
+                held = [x[whole:] for x in held]
+        if held and len(held[0]):
+            learn(*held)
+        if seen:
+            found = b"".join(p.astype(np.float32).tobytes() for p in parameters(learner.model))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seen]), pa.array([found], pa.binary())], ["part", "n", "found"])
+
+    texts = known.where(F.col("lang").isin(names)).dropDuplicates(["h", "text", "lang"]).sortWithinPartitions("h", "lang", "text")
+    rows = sorted(texts.select("text", "lang").mapInArrow(run, "part int, n long, found binary").collect())
+    learned = sum(np.frombuffer(r["found"], np.float32).astype(float) * r["n"] for r in rows) / sum(r["n"] for r in rows)
+    shapes = [p.shape for p in parameters(model)]
+    parts = np.split(learned.astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+    e, *filters, b, w, c = (p.reshape(s) for p, s in zip(parts, shapes, strict=True))
+    return ByteCnn(model.languages, e, filters, b, w, c, model.limit)
+
+
+def labelled(docs: DataFrame, use: Column) -> DataFrame:
+    """(text, lang, h, a hash of the text) of rows where ``use`` holds, lang is known and the text has a letter."""
     known = docs.where(use & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = known.select("text", "lang", F.xxhash64("text", F.lit("sample")).alias("h"))
+    return known.select("text", "lang", F.xxhash64("text", F.lit("sample")).alias("h"))
+
+
+def labelled_texts(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS) -> DataFrame:
+    """(text, lang): of each language the ``docs_per_lang`` distinct ``labelled`` texts of smallest
+    hash; copies count once."""
+    known = labelled(docs, use)
     counts = {r["lang"]: r["count"] for r in known.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not counts:
         return known.select("text", "lang")
@@ -244,7 +382,7 @@ def labelled_texts(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOC
 
 
 def labelled_windows(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> DataFrame:
-    """(piece, lang): the bounded training sample, windows of the ``labelled_texts``."""
+    """(piece, lang): the bounded sample for the start, windows of the ``labelled_texts``."""
     chosen = labelled_texts(docs, use, docs_per_lang)
     place = F.pmod(F.xxhash64("text", "nth"), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
     pieces = chosen.withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(windows))))
@@ -252,16 +390,20 @@ def labelled_windows(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_D
 
 
 def fit(docs: DataFrame, use: Column, docs_per_lang: int = SAMPLE_DOCS, reject: bool = False) -> ByteCnn | None:
-    """The network of the labelled sample; with ``reject`` it has UNKNOWN as a class, and a limit."""
+    """The network of all labelled texts, started on a sample; with ``reject`` it has UNKNOWN as a
+    class, and a limit."""
     rows = sorted(map(tuple, labelled_windows(docs, use, docs_per_lang).collect()))
     pieces, labels = [r[0].encode()[:WINDOW] for r in rows], [r[1] for r in rows]
-    if not reject or not rows:
-        return train(pieces, labels)
-    more = junk(pieces)
-    model = train(pieces + more, labels + [UNKNOWN] * len(more))
-    rejected = judged(F.col("text"), model)["rejected"]
-    sample = labelled_texts(docs, use, docs_per_lang).select(rejected.alias("rejected"))
-    most = sample.agg(F.percentile_approx("rejected", 1 - FALSE_REJECT, 100_000)).first()[0]
+    if not rows:
+        return None
+    known = labelled(docs, use)
+    if not reject:
+        return refine(known, train(pieces, labels), [])
+    more = junk(foreign_scripts(known))
+    model = refine(known, train(pieces + more, labels + [UNKNOWN] * len(more)), more)
+    rejected = judged(F.col("text"), model)["rejected"].alias("rejected")
+    every = known.select("lang", "h", rejected).groupBy("lang", "h").agg(F.max("rejected").alias("rejected"))
+    most = every.agg(F.percentile_approx("rejected", 1 - FALSE_REJECT, 100_000)).first()[0]
     # A little more, since sums of floats depend on what else is in a batch.
     return replace(model, limit=min(1.0, max(LEAST_LIMIT, most + 1e-4)))
 

@@ -1,6 +1,7 @@
 """URL language models and language identification."""
 
 import json
+import random
 import re
 import zlib
 from dataclasses import replace
@@ -168,6 +169,49 @@ def test_the_sample_is_bounded_and_avoids_held_out_rows(spark):
     assert json.dumps([list(r) for r in sorted(rows)]) == json.dumps([list(r) for r in sorted(langid.labelled_windows(docs.repartition(3), use, docs_per_lang=20).collect())])
 
 
+def test_gradients_equal_small_differences():
+    model = toy_model()
+    model = replace(model, embedding=model.embedding.astype(np.float64), filters=[f.astype(np.float64) for f in model.filters])
+    codes = langid.to_windows(np.frombuffer(("the ñe 1 and " * 60).encode(), np.uint8), np.array([0, 300, 840]))[0]
+    target, weight = np.arange(len(codes)) % 2, np.linspace(1, 2, len(codes))
+
+    def loss(learner):
+        learner.model._tables = None
+        p = learner.model.probabilities(codes)[np.arange(len(codes)), target]
+        return -(np.log(p) * weight).sum() / weight.sum()
+
+    learner = langid.Learner(model)
+    gradients = learner.gradient(codes, target, weight)
+    for p, g in zip(langid.parameters(learner.model), gradients, strict=True):
+        assert p.shape == g.shape
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, by = p[at], 3e-3
+        p[at] = kept + by
+        more = loss(learner)
+        p[at] = kept - by
+        less = loss(learner)
+        p[at] = kept
+        assert np.isclose((more - less) / (2 * by), g[at], rtol=0.1, atol=2e-3)
+    before = loss(learner)
+    for _ in range(30):
+        learner.step(codes, target, weight)
+    assert loss(learner) < before
+
+
+def test_every_labelled_text_is_learned_and_calibrates(spark):
+    """Texts beyond the sample change the network and the limit; their copies do not, nor do rows that are not in use."""
+    words = {"aa": ["the", "and", "thing", "ion"], "bb": ["que", "nos", "cion", "del"]}
+    rng = random.Random(3)
+    rows = [(lang, " ".join(rng.choices(w, k=60)), True) for lang, w in words.items() for _ in range(40)]
+    fit = lambda rows: langid.fit(spark.createDataFrame(rows, "lang string, text string, use boolean").coalesce(1), F.col("use"), docs_per_lang=6, reject=True)
+    sample = lambda rows: sorted(map(tuple, langid.labelled_windows(spark.createDataFrame(rows, "lang string, text string, use boolean"), F.col("use"), 6).collect()))
+    more = next(extra for i in range(99) if sample(rows + (extra := [("aa", f"{i} " + "0f3a9c 77e1b2 " * 30, True)])) == sample(rows))
+    plain, other = fit(rows), fit(rows + more)
+    assert not np.array_equal(plain.weights, other.weights) and other.limit > plain.limit
+    again = fit(rows + rows[:9] + [("aa", "del que nos " * 30, False), (None, "del que " * 30, True)])
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(langid.parameters(plain), langid.parameters(again), strict=True))
+
+
 def test_junk_is_rejected_and_the_limit_decides(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     use = ~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
