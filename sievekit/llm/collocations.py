@@ -16,8 +16,13 @@ two words share one (else the seed changes), so counts are exact. If the words t
 to be in a phrase are at most ``CODES``, grams hold their 21-bit codes instead (a broadcast of at most 16 MB),
 and other words, which no phrase can hold, end a run of words as a mark does. Then pairs of words are
 counted first, the edges of the graph whose nodes are words; if those that occur often enough are at most
-``CODES``, any other ends a run as well, and only grams of three words and more are left to count. No
-phrase that counts is cut by that, so all forms give the same rows.
+``CODES``, any other ends a run as well, and only grams of three words and more are left to count. Most
+of them are still seldom, and the more the table grows the more pairs join into such. So they are counted
+by hash first (``often_slots``): each task counts into one array of slots, the sums over tasks say
+which slots occur often enough, and a gram ends where it would fall into another. The slots grow with
+the occurrences of the pairs, up to 2^``MOST_SLOTS`` (a broadcast of 16 MB); beyond that more seldom grams
+share a slot with others and are counted for nothing. No phrase that counts is cut by any of that, so
+all forms give the same rows. What a task hands on are then little more than the phrases that count.
 
 Compacting. Where all flow of a phrase runs along one edge to a longer phrase, the two are one unary
 path and the shorter is absorbed: it lies inside a longer candidate that occurs as often. One more
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import cut, mix64, shuffles_dropped, sliced, text_buffer, token_hashes, word_spans
+from sievekit.llm.common import bound_batches, cut, mix64, shuffles_dropped, sliced, text_buffer, token_hashes, word_spans
 
 LONGEST = 5
 LEAST = 100  # occurrences of a candidate
@@ -48,6 +53,10 @@ CODES = (1 << CODE_BITS) - 1
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
 HELD_GRAMS = 1 << 20  # grams a task holds before it sums equal ones
+SPARE = 24  # slots for as many occurrences as make a phrase count
+LEAST_SLOTS, MOST_SLOTS = 12, 27  # as powers of two
+BLOCKS = 256  # parts in which the tasks' slots are added
+FULL = 255  # a slot counts up to it
 
 _u = np.uint64
 _STOP, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -211,10 +220,87 @@ class Pairs:
         return np.where(last | (word == 0) | (follows == 0), 0, (word << _u(CODE_BITS)) | follows).astype(_u)
 
 
-def edges(docs: DataFrame, form: type, codes, pairs, seed: int) -> DataFrame:
+def _coded(batches: Iterator[pa.RecordBatch], seed: int, codes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, last) slice by slice; a word is its code, or 0 without one, if there are codes, else its key."""
+    for *_, last, word in _tokens(batches, seed):
+        if codes is not None:
+            at, there = within(codes.value, word)
+            word = np.where(there, at + 1, 0).astype(_u)
+        yield word, last
+
+
+def linked_grams(word: np.ndarray, last: np.ndarray, pairs: np.ndarray) -> list[np.ndarray]:
+    """The longest grams of three words and more whose pairs are all known."""
+    words = longest_grams(word, ~within(pairs, Pairs.of(word, last))[1])
+    long = words[2] > 0
+    return [w[long] for w in words]
+
+
+def slots_of(words: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """The slots, out of 2^bits, of the first three, four and five words of each gram."""
+    names = [mix64(Packed.pack(words)[0].view(_u))]
+    for w in words[3:]:
+        names.append(mix64(names[-1] ^ w))
+    return [(name >> _u(64 - bits)).astype(np.int64) for name in names]
+
+
+def often_slots(docs: DataFrame, codes, pairs, seed: int, least: int, bits: int) -> np.ndarray:
+    """A packed bit for each of 2^bits slots: whether its grams of three linked words and more occur
+    ``least`` times together. A gram that does has its bit; a seldom one may share a slot with others.
+
+    A task hands on its slots in ``BLOCKS`` rows of a byte for each slot, however many grams it has read;
+    sums stop at ``FULL``, where a slot counts as often enough for any ``least``. A task holds
+    2^``MOST_SLOTS`` bytes at most, the driver an eighth of that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, np.uint8)
+        for word, last in _coded(batches, seed, codes):
+            words = linked_grams(word, last, pairs.value)
+            whole = [slot[w > 0] for slot, w in zip(slots_of(words, bits), words[2:], strict=True)]
+            slot, n = np.unique(np.concatenate(whole), return_counts=True)
+            seen[slot] = np.minimum(seen[slot] + n, FULL)
+        for block, part in enumerate(seen.reshape(BLOCKS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()])], ["block", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("seen"), strict=True):
+                more = total.get(block, np.uint16(0)) + np.frombuffer(part.as_buffer(), np.uint8)
+                total[block] = np.minimum(more, FULL).astype(np.uint16)
+        for block, n in total.items():
+            bit = np.packbits(n >= min(least, FULL), bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bit])], ["block", "often"])
+
+    parts = _texts(docs).mapInArrow(run, "block int, seen binary").repartition("block")
+    often = np.zeros((BLOCKS, (1 << bits) // BLOCKS // 8), np.uint8)
+    for r in parts.mapInArrow(add, "block int, often binary").collect():
+        often[r["block"]] = np.frombuffer(r["often"], np.uint8)
+    return often.ravel()
+
+
+def cut_at_slots(words: list[np.ndarray], often: np.ndarray) -> list[np.ndarray]:
+    """Linked grams, each ended where a gram within it isn't in a slot that is often enough; those of two words left out."""
+
+    def after(there: np.ndarray) -> np.ndarray:
+        # A gram of four words and more is followed by the one that begins with its second word.
+        return np.concatenate([there, np.zeros(1, bool)])[1:]
+
+    bits = (8 * len(often)).bit_length() - 1
+    three, four, five = (((often[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0) & (w > 0) for slot, w in zip(slots_of(words, bits), words[2:], strict=True))
+    to_fourth = three & four & after(three)
+    to_fifth = to_fourth & five & after(four)
+    ended = [*words[:3], np.where(to_fourth, words[3], 0).astype(_u), np.where(to_fifth, words[4], 0).astype(_u)]
+    return [w[three] for w in ended]
+
+
+def edges(docs: DataFrame, form: type, codes, pairs, seed: int, often=None) -> DataFrame:
     """The grams of all texts in a form, summed within tasks; ``codes`` has the sorted keys of
     words that have codes (a broadcast of at most ``CODES`` longs), ``pairs`` the sorted pairs that
-    occur often enough (as many at most). Either may be None."""
+    occur often enough (as many at most), ``often`` the bits of ``often_slots``, for longer grams of
+    such pairs. Any may be None."""
 
     def grams_of(word: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
         if form is Pairs:
@@ -223,16 +309,12 @@ def edges(docs: DataFrame, form: type, codes, pairs, seed: int) -> DataFrame:
         if pairs is None:
             return form.pack(longest_grams(word, last))
         # Words and pairs have their counts; only longer grams are left.
-        words = longest_grams(word, ~within(pairs.value, Pairs.of(word, last))[1])
-        long = words[2] > 0
-        return form.pack([w[long] for w in words])
+        words = linked_grams(word, last, pairs.value)
+        return form.pack(words if often is None else cut_at_slots(words, often.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for *_, last, word in _tokens(batches, seed):
-            if codes is not None:
-                at, there = within(codes.value, word)
-                word = np.where(there, at + 1, 0).astype(_u)
+        for word, last in _coded(batches, seed, codes):
             grams = grams_of(word, last)
             held.append((grams, np.ones(len(grams[0]), np.int64)))
             size += len(grams[0])
@@ -279,15 +361,20 @@ def _broadcast(spark: SparkSession, values: DataFrame, most: int):
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most_codes: int = CODES) -> tuple[DataFrame, DataFrame]:
     """(words (array of keys), f) of all phrases that occur ``least`` times, and the vocabulary. Cuts the lineage."""
-    words, seed = vocabulary(docs)
     spark = docs.sparkSession
+    bound_batches(spark)
+    words, seed = vocabulary(docs)
     often = words.where(F.col("n") >= least)
-    codes, pairs, form = _broadcast(spark, often.select("key"), most_codes), None, Wide
+    codes, pairs, slots, form = _broadcast(spark, often.select("key"), most_codes), None, None, Wide
     if codes is not None:
         form = Packed
         linked = edges(docs, Pairs, codes, None, seed).groupBy("pair").agg(F.sum("f").alias("f"))
         linked = cut(linked.where(F.col("f") >= least))
         pairs = _broadcast(spark, linked.select("pair"), most_codes)
+    if pairs is not None:
+        wanted = SPARE * (linked.agg(F.sum("f")).first()[0] or 0) // least
+        bits = min(max(wanted.bit_length(), LEAST_SLOTS), MOST_SLOTS)
+        slots = spark.sparkContext.broadcast(often_slots(docs, codes, pairs, seed, least, bits))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +387,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_codes: int = CODE
             yield pa.RecordBatch.from_arrays([lists, batch.column("f")], ["words", "f"])
 
     shortest = 1 if pairs is None else 3
-    found = counted(edges(docs, form, codes, pairs, seed), form, least, shortest).mapInArrow(named, "words array<long>, f long")
+    found = counted(edges(docs, form, codes, pairs, seed, slots), form, least, shortest).mapInArrow(named, "words array<long>, f long")
     if pairs is not None:
         head, level = F.shiftleft("pair", CODE_BITS), F.lit(2).alias("level")
         two = linked.select(head.alias("head"), F.lit(0).alias("fourth"), F.lit(0).alias("fifth"), level, "f")

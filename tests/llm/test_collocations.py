@@ -79,6 +79,34 @@ def test_tasks_that_sum_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(rows, 100, 2000)
 
 
+def grams_counted(monkeypatch):
+    """The numbers of grams that go into the counts from here on."""
+    seen, counted = [], C.counted
+    monkeypatch.setattr(C, "counted", lambda grams, *rest: seen.append(grams.count()) or counted(grams, *rest))
+    return seen
+
+
+def test_seldom_triples_of_frequent_pairs_are_not_counted(spark, monkeypatch):
+    # 400 pairs occur about 25 times each, their 8,000 triples about once; one phrase occurs 20 times.
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices([f"w{k}" for k in range(20)], k=100)), "en") for _ in range(100)] + [("w1 w2 w3 w4 w5 w6", "en")] * 20
+    seen = grams_counted(monkeypatch)
+    got = C.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(4), 12)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 12, 2000)
+    # At least the phrase's grams of three words and more in each of the tasks; before, nearly all 10,000 words.
+    assert 4 <= seen[0] < 2_000
+
+
+@pytest.mark.parametrize("least", [4, 300])
+def test_grams_that_share_slots(spark, monkeypatch, least):
+    # 2,048 slots hold more than one gram each, and 300 is more than a slot counts to.
+    monkeypatch.setattr(C, "LEAST_SLOTS", 11)
+    monkeypatch.setattr(C, "MOST_SLOTS", 11)
+    rows = corpus() + [("the end of a and the end of the. the end", "en")] * 310
+    got = C.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3), least)
+    assert sorted(map(tuple, got.collect())) == brute(rows, least, 2000)
+
+
 def test_products_beyond_64_bits(spark):
     row = spark.sql("SELECT (1000 * cast(9000000000000000 AS decimal(38,0)) * 9000000000000001L) div (cast(8999999999999999L AS decimal(38,0)) * 9000000000000000L) AS s").first()
     assert row["s"] == 1000 * 9000000000000000 * 9000000000000001 // (8999999999999999 * 9000000000000000)
