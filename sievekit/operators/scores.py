@@ -10,14 +10,20 @@ Scores of one unit may also come as an array, one element per label. Softmax and
 the best label then stay inside the row, and the token chain shuffles only tokens
 that have a label: once by (content, range of tokens) to fold runs, and the runs at
 the edges of ranges once more to stitch them.
+
+All tokens of one content may come in its row, too: ``starts``, ``ends`` and ``logits`` (one element
+for each token and label). The whole token chain then stays in the row, in time linear in its text.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values from the reference: the seven risks of the guardian model and
 # its answer words; top-k of 20 candidates per generation step.
@@ -154,7 +160,14 @@ def best_labels(tokens: DataFrame, logits: Column, limits: Column, labels: list[
     ``prob`` of the likeliest one, the first on ties. ``logits`` and ``limits`` are arrays.
 
     Each step is a projection over scalars, which Spark compiles and computes once per row.
+
+    ``tokens`` with all tokens of a content in its row (arrays ``starts`` and ``ends``, ``logits`` with one
+    element for each token and label) get an array ``best`` of their labelled tokens instead; there,
+    tokens with offsets (0, 0) are special tokens and skipped.
     """
+    if "starts" in tokens.columns:
+        every = [c for c in tokens.columns if c not in ("starts", "ends", "logits")]
+        return tokens.select(*every, _best_in_row(labels)("starts", "ends", logits, limits).alias("best"))
     every, n = tokens.columns, range(len(labels))
     step = tokens.select(*every, logits.alias("_l"), limits.alias("_limits")).select("*", F.array_max("_l").alias("_m"))
     step = step.select(*every, "_limits", *[F.exp(F.col("_l")[i] - F.col("_m")).alias(f"_e{i}") for i in n])
@@ -169,6 +182,78 @@ def best_labels(tokens: DataFrame, logits: Column, limits: Column, labels: list[
     return step.select(*every, kept.alias("_b")).where(F.col("_b").isNotNull()).select(*every, "_b.label", "_b.prob")
 
 
+def _list_of(**kinds: type) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(name, kind()) for name, kind in kinds.items()]))
+
+
+BEST_TOKENS = _list_of(token_idx=T.IntegerType, char_start=T.IntegerType, char_end=T.IntegerType, label=T.StringType, prob=T.DoubleType)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of strings, and where each string starts in them (and the last ends); null as empty."""
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _row_ends(lists: pa.Array) -> np.ndarray:
+    """Where the elements of each list start in all of them (and the last ends); a null list has none."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+
+
+def _best_in_row(labels: list[str]):
+    @F.arrow_udf(BEST_TOKENS)
+    def best(starts: pa.Array, ends: pa.Array, logits: pa.Array, limits: pa.Array) -> pa.Array:
+        rows, none = _row_ends(starts), ~starts.is_valid().to_numpy(zero_copy_only=False)
+        start, end = starts.flatten().to_numpy(), ends.flatten().to_numpy()
+        powers = np.ascontiguousarray(logits.flatten().to_numpy().reshape(-1, len(labels)).T)
+        powers = np.exp(powers - powers.max(axis=0))
+        share = powers / powers.sum(axis=0)
+        least = limits.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(labels)).T  # NaN where a label is safe
+        share = np.where(share >= np.repeat(least, np.diff(rows), axis=1), share, -1.0)
+        first = share.argmax(axis=0)
+        prob = share[first, np.arange(len(first))]
+        kept = np.flatnonzero((prob >= 0) & ~((start == 0) & (end == 0)))
+        idx = kept - np.repeat(rows[:-1], np.diff(rows))[kept]
+        found = [pa.array(idx.astype(np.int32)), pa.array(start[kept]), pa.array(end[kept]), pa.array(labels).take(pa.array(first[kept])), pa.array(prob[kept])]
+        offsets = pa.array(np.searchsorted(kept, rows).astype(np.int32), mask=np.append(none, False))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(found, names=["token_idx", "char_start", "char_end", "label", "prob"]))
+
+    return best
+
+
+SPANS_IN_ROW = _list_of(first_token=T.IntegerType, start=T.IntegerType, end=T.IntegerType, text=T.StringType, label=T.StringType, score=T.DoubleType)
+
+
+@F.arrow_udf(SPANS_IN_ROW)
+def _spans_in_row(texts: pa.Array, best: pa.Array) -> pa.Array:
+    """Runs of adjacent tokens of one label, in token order within each row, with the slices of its text."""
+    rows, tokens = _row_ends(best), best.flatten()
+    token, start, end, prob = (tokens.field(c).to_numpy() for c in ("token_idx", "char_start", "char_end", "prob"))
+    code = tokens.field("label").dictionary_encode().indices.to_numpy()
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1] + 1) | (code[1:] != code[:-1])
+    new[rows[:-1][np.diff(rows) > 0]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(token))[: len(first)] - 1
+    total = np.add.reduceat(prob, first) if len(first) else prob
+    runs = np.searchsorted(first, rows)
+    # Code points of all texts, so that a slice is two look-ups and not a walk from the start of its text.
+    data, at = text_bytes(texts)
+    points = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    base = np.repeat(np.searchsorted(points, at[:-1]), np.diff(runs))
+    beyond = np.repeat(np.searchsorted(points, at[1:]), np.diff(runs))
+    cut = [points[np.clip(base + x, base, beyond)] for x in (start[first], end[last])]
+    size = np.maximum(cut[1] - cut[0], 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    cut_bytes = data[np.repeat(cut[0] - ends[:-1], size) + np.arange(ends[-1])]
+    text = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cut_bytes))
+    found = [pa.array(token[first]), pa.array(start[first]), pa.array(end[last]), text, tokens.field("label").take(pa.array(first)), pa.array(total / (last - first + 1))]
+    return pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), pa.StructArray.from_arrays(found, names=["first_token", "start", "end", "text", "label", "score"]))
+
+
 # A run's state: what two neighbouring runs of one label need to become one.
 RUN_CHUNK = 1024
 
@@ -205,12 +290,20 @@ def token_runs(best: DataFrame, chunk: int = RUN_CHUNK) -> DataFrame:
     return runs.where(~at_edge).unionByName(stitched)
 
 
-def token_span_merge(best: DataFrame, texts: DataFrame, text_col: str = "text", problem_type: str | None = None, chunk: int = RUN_CHUNK) -> DataFrame:
+def token_span_merge(best: DataFrame, texts: DataFrame | None = None, text_col: str = "text", problem_type: str | None = None, chunk: int = RUN_CHUNK) -> DataFrame:
     """M5: one detection for each run of adjacent tokens with the same label.
 
     span = first start .. last end, score = mean prob, text = that slice of the content in
     ``texts`` (content_id and ``text_col``), whatever the tokenizer.
+
+    ``best`` may also have an array ``best`` of a content's labelled tokens, in order, and its ``text_col``, with
+    one row per content: runs and slices are then made in the row, without a shuffle.
     """
+    if "best" in best.columns:
+        spans = best.where(F.col("content_id").isNotNull()).select("content_id", F.inline_outer(_spans_in_row(text_col, "best")))
+        return spans.where(F.col("first_token").isNotNull()).select(
+            "content_id", "first_token", "start", "end", "text", F.lit(problem_type or "detection").alias("detection"), F.col("label").alias("detection_type"), "score"
+        )
     text = texts.select("content_id", F.col(text_col).alias("_t"))
     spans = token_runs(best, chunk).join(text, "content_id")
     return spans.select(

@@ -8,13 +8,17 @@ Whole texts are hashed (never prefixes).
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievekit.operators.scores import RISK_NAMES
+from sievekit.operators.scores import RISK_NAMES, text_bytes
 from sievekit.schema import posexploded
 from sievekit.session import bound_batches
 from sievekit.sources.tables import table
@@ -107,6 +111,147 @@ def token_logits_array(token: Column) -> Column:
     return F.array(*[md5_logit(F.concat(token, F.lit(f"#{i}"))) for i in range(len(TOKEN_LABELS))])
 
 
+# Hashes of many short units at once: MD5 of one block each, as arithmetic on whole columns of words.
+MD5_AT_ONCE, MD5_BLOCK, MD5_ROOM = 1 << 15, 64, 55
+_TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_STATE = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def _md5_first_words(words: list) -> np.ndarray:
+    """First 32 bits of the MD5 of messages of one padded block each; ``words`` has its 16 words, a
+    column each, None where all are 0. What the last three rounds change is not in these bits."""
+    a, b, c, d = (np.full(len(words[14]), x) for x in _STATE)
+    f, r = np.empty_like(a), np.empty_like(a)
+    for i in range(61):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            word = words[i]
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            word = words[(5 * i + 1) % 16]
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            word = words[(3 * i + 5) % 16]
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            word = words[7 * i % 16]
+        f += a
+        f += _SINES[i]
+        if word is not None:
+            f += word
+        np.right_shift(f, np.uint32(32 - _TURNS[i]), out=r)
+        f <<= np.uint32(_TURNS[i])
+        f |= r
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return b + _STATE[0]
+
+
+def md5_logits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_labels: int) -> np.ndarray:
+    """``md5_logit`` of each unit ``data[start:end]`` (bytes) with ``#0``, ``#1``, ... behind it, a row for
+    each unit. Units too long for a block are hashed one at a time."""
+    lengths, digits = ends - starts, [str(i).encode() for i in range(n_labels)]
+    out = np.empty((n_labels, len(starts)))
+    short = lengths + 1 + len(digits[-1]) <= MD5_ROOM
+    for i in np.flatnonzero(~short):
+        unit = hashlib.md5(data[starts[i] : ends[i]].tobytes() + b"#", usedforsecurity=False)
+        for k, digit in enumerate(digits):
+            whole = unit.copy()
+            whole.update(digit)
+            out[k, i] = int(whole.hexdigest()[:4], 16)
+    rows = np.flatnonzero(short)
+    for at in range(0, len(rows), MD5_AT_ONCE):
+        some = rows[at : at + MD5_AT_ONCE]
+        start, n, every = starts[some], lengths[some], np.arange(len(some))
+        block = np.zeros((MD5_BLOCK // 4, len(some)), "<u4")  # a word of all units is one row
+        flat = block.view(np.uint8).reshape(-1)
+
+        def put(places, which, byte, flat=flat, width=len(some)):
+            flat[(places // 4 * width + which) * 4 + places % 4] = byte
+
+        for j in range(int(n.max())):
+            has = np.flatnonzero(n > j)
+            put(j, has, data[start[has] + j])
+        put(n, every, ord("#"))
+        top = (int(n.max()) + 1 + len(digits[-1])) // 4
+        words = [w if i <= top or i == 14 else None for i, w in enumerate(block)]
+        before = b""
+        for digit in digits:
+            for j, byte in enumerate(digit + b"\x80"):
+                if before[j : j + 1] != bytes([byte]):
+                    put(n + 1 + j, every, byte)
+            block[14], before = 8 * (n + 1 + len(digit)), digit + b"\x80"
+            first = _md5_first_words(words)
+            out[int(digit), some] = (first & 0xFF) << 8 | (first >> 8) & 0xFF
+    return out.T / 65535.0 * 8.0 - 4.0
+
+
+TOKEN_SCORES = T.StructType(
+    [
+        T.StructField("starts", T.ArrayType(T.IntegerType())),
+        T.StructField("ends", T.ArrayType(T.IntegerType())),
+        T.StructField("logits", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+SLICE_BYTES = 1 << 19
+
+
+def row_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Whole rows, about ``SLICE_BYTES`` of text at a time: scores take ten times the room of their text."""
+    at, row = text_bytes(texts)[1], 0
+    while row < len(texts):
+        to = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, side="right")) - 1)
+        yield texts.slice(row, to - row)
+        row = to
+
+
+@F.arrow_udf(TOKEN_SCORES)
+def _token_scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield from map(scores_of_texts, row_slices(batch))
+
+
+def scores_of_texts(texts: pa.Array) -> pa.Array:
+    """What a tokenizer and a model give for whole texts: offsets of the tokens of each, and their logits in one array."""
+    valid = texts.is_valid().to_numpy(zero_copy_only=False)
+    data, at = text_bytes(texts)
+    blanks = np.flatnonzero(data == ord(" "))
+    counts = np.where(valid, np.diff(np.searchsorted(blanks, at)) + 1, 0)
+    rows = np.concatenate([[0], np.cumsum(counts)])
+    # A token starts where its text does or behind a blank, and ends at a blank or with its text.
+    is_first, is_last = np.zeros(rows[-1], bool), np.zeros(rows[-1], bool)
+    is_first[rows[:-1][valid]], is_last[rows[1:][valid] - 1] = True, True
+    starts, ends = np.empty(rows[-1], np.int64), np.empty(rows[-1], np.int64)
+    starts[is_first], starts[~is_first] = at[:-1][valid], blanks + 1
+    ends[is_last], ends[~is_last] = at[1:][valid], blanks
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    before = np.repeat(points[at[:-1]], counts)
+    logits = md5_logits(data, starts, ends, len(TOKEN_LABELS))
+
+    def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(~valid, False)), pa.array(values))
+
+    parts = [lists(rows, (points[x] - before).astype(np.int32)) for x in (starts, ends)] + [lists(rows * len(TOKEN_LABELS), logits.ravel())]
+    return pa.StructArray.from_arrays(parts, names=["starts", "ends", "logits"])
+
+
+def token_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``tokens`` and ``token_logits_array`` with one row per content: ``starts``, ``ends`` and ``logits`` (one element
+    for each token and label) are arrays, beside the columns of ``docs``."""
+    bound_batches(spark)
+    return docs.withColumn("_s", _token_scores("text")).select(*docs.columns, "_s.starts", "_s.ends", "_s.logits")
+
+
 def sequence_logits_array(text: Column) -> Column:
     return F.array(*[md5_logit(F.concat(text, F.lit(f"#{i}"))) for i in range(len(SEQ_LABELS))])
 

@@ -205,3 +205,80 @@ def test_tokens_are_labelled_once(spark):
     best = S.best_labels(SS.tokens(spark, SMALL, docs), SS.token_logits_array(F.col("token")), F.array(*[F.lit(0.5)] * 5), SS.TOKEN_LABELS)
     plan = best._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("ArrowEvalPython" in line for line in plan) == 1 and sum("md5(" in line for line in plan) == 1
+
+
+TEXTS = [
+    (1, "Ünal  Özdemir😀 lives in San\nFrancisco ." * 3),
+    (2, None),
+    (3, ""),
+    (4, " leading and trailing blanks  "),
+    (5, "x" * 300 + " " + "é" * 27 + " " + "a" * 53 + " " + "b" * 54 + " end"),
+    (6, " ".join(f"word{i % 37}" for i in range(3000))),
+    (None, "no id at all"),
+]
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame(rows, "content_id long, text string").repartition(2)
+
+
+def sorted_rows(df):
+    return sorted(((*r[:-1], round(r["score"], 9)) for r in df.collect()), key=str)
+
+
+def test_hashes_of_many_units_equal_hashlib():
+    import hashlib
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    units = [rng.randbytes(rng.choice([0, 1, 6, 50, 51, 52, 53, 54, 55, 56, 63, 64, 200])) for _ in range(500)]
+    ends = np.cumsum([len(u) for u in units])
+    starts = ends - [len(u) for u in units]
+    for n in (5, 12):
+        got = SS.md5_logits(np.frombuffer(b"".join(units), np.uint8), starts, ends, n)
+        want = [[int(hashlib.md5(u + f"#{k}".encode()).hexdigest()[:4], 16) / 65535.0 * 8.0 - 4.0 for k in range(n)] for u in units]
+        assert got.tolist() == want
+
+
+def test_scores_of_a_content_are_those_of_its_tokens(spark):
+    docs = docs_of(spark, TEXTS)
+    long = SS.tokens(spark, SMALL, docs).select("content_id", "char_start", "char_end", SS.token_logits_array(F.col("token")).alias("l"))
+    want = sorted(((r["content_id"], r["char_start"], r["char_end"], tuple(r["l"])) for r in long.collect()), key=str)
+    got = []
+    for r in SS.token_scores(spark, docs).collect():
+        n = len(SS.TOKEN_LABELS)
+        assert (r["starts"] is None) == (r["text"] is None)
+        got += [(r["content_id"], s, e, tuple(r["logits"][n * i : n * i + n])) for i, (s, e) in enumerate(zip(r["starts"] or [], r["ends"] or [], strict=True))]
+    assert sorted(got, key=str) == want
+
+
+def test_a_content_in_one_row_has_the_spans_of_its_tokens(spark):
+    """Without a shuffle, a sort or a walk through the text for each span."""
+    docs = docs_of(spark, TEXTS)
+    limits = S.label_limits(LABELS, 0.3, {"I-PER": 0.2}, S.safe_label_keys(["O"]))
+    tok = SS.tokens(spark, SMALL, docs.withColumn("limits", limits)).where("NOT (char_start = 0 AND char_end = 0)")
+    want = S.token_span_merge(S.best_labels(tok, SS.token_logits_array(F.col("token")), F.col("limits"), LABELS), docs)
+    in_row = S.best_labels(SS.token_scores(spark, docs.withColumn("limits", limits)), F.col("logits"), F.col("limits"), LABELS)
+    got = S.token_span_merge(in_row)
+    assert got.dtypes == want.dtypes and sorted_rows(got) == sorted_rows(want) and got.count() > 1000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan and "substring(" not in plan
+    assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 3
+
+
+@pytest.mark.parametrize("query", ["token_span_merge", "token_classification"])
+def test_documents_that_share_an_id_are_one_content(spark, tmp_path, query):
+    from sievekit.plans import catalog_scores as C
+    from sievekit.sources import requests as RQ
+
+    rows = TEXTS + [(6, TEXTS[5][1]), (1, TEXTS[0][1]), (1, TEXTS[0][1])]
+    docs_of(spark, rows).withColumnRenamed("content_id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = C._documents(spark, str(tmp_path))
+    params = (0.5, {}, S.safe_label_keys(["O"]))
+    if query == "token_classification":
+        docs = docs.withColumn("p", C._resolved_for("content_id", RQ.TOKEN_DEFAULTS))
+        params = F.col("p.threshold"), F.col("p.label_thresholds"), F.col("p.safe_keys")
+    want = S.token_span_merge(C._token_best(spark, str(tmp_path), *params, docs), docs).withColumn("score", F.round("score", C.R6))
+    assert sorted_rows(C.build()[query][0](spark, str(tmp_path))) == sorted_rows(want)
