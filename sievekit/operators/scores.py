@@ -283,7 +283,8 @@ def token_runs(best: DataFrame, chunk: int = RUN_CHUNK) -> DataFrame:
     runs = tokens.groupBy("content_id", "chunk", "label", "grp").agg(*_run_state("token_idx", "token_idx", "char_start", "char_end", "prob", "n")).drop("chunk", "grp")
     at_edge = (F.col("first_token") % chunk == 0) | (F.col("last_token") % chunk == chunk - 1)
     # Both branches read the one shuffle of tokens.
-    along = Window.partitionBy("content_id", "label").orderBy("first_token")
+    # Runs begin alike where a content's tokens come twice; the shorter one is stitched then.
+    along = Window.partitionBy("content_id", "label").orderBy("first_token", "last_token")
     edge = runs.where(at_edge).withColumn("new", F.coalesce((F.lag("last_token").over(along) + 1 != F.col("first_token")).cast("int"), F.lit(1)))
     edge = edge.withColumn("grp", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     stitched = edge.groupBy("content_id", "label", "grp").agg(*_run_state("first_token", "last_token", "start", "end", "total", "n")).drop("grp")
